@@ -108,6 +108,14 @@ def non_empty(col: Column | str) -> Column:
     return c.isNotNull() & (c != F.lit(""))
 
 
+def has_content(col: Column | str) -> Column:
+    """Predicate: at least one non-whitespace character. A selected body is
+    empty exactly when the text is whitespace only (units are longer than one
+    character and a lead of a non-blank text keeps its first sentence), so
+    this is P10 applied before any work is spent on the row."""
+    return F.regexp_like(_c(col), F.lit("[^" + WS[1:]))
+
+
 # -- P2 ---------------------------------------------------------------------
 
 def normalize_ws(col: Column | str) -> Column:

@@ -25,6 +25,18 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def settle(df, *cols: Column):
+    """``df.select(*cols)`` through a one-row ``inline`` generator.
+
+    Columns built from nested lambdas that refer to an outer lambda variable
+    (``transform(us, u -> dot(u, t))``) cannot be the input of a Python UDF
+    once Catalyst collapses the projections (the UDF is then never
+    extracted). A generator node is not collapsed, so later Python UDFs see
+    plain attributes; filters still push through it.
+    """
+    return df.select(F.inline(F.array(F.struct(*cols))))
+
+
 def vsum(v: Column | str) -> Column:
     """Left-to-right sum of an array of numbers (0.0 for an empty array)."""
     return F.aggregate(_c(v), F.lit(0.0).cast("double"), lambda s, x: s + x)

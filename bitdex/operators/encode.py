@@ -86,11 +86,12 @@ class HashPoolEncoder:
         return vx.l2_normalize(self.token_sums(text))
 
     # -- Python form ------------------------------------------------------
-    def encode_batch(self, texts) -> np.ndarray:
-        """Same vectors as ``column``: tokens are hashed once per distinct
-        token in the batch and summed per text with ``np.add.reduceat``."""
+    def sums_batch(self, texts) -> np.ndarray:
+        """Integer token sums ``s`` per text (the state before normalising):
+        each distinct token of the batch is hashed once, and the rows are
+        summed per text with ``np.add.reduceat``."""
         n = len(texts)
-        out = np.zeros((n, self.dim), dtype=np.float64)
+        out = np.zeros((n, self.dim), dtype=np.int64)
         groups = self.dim // 128
         vocab: dict[str, int] = {}
         ids: list[int] = []
@@ -112,9 +113,17 @@ class HashPoolEncoder:
         rows = np.flatnonzero(counts)
         starts = np.concatenate(([0], np.cumsum(counts[rows])[:-1]))
         ones = np.add.reduceat(bits[np.asarray(ids)].astype(np.int32), starts, axis=0)
-        s = 2 * ones.astype(np.int64) - counts[rows][:, None]
+        out[rows] = 2 * ones.astype(np.int64) - counts[rows][:, None]
+        return out
+
+    def encode_batch(self, texts) -> np.ndarray:
+        """Same vectors as ``column``: ``s / sqrt(sum(s * s))``, zero rows for
+        texts without tokens."""
+        s = self.sums_batch(texts)
         ss = (s * s).sum(axis=1).astype(np.float64)
-        out[rows] = s / np.sqrt(ss)[:, None]
+        out = np.zeros(s.shape, dtype=np.float64)
+        nz = ss > 0
+        out[nz] = s[nz] / np.sqrt(ss[nz])[:, None]
         return out
 
 
@@ -156,7 +165,10 @@ def _vector_udf(encoder):
         m = _cached(encoder)
         mat = m.encode_batch(texts.tolist())
         return pd.Series(list(mat))
-    return enc
+    # A barrier for the optimizer: keeps filters from being pushed below the
+    # encoder (which would run it twice) and keeps later projections from
+    # being inlined into its input.
+    return enc.asNondeterministic()
 
 
 def _array_udf(encoder):
@@ -174,7 +186,7 @@ def _array_udf(encoder):
                 out.append([mat[at + j] for j in range(n)])
             at += n
         return pd.Series(out)
-    return enc
+    return enc.asNondeterministic()
 
 
 def _use_jvm(encoder, mode: str) -> bool:
@@ -192,6 +204,19 @@ def spread(df: DataFrame, min_partitions: int | None) -> DataFrame:
     return df
 
 
+def token_sums_col(text: Column | str, encoder: HashPoolEncoder,
+                   mode: str = "auto") -> Column:
+    """Integer token sums of the hash-pool encoder (before normalising)."""
+    c = F.col(text) if isinstance(text, str) else text
+    if mode == "jvm":
+        return encoder.token_sums(c)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def sums(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(_cached(encoder).sums_batch(texts.tolist())))
+    return sums.asNondeterministic()(c)
+
+
 def encode_col(text: Column | str, encoder, mode: str = "auto") -> Column:
     """Vector column for a string column."""
     c = F.col(text) if isinstance(text, str) else text

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import keys as kx
+from ..session import cut_lineage
 from . import encode as enc
 from . import pca as pc
 from . import search as sr
@@ -50,9 +51,17 @@ def build_index(bodies: DataFrame, encoder=None, k: int = DEFAULT_K,
                 text: str = "body", projection: str = "pca",
                 sample_cap: int = pc.DEFAULT_SAMPLE_CAP, seed: int = pc.DEFAULT_SEED,
                 mode: str = "auto", min_partitions: int | None = None,
-                params: pc.PcaParams | None = None):
-    """(index, params): keys for **all** bodies."""
+                params: pc.PcaParams | None = None, cut: bool = True):
+    """(index, params): keys for **all** bodies.
+
+    With ``cut`` the bodies are written once under the shared checkpoint
+    folder before the fit (they are read twice: sample + projection) and the
+    index after it (it is scanned by searches and joined for titles), so no
+    encoder work is ever repeated and executor loss only re-runs a stage.
+    """
     encoder = encoder or enc.HashPoolEncoder()
+    if cut:
+        bodies = cut_lineage(with_ord(bodies).select("ord", "id", "title", text), "bodies")
     if params is None:
         params = fit_params(bodies, encoder, k, text, projection, sample_cap,
                             seed, mode, min_partitions)
@@ -60,6 +69,8 @@ def build_index(bodies: DataFrame, encoder=None, k: int = DEFAULT_K,
                       min_partitions)
     vecs = enc.embed(rows, text, "vec", encoder, mode).drop(text)
     index = pc.project_keys(vecs, params, "vec", keep=["ord", "id", "title"])
+    if cut:
+        index = cut_lineage(index, "index")
     return index, params
 
 
@@ -79,8 +90,9 @@ def search(queries: DataFrame, index: DataFrame, params: pc.PcaParams,
            qid: str = "qid", mode: str = "auto") -> DataFrame:
     """Top ``top`` articles per query with distance, URL and flags."""
     qkeys = encode_queries(queries, params, encoder, text, qid, mode)
-    hits = sr.knn(index, qkeys, params.k, top)
-    return sr.resolve_hits(hits, index, params.k)
+    batches = sr.query_batches(qkeys, params.k)
+    hits = sr.knn(index, batches, params.k, top)
+    return sr.resolve_hits(hits, index, params.k, sum(len(b) for b in batches) * top)
 
 
 def stats(queries: DataFrame, index: DataFrame, params: pc.PcaParams,
@@ -88,7 +100,7 @@ def stats(queries: DataFrame, index: DataFrame, params: pc.PcaParams,
           mode: str = "auto") -> DataFrame:
     """Distance histogram per query."""
     qkeys = encode_queries(queries, params, encoder, text, qid, mode)
-    return sr.distance_histogram(index, qkeys, params.k)
+    return sr.distance_histogram(index, sr.query_batches(qkeys, params.k), params.k)
 
 
 def key_table(index: DataFrame, k: int) -> DataFrame:

@@ -96,7 +96,8 @@ def build_bodies(corpus: DataFrame, cap: int = tx.DEFAULT_CAP,
     title and units to the encoder; the other rows pass nulls.
     """
     encoder = encoder or enc.HashPoolEncoder()
-    routed = enc.spread(route_columns(corpus, long), min_partitions)
+    routed = enc.spread(route_columns(corpus, long)
+                        .filter(tx.has_content("text")), min_partitions)     # P10
     ext = F.col("extractive")
     scored = (routed
               .withColumn("_tvec", enc.encode_col(
@@ -109,7 +110,7 @@ def build_bodies(corpus: DataFrame, cap: int = tx.DEFAULT_CAP,
     cols = [F.col("id"), tx.clean_title("title").alias("title"), body.alias("body")]
     if keep_route:
         cols.append(ext.alias("extractive"))
-    return scored.select(*cols).filter(F.col("body") != "")                 # P10
+    return vx.settle(scored, *cols)
 
 
 # -- table forms ----------------------------------------------------------------

@@ -115,7 +115,7 @@ def records(spark, sf):
 def doc_token_sums(spark, sf):
     b = enc.spread(_bodies(spark, sf), MIN_PARTITIONS)
     e = _encoder()
-    s = b.select("id", e.token_sums(F.col("body")).alias("s"))
+    s = b.select("id", enc.token_sums_col("body", e).alias("s"))
     return s.select("id", F.posexplode("s").alias("dim", "s")) \
         .select("id", "dim", F.col("s").cast("long").alias("s"))
 

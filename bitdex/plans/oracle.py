@@ -142,7 +142,7 @@ def pack_words(src: str, key: str, k: int, name: str) -> str:
 
 
 def hamming(a: str, b: str, k: int) -> str:
-    return " + ".join(f"bit_count(xor({a}.w{j}, {b}.w{j}))" for j in range(kx.n_words(k)))
+    return " + ".join(f"bit_count(xor({a}.w{j}, {b}.w{j}))::INTEGER" for j in range(kx.n_words(k)))
 
 
 def key_hex(a: str, k: int) -> str:
