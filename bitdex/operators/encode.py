@@ -195,10 +195,13 @@ def _use_jvm(encoder, mode: str) -> bool:
     return mode == "jvm" or getattr(encoder, "prefer_jvm", True)
 
 
-def spread(df: DataFrame, min_partitions: int | None) -> DataFrame:
-    """Round-robin ``df`` over at least ``min_partitions`` tasks before a
-    CPU-heavy step when the scan produced fewer (small files); a no-op on
-    inputs that are already split finely enough."""
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin ``df`` over at least ``min_partitions`` tasks (default:
+    the cluster's ``defaultParallelism``) before a CPU-heavy step when the
+    scan produced fewer (a few large row groups); a no-op on inputs that are
+    already split finely enough, i.e. on any large corpus."""
+    if min_partitions is None:
+        min_partitions = df.sparkSession.sparkContext.defaultParallelism
     if min_partitions and df.rdd.getNumPartitions() < min_partitions:
         return df.repartition(min_partitions)
     return df
@@ -217,6 +220,42 @@ def token_sums_col(text: Column | str, encoder: HashPoolEncoder,
     return sums.asNondeterministic()(c)
 
 
+def _scores_udf(encoder):
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def scores(titles: pd.Series, arrs: pd.Series) -> pd.Series:
+        m = _cached(encoder)
+        out = [None] * len(arrs)
+        rows = [i for i, a in enumerate(arrs) if a is not None and titles.iloc[i] is not None]
+        if not rows:
+            return pd.Series(out, dtype=object)
+        flat, spans = [], []
+        for i in rows:
+            spans.append((len(flat), len(arrs.iloc[i])))
+            flat.append(titles.iloc[i])
+            flat.extend(arrs.iloc[i])
+        mat = m.encode_batch(flat)
+        for i, (at, n) in zip(rows, spans):
+            # left-to-right sum, as the SQL/higher-order-function dot product
+            prod = mat[at + 1: at + 1 + n] * mat[at]
+            out[i] = (np.add.accumulate(prod, axis=1)[:, -1].tolist()
+                      if n else [])
+        return pd.Series(out, dtype=object)
+    return scores.asNondeterministic()
+
+
+def score_col(title: Column | str, units: Column | str, encoder,
+              mode: str = "auto") -> Column:
+    """Cosine of every unit's vector with the title's vector (J1 + V3),
+    encoded in one Arrow pass; only the scores come back to the JVM."""
+    t = F.col(title) if isinstance(title, str) else title
+    u = F.col(units) if isinstance(units, str) else units
+    if _use_jvm(encoder, mode):
+        from ..functions import vectors as vx2
+        return vx2.let(encoder.column(t), lambda tv: F.transform(
+            u, lambda x: vx2.dot(encoder.column(x), tv)))
+    return _scores_udf(encoder)(t, u)
+
+
 def encode_col(text: Column | str, encoder, mode: str = "auto") -> Column:
     """Vector column for a string column."""
     c = F.col(text) if isinstance(text, str) else text

@@ -55,23 +55,40 @@ def build_index(bodies: DataFrame, encoder=None, k: int = DEFAULT_K,
     """(index, params): keys for **all** bodies.
 
     With ``cut`` the bodies are written once under the shared checkpoint
-    folder before the fit (they are read twice: sample + projection) and the
-    index after it (it is scanned by searches and joined for titles), so no
-    encoder work is ever repeated and executor loss only re-runs a stage.
+    folder (they are read twice: fit + projection) and so is the index (it
+    is scanned by searches and joined for titles): no encoder work is
+    repeated and a lost executor only re-runs one stage. When the whole
+    table is the fit sample (``n <= sample_cap``) the vectors are written
+    instead and both the fit and the projection read them, so every body is
+    encoded exactly once; above the cap only the sample is encoded twice.
     """
     encoder = encoder or enc.HashPoolEncoder()
-    if cut:
-        bodies = cut_lineage(with_ord(bodies).select("ord", "id", "title", text), "bodies")
-    if params is None:
-        params = fit_params(bodies, encoder, k, text, projection, sample_cap,
-                            seed, mode, min_partitions)
-    rows = enc.spread(with_ord(bodies).select("ord", "id", "title", text),
-                      min_partitions)
-    vecs = enc.embed(rows, text, "vec", encoder, mode).drop(text)
+    rows = with_ord(bodies).select("ord", "id", "title", text)
+    if not cut:
+        if params is None:
+            params = fit_params(rows, encoder, k, text, projection, sample_cap,
+                                seed, mode, min_partitions)
+        vecs = enc.embed(enc.spread(rows, min_partitions), text, "vec", encoder, mode)
+        return pc.project_keys(vecs.drop(text), params, "vec",
+                               keep=["ord", "id", "title"]), params
+    rows = cut_lineage(rows, "bodies")
+    n = rows.count()
+    pc.require_rows(rows)
+    if params is None and n <= sample_cap:
+        vecs = cut_lineage(enc.embed(enc.spread(rows, min_partitions), text, "vec",
+                                     encoder, mode).drop(text), "vectors")
+        if projection == "identity":
+            params = pc.PcaParams.identity(pc.dim_mean(vecs, "vec"), k)
+        else:
+            params = pc.pca_fit(vecs, k, "vec", sample_cap=sample_cap, seed=seed)
+    else:
+        if params is None:
+            params = fit_params(rows, encoder, k, text, projection, sample_cap,
+                                seed, mode, min_partitions)
+        vecs = enc.embed(enc.spread(rows, min_partitions), text, "vec", encoder,
+                         mode).drop(text)
     index = pc.project_keys(vecs, params, "vec", keep=["ord", "id", "title"])
-    if cut:
-        index = cut_lineage(index, "index")
-    return index, params
+    return cut_lineage(index, "index"), params
 
 
 def encode_queries(queries: DataFrame, params: pc.PcaParams, encoder=None,

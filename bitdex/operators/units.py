@@ -93,20 +93,18 @@ def build_bodies(corpus: DataFrame, cap: int = tx.DEFAULT_CAP,
 
     Short and medium articles take ``lead``; long articles with at least four
     units take the title-guided extraction. Only extractive rows send their
-    title and units to the encoder; the other rows pass nulls.
+    title and units to the encoder (one Arrow pass that returns the unit
+    scores); the other rows pass nulls.
     """
     encoder = encoder or enc.HashPoolEncoder()
-    routed = enc.spread(route_columns(corpus, long)
-                        .filter(tx.has_content("text")), min_partitions)     # P10
+    routed = route_columns(
+        enc.spread(corpus.filter(tx.non_empty("text") & tx.has_content("text")),  # P1, P10
+                   min_partitions), long)
     ext = F.col("extractive")
-    scored = (routed
-              .withColumn("_tvec", enc.encode_col(
-                  F.when(ext, tx.title_query("title")), encoder, mode))
-              .withColumn("_uvecs", enc.encode_array_col(
-                  F.when(ext, F.col("units")), encoder, mode)))
-    body = F.when(ext, select_units(
-        F.col("units"), unit_scores(F.col("_uvecs"), F.col("_tvec")), cap)
-    ).otherwise(tx.lead("text", cap))
+    scored = routed.withColumn("_scores", enc.score_col(
+        F.when(ext, tx.title_query("title")), F.when(ext, F.col("units")), encoder, mode))
+    body = F.when(ext, select_units(F.col("units"), F.col("_scores"), cap)
+                  ).otherwise(tx.lead("text", cap))
     cols = [F.col("id"), tx.clean_title("title").alias("title"), body.alias("body")]
     if keep_route:
         cols.append(ext.alias("extractive"))

@@ -30,8 +30,9 @@ DIM = oq.DIM
 K = oq.K
 EK = oq.EK
 TOP = oq.TOP
-# Encoding is CPU-heavy: spread small inputs over at least this many tasks.
-MIN_PARTITIONS = 8
+# CPU-heavy steps spread small inputs over the session's default
+# parallelism (None); large inputs keep their scan partitioning.
+MIN_PARTITIONS = None
 
 
 def _encoder() -> enc.HashPoolEncoder:
@@ -89,12 +90,13 @@ def folded_text(spark, sf):
 
 
 def basic_tokens(spark, sf):
-    return tk.token_table(_corpus(spark, sf).filter(tx.non_empty("text")), "id", "text")
+    c = enc.spread(_corpus(spark, sf).filter(tx.non_empty("text")))
+    return tk.token_table(c, "id", "text")
 
 
 def token_profile(spark, sf):
-    return tk.token_profile(_corpus(spark, sf).filter(tx.non_empty("text")), "id", "text",
-                            oq.MAX_TOKENS)
+    c = enc.spread(_corpus(spark, sf).filter(tx.non_empty("text")))
+    return tk.token_profile(c, "id", "text", oq.MAX_TOKENS)
 
 
 def corpus_profile(spark, sf):
