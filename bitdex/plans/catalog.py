@@ -23,6 +23,7 @@ from ..operators import pca as pc
 from ..operators import search as sr
 from ..operators import tokens as tk
 from ..operators import units as un
+from ..operators import wordpiece as wp
 from ..sources import corpus as cs
 from . import oracle as oq
 
@@ -103,6 +104,28 @@ def corpus_profile(spark, sf):
     return tk.corpus_profile(_corpus(spark, sf))
 
 
+def _bench_vocab(spark, sf):
+    return wp.vocab_from_text(cs.table(spark, sf, "benchmark"), "text")
+
+
+def _doc_tokens(spark, sf):
+    c = enc.spread(_corpus(spark, sf).filter(tx.non_empty("text")))
+    return tk.token_table(c, "id", "text")
+
+
+def wordpiece_words(spark, sf):
+    """Every distinct document word segmented against the benchmark vocab."""
+    words = _doc_tokens(spark, sf).select(F.col("token").alias("word"))
+    seg = wp.segment_words(words, _bench_vocab(spark, sf))
+    return seg.select("word", "known", F.size("piece_ids").alias("n_pieces"),
+                      F.array_join(F.transform("piece_ids", lambda x: x.cast("string")), " ")
+                      .alias("pieces"))
+
+
+def wordpiece_profile(spark, sf):
+    return wp.piece_profile(_doc_tokens(spark, sf), _bench_vocab(spark, sf))
+
+
 # -- bodies -----------------------------------------------------------------------
 
 def bodies(spark, sf):
@@ -285,6 +308,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "basic_tokens": basic_tokens,
     "token_profile": token_profile,
     "corpus_profile": corpus_profile,
+    "wordpiece_words": wordpiece_words,
+    "wordpiece_profile": wordpiece_profile,
     "bodies": bodies,
     "records": records,
     "doc_token_sums": doc_token_sums,
@@ -318,6 +343,8 @@ ORACLE: dict[str, str] = {
     "basic_tokens": oq.basic_tokens_sql(),
     "token_profile": oq.token_profile_sql(),
     "corpus_profile": oq.corpus_profile_sql(),
+    "wordpiece_words": oq.wordpiece_words_sql(),
+    "wordpiece_profile": oq.wordpiece_profile_sql(),
     "bodies": oq.bodies_sql(),
     "records": oq.records_sql(),
     "doc_token_sums": oq.doc_token_sums_sql(),

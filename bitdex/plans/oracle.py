@@ -367,3 +367,46 @@ FROM routed"""
 
 def fit_sample_sql() -> str:
     return f"WITH {bodies_ctes()} SELECT id FROM bodies"
+
+
+# -- word pieces (vocab from benchmark, segmentation of document words) -------
+
+def _wordpiece_ctes() -> str:
+    pre = "'▁'"
+    return f"""{CORPUS},
+btok AS (SELECT unnest({tokens('text')}) AS t FROM benchmark),
+bch AS (SELECT unnest(string_split(t, '')) AS c FROM btok),
+pieces AS (SELECT {pre} || t AS token FROM btok UNION SELECT c FROM bch WHERE c <> ''
+           UNION SELECT {pre} || c FROM bch WHERE c <> ''),
+vocab AS (SELECT token, ('0x' || substr(md5(token), 1, 15))::BIGINT AS tid FROM pieces),
+maxlen AS (SELECT max(length(token)) AS m FROM vocab),
+dtok AS (SELECT id, unnest(generate_series(0, len(tk) - 1)) AS pos, unnest(tk) AS token
+         FROM (SELECT id, {tokens('text')} AS tk FROM corpus)),
+words AS (SELECT DISTINCT token AS word, {pre} || token AS w1 FROM dtok),
+cand AS (SELECT w.word, s.start, l.len, v.tid FROM words w, maxlen,
+         range(0, length(w.w1)) s(start), range(1, maxlen.m + 1) l(len), vocab v
+         WHERE s.start + l.len <= length(w.w1) AND v.token = substr(w.w1, s.start + 1, l.len)),
+best AS (SELECT word, start, max(len) AS len, arg_max(tid, len) AS tid FROM cand GROUP BY ALL),
+walk AS (SELECT * FROM (WITH RECURSIVE wk(word, pos, k, tid) AS (
+            SELECT word, 0, 0, NULL::BIGINT FROM words
+            UNION ALL
+            SELECT wk.word, wk.pos + b.len, wk.k + 1, b.tid FROM wk JOIN best b
+            ON b.word = wk.word AND b.start = wk.pos)
+         SELECT * FROM wk)),
+seg AS (SELECT w.word, coalesce(max(k.pos) = length(w.w1), false) AS known,
+        list(k.tid ORDER BY k.k) FILTER (WHERE k.k > 0) AS ids
+        FROM words w LEFT JOIN walk k ON k.word = w.word GROUP BY w.word, w.w1),
+seg2 AS (SELECT word, known, CASE WHEN known THEN ids ELSE [0::BIGINT] END AS piece_ids FROM seg)"""
+
+
+def wordpiece_words_sql() -> str:
+    return f"""WITH {_wordpiece_ctes()}
+SELECT word, known, len(piece_ids) AS n_pieces,
+       array_to_string(list_transform(piece_ids, lambda x: x::VARCHAR), ' ') AS pieces FROM seg2"""
+
+
+def wordpiece_profile_sql() -> str:
+    return f"""WITH {_wordpiece_ctes()}
+SELECT d.id, sum(len(s.piece_ids)) + 2 AS n_ids, count(*) FILTER (WHERE NOT s.known) AS n_unk,
+       sum(len(s.piece_ids)) + 2 > 512 AS over_context
+FROM dtok d JOIN seg2 s ON d.token = s.word GROUP BY d.id"""
