@@ -1,0 +1,46 @@
+"""Query mode as a stream: batches of queries arrive as files, each
+micro-batch is searched against the static index (C4 + C5).
+
+``foreachBatch`` runs the batch ``search`` plan on every micro-batch (the
+scan needs a window top-k, which streaming aggregation cannot express), and
+writes the hits with the batch id, so a retried batch overwrites its own
+partition (idempotent sink). Checkpoints go under the shared folder named
+by ``spark.checkpoint.dir``.
+"""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import index as ix
+from ..operators import search as sr
+from ..operators.pca import PcaParams
+from ..session import ensure_checkpoint_dir
+
+
+def query_stream(spark: SparkSession, path: str, fmt: str = "json",
+                 schema: str = "qid long, text string") -> DataFrame:
+    """Streaming (qid, text) rows from files dropped into ``path``."""
+    return spark.readStream.format(fmt).schema(schema).load(path)
+
+
+def start_search(queries: DataFrame, index: DataFrame, params: PcaParams, out: str,
+                 encoder=None, top: int = sr.DEFAULT_TOP, name: str = "search",
+                 trigger: dict | None = None):
+    """Start the streaming search; returns the ``StreamingQuery``."""
+    spark = queries.sparkSession
+    ckpt = os.path.join(ensure_checkpoint_dir(spark), f"stream-{name}")
+
+    def per_batch(batch: DataFrame, epoch: int) -> None:
+        if batch.isEmpty():
+            return
+        hits = ix.search(batch, index, params, encoder, top)
+        (hits.withColumn("batch", F.lit(epoch))
+         .write.mode("overwrite").parquet(f"{out}/batch={epoch}"))
+
+    writer = queries.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
+    writer = writer.trigger(**(trigger or {"availableNow": True}))
+    return writer.start()
