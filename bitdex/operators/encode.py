@@ -88,31 +88,26 @@ class HashPoolEncoder:
     # -- Python form ------------------------------------------------------
     def sums_batch(self, texts) -> np.ndarray:
         """Integer token sums ``s`` per text (the state before normalising):
-        each distinct token of the batch is hashed once, and the rows are
-        summed per text with ``np.add.reduceat``."""
+        each distinct token of the batch is hashed once (``pd.factorize``),
+        and the rows are summed per text with ``np.add.reduceat``."""
         n = len(texts)
         out = np.zeros((n, self.dim), dtype=np.int64)
         groups = self.dim // 128
-        vocab: dict[str, int] = {}
-        ids: list[int] = []
-        counts = np.zeros(n, dtype=np.int64)
-        for r, text in enumerate(texts):
-            if text is None:
-                continue
-            toks = py_tokenize(text)[: self.max_tokens]
-            counts[r] = len(toks)
-            for t in toks:
-                ids.append(vocab.setdefault(t, len(vocab)))
-        if not ids:
+        toks = [py_tokenize(t)[: self.max_tokens] if t is not None else [] for t in texts]
+        counts = np.fromiter((len(t) for t in toks), dtype=np.int64, count=n)
+        if counts.sum() == 0:
             return out
-        bits = np.empty((len(vocab), self.dim), dtype=np.uint8)
-        for t, j in vocab.items():
+        flat = np.empty(int(counts.sum()), dtype=object)
+        flat[:] = [t for ts in toks for t in ts]
+        codes, uniques = pd.factorize(flat)
+        bits = np.empty((len(uniques), self.dim), dtype=np.uint8)
+        for j, t in enumerate(uniques):
             digest = b"".join(hashlib.md5(f"{g}:{t}".encode("utf-8")).digest()
                               for g in range(groups))
             bits[j] = np.unpackbits(np.frombuffer(digest, dtype=np.uint8))
         rows = np.flatnonzero(counts)
         starts = np.concatenate(([0], np.cumsum(counts[rows])[:-1]))
-        ones = np.add.reduceat(bits[np.asarray(ids)].astype(np.int32), starts, axis=0)
+        ones = np.add.reduceat(bits[codes].astype(np.int32), starts, axis=0)
         out[rows] = 2 * ones.astype(np.int64) - counts[rows][:, None]
         return out
 

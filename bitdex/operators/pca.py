@@ -180,18 +180,18 @@ def pca_fit(df: DataFrame, k: int, vec: str = "vec",
             ) -> PcaParams:
     """Top-``k`` eigenvectors of the covariance, largest eigenvalue first."""
     require_rows(df)
-    sample = fit_sample(df.select(vec), sample_cap, seed).persist()
+    sample = fit_sample(df.select(vec), sample_cap, seed)
+    vecs = _vec(sample, vec).persist()
     try:
-        vecs = _vec(sample, vec)
-        stats = vecs.agg(Summarizer.mean(F.col("_v")).alias("m"),
-                         F.count(F.lit(1)).alias("n")).first()
-        mean = np.asarray(stats["m"].toArray(), dtype=np.float64)
+        stats = vecs.agg(Summarizer.metrics("mean", "count").summary(F.col("_v"))
+                         .alias("s")).first()["s"]
+        mean = np.asarray(stats["mean"].toArray(), dtype=np.float64)
         model = PCA(k=k, inputCol="_v", outputCol="_y").fit(vecs)
         comps = canonical_signs(model.pc.toArray().T)
         ev = np.asarray(model.explainedVariance.toArray(), dtype=np.float64)
-        return PcaParams(mean, comps, ev, int(stats["n"]))
+        return PcaParams(mean, comps, ev, int(stats["count"]))
     finally:
-        sample.unpersist()
+        vecs.unpersist()
 
 
 def explained_variance_table(spark: SparkSession, params: PcaParams) -> DataFrame:
