@@ -30,6 +30,11 @@ WORD_PREFIX = "▁"
 DEFAULT_UNK_ID = 0
 # Vocabularies up to this many rows are broadcast to the substring join.
 MAX_BROADCAST_VOCAB = 5_000_000
+# Segmented word tables up to this many rows are broadcast to the token
+# join; larger ones are joined on (token, salt) with this many salts, since
+# one word ("the") can hold a large share of all token rows.
+MAX_BROADCAST_WORDS = 2_000_000
+JOIN_SALTS = 32
 
 
 def segment_words(words: DataFrame, vocab: DataFrame, word: str = "word",
@@ -84,9 +89,17 @@ def token_ids(tokens: DataFrame, vocab: DataFrame, unk_id: int = DEFAULT_UNK_ID
               ) -> DataFrame:
     """(id, pos, piece_ids, known) for every token row (J4): segmentation of
     the distinct words, left-joined back to the tokens."""
-    seg = segment_words(tokens.select(F.col("token").alias("word")), vocab, "word", unk_id)
-    return tokens.join(seg.withColumnRenamed("word", "token"), "token", "left") \
-        .select("id", "pos", "token", "known", "piece_ids")
+    from ..session import cut_lineage
+    seg = cut_lineage(segment_words(tokens.select(F.col("token").alias("word")), vocab,
+                                    "word", unk_id), "wordpieces")
+    seg = seg.withColumnRenamed("word", "token")
+    if seg.count() <= MAX_BROADCAST_WORDS:
+        joined = tokens.join(F.broadcast(seg), "token", "left")
+    else:
+        salt = F.pmod(F.xxhash64("id", "pos"), F.lit(JOIN_SALTS)).cast("int")
+        salted = seg.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
+        joined = tokens.withColumn("_salt", salt).join(salted, ["token", "_salt"], "left")
+    return joined.select("id", "pos", "token", "known", "piece_ids")
 
 
 def piece_profile(tokens: DataFrame, vocab: DataFrame, n_ctx: int = 512,

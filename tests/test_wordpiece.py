@@ -24,3 +24,14 @@ def test_piece_profile(spark):
     got = {r.id: (r.n_ids, r.n_unk, r.over_context)
            for r in wp.piece_profile(toks, vocab, n_ctx=4).collect()}
     assert got == {1: (5, 1, True), 2: (3, 0, False)}
+
+
+def test_token_join_salted_equals_broadcast(spark, monkeypatch):
+    vocab = spark.createDataFrame([("▁a", 1), ("▁b", 2)], "token string, token_id long")
+    # one hot word holding two thirds of all token rows
+    toks = spark.createDataFrame([(i, j, "a" if j % 3 else "c") for i in range(40) for j in range(30)],
+                                 "id long, pos int, token string")
+    a = sorted(map(tuple, wp.token_ids(toks, vocab).select("id", "pos", "known").collect()))
+    monkeypatch.setattr(wp, "MAX_BROADCAST_WORDS", 0)
+    b = sorted(map(tuple, wp.token_ids(toks, vocab).select("id", "pos", "known").collect()))
+    assert a == b and len(a) == 1200
