@@ -68,9 +68,7 @@ def build_index(bodies: DataFrame, encoder=None, k: int = DEFAULT_K,
         if params is None:
             params = fit_params(rows, encoder, k, text, projection, sample_cap,
                                 seed, mode, min_partitions)
-        vecs = enc.embed(enc.spread(rows, min_partitions), text, "vec", encoder, mode)
-        return pc.project_keys(vecs.drop(text), params, "vec",
-                               keep=["ord", "id", "title"]), params
+        return _keys(enc.spread(rows, min_partitions), text, encoder, params, mode), params
     rows = cut_lineage(rows, "bodies")
     n = rows.count()
     pc.require_rows(rows)
@@ -81,16 +79,24 @@ def build_index(bodies: DataFrame, encoder=None, k: int = DEFAULT_K,
             params = pc.PcaParams.identity(pc.dim_mean(vecs, "vec"), k)
         else:
             params = pc.pca_fit(vecs, k, "vec", sample_cap=sample_cap, seed=seed)
+        index = pc.project_keys(vecs, params, "vec", keep=["ord", "id", "title"])
     else:
         if params is None:
             params = fit_params(rows, encoder, k, text, projection, sample_cap,
                                 seed, mode, min_partitions)
-        vecs = enc.embed(enc.spread(rows, min_partitions), text, "vec", encoder,
-                         mode).drop(text)
-    index = pc.project_keys(vecs, params, "vec", keep=["ord", "id", "title"])
+        index = _keys(enc.spread(rows, min_partitions), text, encoder, params, mode)
     return cut_lineage(index, "index"), params
 
 
+def _keys(rows: DataFrame, text: str, encoder, params: pc.PcaParams, mode: str) -> DataFrame:
+    """Keys for every row: one fused Arrow pass unless the encoder runs in
+    the JVM."""
+    if enc._use_jvm(encoder, mode):
+        vecs = enc.embed(rows, text, "vec", encoder, mode).drop(text)
+        return pc.project_keys(vecs, params, "vec", keep=["ord", "id", "title"])
+    return pc.encode_project_keys(rows, text, encoder, params, ["ord", "id", "title"])
+
+
 def encode_queries(queries: DataFrame, params: pc.PcaParams, encoder=None,
                    text: str = "text", qid: str = "qid", mode: str = "auto"
                    ) -> DataFrame:
@@ -98,8 +104,10 @@ def encode_queries(queries: DataFrame, params: pc.PcaParams, encoder=None,
     Null or token-less queries encode to the zero vector (as documents do)."""
     encoder = encoder or enc.HashPoolEncoder()
     q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(text).alias("_t"))
-    vecs = enc.embed(q, "_t", "vec", encoder, mode).drop("_t")
-    return pc.project_keys(vecs, params, "vec", keep=["qid"])
+    if enc._use_jvm(encoder, mode):
+        vecs = enc.embed(q, "_t", "vec", encoder, mode).drop("_t")
+        return pc.project_keys(vecs, params, "vec", keep=["qid"])
+    return pc.encode_project_keys(q, "_t", encoder, params, ["qid"])
 
 
 def search(queries: DataFrame, index: DataFrame, params: pc.PcaParams,
