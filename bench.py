@@ -52,7 +52,7 @@ def main() -> None:
         ix.with_ord(C.bodies(spark, sf_dir)).select("ord", "id", "title", "body"), "records"))
     index, params = timed("index_pca", lambda: ix.build_index(
         bodies, C._encoder(), C.K, projection="pca", min_partitions=C.MIN_PARTITIONS,
-        cut=True))
+        cut=True, bodies_written=True))
     enc = C._encoder()
     timed("search_bench", lambda: run(ix.search(C._bench_queries(spark, sf_dir), index,
                                                 params, enc, C.TOP)))

@@ -51,7 +51,8 @@ def build_index(bodies: DataFrame, encoder=None, k: int = DEFAULT_K,
                 text: str = "body", projection: str = "pca",
                 sample_cap: int = pc.DEFAULT_SAMPLE_CAP, seed: int = pc.DEFAULT_SEED,
                 mode: str = "auto", min_partitions: int | None = None,
-                params: pc.PcaParams | None = None, cut: bool = True):
+                params: pc.PcaParams | None = None, cut: bool = True,
+                bodies_written: bool = False):
     """(index, params): keys for **all** bodies.
 
     With ``cut`` the bodies are written once under the shared checkpoint
@@ -69,7 +70,8 @@ def build_index(bodies: DataFrame, encoder=None, k: int = DEFAULT_K,
             params = fit_params(rows, encoder, k, text, projection, sample_cap,
                                 seed, mode, min_partitions)
         return _keys(enc.spread(rows, min_partitions), text, encoder, params, mode), params
-    rows = cut_lineage(rows, "bodies")
+    if not bodies_written:     # already a written table: read it as it is
+        rows = cut_lineage(rows, "bodies")
     n = rows.count()
     pc.require_rows(rows)
     if params is None and n <= sample_cap:

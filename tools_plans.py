@@ -18,8 +18,14 @@ def plan(df) -> str:
     with redirect_stdout(buf):
         df.explain("formatted")
     text = buf.getvalue()
-    head = text.split("\n\n(1)")[0]          # the operator tree only
-    return head.strip()
+    head, _, rest = text.partition("\n\n(1)")
+    details = []
+    for block in ("(1)" + rest).split("\n\n"):
+        if "Scan parquet" in block.split("\n")[0]:
+            keep = [ln for ln in block.split("\n")
+                    if ln.startswith(("(", "PushedFilters", "DataFilters", "ReadSchema"))]
+            details.append("\n".join(keep))
+    return (head.strip() + "\n\n" + "\n\n".join(details)).strip()
 
 
 def main(sf="/root/testdata/sf0.01"):
