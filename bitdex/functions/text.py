@@ -165,7 +165,9 @@ def split_units(col: Column | str) -> Column:
         F.split(normalize_ws(c), f"(?<={SENTENCE_END}){WS}+", -1),
         lambda p: F.length(p) > 1,
     )
-    return F.when(F.size(paras) < MIN_UNITS, sents).otherwise(paras)
+    # bind the paragraphs once: a CASE branch would evaluate them again
+    return F.element_at(F.transform(F.array(paras), lambda ps: F.when(
+        F.size(ps) < MIN_UNITS, sents).otherwise(ps)), 1)
 
 
 def is_extractive(text: Column | str, units: Column | str,
