@@ -201,6 +201,15 @@ def _conv_queries(spark, sf):
     return c.select((F.col("conv_id") * 100000 + F.col("turn")).alias("qid"), "text")
 
 
+def query_texts(spark, sf):
+    """Query strings as the search reads them: the words of each user turn
+    gathered with single spaces (F1)."""
+    q = _conv_queries(spark, sf)
+    words = F.filter(F.split(tx.normalize_ws("text"), " ", -1), lambda w: w != "")
+    return q.select("qid", tx.gather_query(words).alias("query"),
+                    F.size(words).alias("n_words"))
+
+
 def benchmark_search(spark, sf):
     index, params = _identity_index(spark, sf)
     return ix.search(_bench_queries(spark, sf), index, params, _encoder(), TOP)
@@ -318,6 +327,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "doc_keys": doc_keys,
     "index_count": index_count,
     "fit_sample": fit_sample,
+    "query_texts": query_texts,
     "benchmark_search": benchmark_search,
     "conversation_search": conversation_search,
     "benchmark_stats": benchmark_stats,
@@ -353,6 +363,7 @@ ORACLE: dict[str, str] = {
     "doc_keys": oq.doc_keys_sql(),
     "index_count": oq.index_count_sql(),
     "fit_sample": oq.fit_sample_sql(),
+    "query_texts": oq.query_texts_sql(),
     "benchmark_search": oq.search_sql(oq.BENCH_QUERIES),
     "conversation_search": oq.search_sql(oq.CONV_QUERIES),
     "benchmark_stats": oq.stats_sql(oq.BENCH_QUERIES),

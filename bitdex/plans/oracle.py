@@ -410,3 +410,9 @@ def wordpiece_profile_sql() -> str:
 SELECT d.id, sum(len(s.piece_ids)) + 2 AS n_ids, count(*) FILTER (WHERE NOT s.known) AS n_unk,
        sum(len(s.piece_ids)) + 2 > 512 AS over_context
 FROM dtok d JOIN seg2 s ON d.token = s.word GROUP BY d.id"""
+
+
+def query_texts_sql() -> str:
+    words = f"list_filter(string_split({norm('line')}, ' '), lambda w: w <> '')"
+    return f"""SELECT qid, array_to_string({words}, ' ') AS query, len({words}) AS n_words
+FROM ({CONV_QUERIES})"""

@@ -85,3 +85,16 @@ def test_store_round_trip_and_pack(spark, sf001, tmp_path):
     got = sorted(tuple(r) for r in i2.select("id", "w0").collect())
     want = sorted(tuple(r) for r in index.select("id", "w0").collect())
     assert got == want
+
+
+def test_rebuild_packs_next_version(spark, sf001, tmp_path):
+    e = _emb(spark, sf001)
+    params = ix.identity_params(e, 64, "embedding")
+    index = pc.project_keys(e.select(F.col("vec_id").alias("ord"), F.col("vec_id").alias("id"),
+                                     F.lit("t").alias("title"), "embedding"),
+                            params, "embedding", keep=["ord", "id", "title"])
+    root = str(tmp_path / "rb")
+    assert store.rebuild(spark, index, params, root) == 1
+    assert store.rebuild(spark, index.filter(F.col("id") < 10), params, root) == 2
+    i2, _ = store.load_index(spark, root)
+    assert i2.count() == 10                      # the newest snapshot wins
