@@ -32,72 +32,87 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import row_key, table
-from .words import Powers, WordHashes, mix, prefix_sums, span_hashes, window_hashes
+from .words import Powers, mix, prefix_sums, span_hashes, window_hashes, word_hashes
 
 K = 35          # words of an edge: shorter repeats stay
 M = 8           # words of a minimizer
 
 
-def _pieces(w: np.ndarray, k: int, m: int, powers: Powers):
-    """(minimizer hash, piece hash, first word, end) of each piece of one text."""
+POSITION = np.uint64(28)     # low bits that hold a position while minima are taken
+
+
+def _window_minima(x: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every ``width`` consecutive elements, from minima that run forwards and
+    backwards in blocks of that width."""
+    n = len(x) - width + 1
+    padded = np.full(-(-len(x) // width) * width, ~np.uint64(0))
+    padded[:len(x)] = x
+    blocks = padded.reshape(-1, width)
+    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[:n], ahead[width - 1:width - 1 + n])
+
+
+def _pieces(w: np.ndarray, offsets: np.ndarray, k: int, m: int, powers: Powers):
+    """(row, minimizer hash, piece hash, first word, end) of each piece of some texts."""
     p = prefix_sums(w, powers)
     mers = window_hashes(p, m, powers)
-    width = k - m + 1                                   # m-mers in an edge
-    view = np.lib.stride_tricks.sliding_window_view(mers, width)
-    at = view.argmin(axis=1) + np.arange(len(view))     # minimizer of each edge, leftmost
+    # leftmost minimum: the position is the low end of what is compared
+    packed = (mers >> POSITION << POSITION) | np.arange(len(mers), dtype=np.uint64)
+    at = (_window_minima(packed, k - m + 1) & ((np.uint64(1) << POSITION) - np.uint64(1))).astype(np.int64)
+    n = np.diff(offsets)
+    row = np.repeat(np.arange(len(n)), np.maximum(n - k + 1, 0))
+    edge = np.concatenate([np.arange(a, b - k + 1) for a, b in zip(offsets[:-1], offsets[1:]) if b - a >= k])
+    at = at[edge]
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    last = np.concatenate([first[1:], [len(at)]]) - 1
-    end = last + k
-    mini = at[first]
+    last = np.append(first[1:], len(at)) - 1
+    mini, row = at[first], row[first]
+    first, end = edge[first], edge[last] + k
     piece = mix(span_hashes(p, first, end, powers)
                 ^ ((mini - first).astype(np.uint64) << np.uint64(32))
                 ^ (end - first).astype(np.uint64))
-    return mix(mers[mini]), piece, first, end
+    return row, mix(mers[mini]), piece, first - offsets[row], end - offsets[row]
 
 
 def _emit_pieces(k: int, m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = WordHashes(), Powers()
+        powers = Powers()
         for batch in batches:
-            out, keys, counts = [], [], []
-            for key, text in zip(batch.column(0).to_numpy(zero_copy_only=False),
-                                 batch.column(1).to_pylist()):
-                words = text.split()
-                if len(words) >= k:
-                    out.append(_pieces(hashes.of(words), k, m, powers))
-                    keys.append(key)
-                    counts.append(len(out[-1][0]))
-            if out:
-                mini, piece, first, end = (np.concatenate(x) for x in zip(*out))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(mini.view(np.int64)), pa.array(piece.view(np.int64)),
-                     pa.array(np.repeat(np.array(keys, np.int64), counts)),
-                     pa.array(first.astype(np.int32)), pa.array(end.astype(np.int32))],
-                    names=["mini", "piece", "rk", "first", "end"])
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            for start, w, offsets in word_hashes(batch.column(1)):
+                if np.diff(offsets).max() >= k:
+                    row, mini, piece, first, end = _pieces(w, offsets, k, m, powers)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(mini.view(np.int64)), pa.array(piece.view(np.int64)),
+                         pa.array(keys[start + row]), pa.array(first.astype(np.int32)),
+                         pa.array(end.astype(np.int32))],
+                        names=["mini", "piece", "rk", "first", "end"])
     return run
 
 
 def _emit_edges(k: int):
-    """Edges of the pieces to check: (mini, edge, rk, at, weight, open)."""
+    """Edges of the pieces to check: (mini, edge, rk, at, n), n: how often the piece occurs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, powers = WordHashes(), Powers()
+        powers = Powers()
         for batch in batches:
-            out = []
-            for key, text, todo in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                       batch.column(2).to_pylist()):
-                w = hashes.of(text.split())
+            keys = batch.column(0).to_pylist()
+            for start, w, offsets in word_hashes(batch.column(1)):
                 edges = window_hashes(prefix_sums(w, powers), k, powers)
-                for x in todo:
-                    at = np.arange(x["first"], x["end"] - k + 1)
-                    n = len(at)
-                    out.append((np.full(n, x["mini"], np.int64), edges[at].view(np.int64),
-                                np.full(n, key, np.int64), at.astype(np.int32),
-                                np.full(n, x["n"], np.int64)))
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(x)) for x in zip(*out)],
-                    names=["mini", "edge", "rk", "at", "n"])
+                todo = batch.column(2).slice(start, len(offsets) - 1).to_pylist()
+                out = []
+                for i, pieces in enumerate(todo):
+                    for x in pieces:
+                        at = np.arange(x["first"], x["end"] - k + 1)
+                        out.append((np.full(len(at), x["mini"], np.int64),
+                                    edges[offsets[i] + at].view(np.int64),
+                                    np.full(len(at), keys[start + i], np.int64), at.astype(np.int32),
+                                    np.full(len(at), x["n"], np.int64)))
+                if out:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(x)) for x in zip(*out)],
+                        names=["mini", "edge", "rk", "at", "n"])
     return run
 
 
@@ -131,13 +146,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """Repeated spans of texts: (rk, first, end), words ``first`` to ``end - 1``
     of the row whose key is ``rk``. ``docs``: (rk, text as bytes)."""
-    pieces = docs.mapInArrow(_emit_pieces(k, m),
-                             "mini long, piece long, rk long, first int, end int")
+    pieces = cut_lineage(docs.mapInArrow(
+        _emit_pieces(k, m), "mini long, piece long, rk long, first int, end int"), "all-pieces")
     minis = (pieces.groupBy("mini")
              .agg(F.count("*").alias("_n"), F.min("piece").alias("_lo"), F.max("piece").alias("_hi"))
              .filter("_n >= 2")
              .select("mini", (F.col("_lo") == F.col("_hi")).alias("whole")))
-    found = pieces.join(minis, "mini")
+    found = cut_lineage(pieces.join(minis, "mini"), "pieces")
     whole = found.filter("whole").select("rk", "first", "end")
 
     # Branching minimizers: how often each different piece occurs, and one of its occurrences.
