@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, substrings
+from . import decontaminate, html, jaccard, langid, licenses, merkle, mixing, substrings, urls, warc
 
 QUERIES = {f.__name__: f for f in (
+    html.op1_main_text,
     mixing.op2_mixing,
     substrings.op3_substring_dedup,
+    licenses.op4_licenses,
+    urls.op5_url_filter,
+    warc.op6_warc,
+    decontaminate.op7_decontamination,
+    merkle.op8_fingerprints,
+    jaccard.op9_jaccard_join,
+    langid.op10_language_id,
 )}
 ORACLE: dict[str, str] = {}

@@ -25,3 +25,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def lower_ascii(col: Column) -> Column:
     """A-Z to a-z; every other character stays."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+BROADCAST_KEYS = 1_000_000       # 64-bit keys that are broadcast; more meet by a shuffle
+
+
+def by_key(docs: DataFrame, key: Column, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose key is in ``keys`` (left_semi) or not (left_anti). ``keys``: one
+    written column of distinct 64-bit keys, counted before it is broadcast."""
+    name = keys.columns[0]
+    keys = keys.select(F.col(name).alias("_by_key"))
+    if keys.count() <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return docs.withColumn("_by_key", key).join(keys, "_by_key", how).select(
+        *[F.col(f"`{c}`") for c in docs.columns])
