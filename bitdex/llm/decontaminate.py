@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import by_key, row_key, table
+from .common import BROADCAST_KEYS, by_key, row_key, table
 
 SHINGLE = 5
 SIMILARITY = 0.75
@@ -114,30 +114,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     apart; repeated rows give one line. Null or empty texts and items never match. Items
     of equal text each match. An empty table on either side gives an empty result.
     """
+    # Written tables between the steps: else filters pushed through them repeat whole expressions.
     items = (benchmark.select(F.col(item).alias("item_id"), words(F.col(item_text)).alias("_w"))
-             .filter(F.size("_w") > 0).distinct()
-             .withColumn("i_sh", shingles(F.col("_w"), k)).withColumn("size", F.size("_w"))
-             .withColumn("i_sim", simhash(F.col("i_sh"))).drop("_w"))
-    places = (items.select("size", F.posexplode("i_sh").alias("i_at", "h"))
-              .groupBy("h", "size").agg(F.min("i_at").alias("i_at")))
+             .filter(F.size("_w") > 0).distinct().withColumn("size", F.size("_w")))
+    items = cut_lineage(items.select("item_id", "size", shingles(F.col("_w"), k).alias("i_sh")), "items")
+    items = cut_lineage(items.withColumn("i_sim", simhash(F.col("i_sh"))), "items")
+    places = cut_lineage(items.select("size", F.posexplode("i_sh").alias("i_at", "h"))
+                         .groupBy("h", "size").agg(F.min("i_at").alias("i_at")), "places")
+    small = places.count() <= BROADCAST_KEYS
     rows = docs.select(F.col(id).alias("doc_id"), F.col(text).alias("text"), row_key(id, text).alias("rk"))
-    shingled = rows.select("rk", words(F.col("text")).alias("w"))
+    texts = rows.select("rk", words(F.col("text")).alias("w"))
     # short items are one shingle of all their words; texts are cut at those lengths too
-    short = sorted(r["size"] for r in items.filter(F.col("size") < k).select("size").distinct().collect())
-    long_hits = shingled.select("rk", F.posexplode(shingles(F.col("w"), k)).alias("at", "h"))
-    hits = long_hits.join(places.filter(F.col("size") >= k), "h")
-    for n in short:
-        hits = hits.unionByName(
-            shingled.select("rk", F.posexplode(shingles(F.col("w"), n)).alias("at", "h"))
-            .join(places.filter(F.col("size") == n), "h"))
-    starts = (hits.select("rk", "size", F.greatest(F.col("at") - F.col("i_at"), F.lit(0)).alias("start"))
-              .groupBy("rk").agg(F.collect_set(F.struct("size", "start")).alias("_starts")))
-    windows = rows.join(starts, "rk").select(
-        "doc_id", "rk", words(F.col("text")).alias("w"), F.explode("_starts").alias("_s"))
-    windows = windows.select("doc_id", "rk", "_s.size", "_s.start",
-                             F.slice("w", F.col("_s.start") + 1, F.col("_s.size")).alias("w"))
-    windows = (windows.withColumn("w_sh", shingles(F.col("w"), k))
-               .withColumn("w_sim", simhash(F.col("w_sh"))).drop("w"))
+    lengths = [r["size"] for r in items.filter(F.col("size") < k).select("size").distinct().collect()]
+    hits = None
+    for n in [k, *sorted(lengths)]:
+        there = places.filter(F.col("size") >= k if n == k else F.col("size") == n)
+        found = (texts.select("rk", F.posexplode(shingles(F.col("w"), n)).alias("at", "h"))
+                 .join(F.broadcast(there) if small else there, "h"))
+        hits = found if hits is None else hits.unionByName(found)
+    starts = cut_lineage(hits.select("rk", "size", F.greatest(F.col("at") - F.col("i_at"), F.lit(0)).alias("start"))
+                         .groupBy("rk").agg(F.collect_set(F.struct("size", "start")).alias("_starts")), "starts")
+    if starts.count() <= BROADCAST_KEYS:
+        starts = F.broadcast(starts)
+    held = cut_lineage(rows.join(starts, "rk").select("doc_id", "rk", words(F.col("text")).alias("w"), "_starts"),
+                       "held")
+    windows = held.select("doc_id", "rk", "w", F.explode("_starts").alias("_s")).select(
+        "doc_id", "rk", "_s.size", "_s.start", F.slice("w", F.col("_s.start") + 1, F.col("_s.size")).alias("w"))
+    windows = cut_lineage(windows.select("doc_id", "rk", "size", "start", shingles(F.col("w"), k).alias("w_sh")),
+                          "windows")
+    windows = cut_lineage(windows.withColumn("w_sim", simhash(F.col("w_sh"))), "windows")
     pairs = hamming_join(windows, items, radius)
     scored = (pairs.withColumn("similarity", weighted_similarity(F.col("w_sh"), F.col("i_sh")))
               .filter(F.col("similarity") >= similarity)

@@ -4,7 +4,7 @@ Text is lower-cased (A-Z) and cut into words of letters, digits and characters
 beyond ASCII; rules are regular expressions over those words joined by blanks.
 A rule is tried only on texts that hold one of its keywords. Every match is an
 interval of words with the rule's priority; an interval that lies inside one of
-higher priority is suppressed. What is left gives the labels.
+higher priority, or inside a longer one of the same, is suppressed. What is left gives the labels.
 
 The four base phrases are rules too; their places are reported whether or not a
 longer signature suppresses their label.
@@ -123,7 +123,7 @@ SINGLE = (        # label, keywords, pattern, priority
 
 def _number(version: str) -> str:
     words = version.replace(".", " ")
-    return f"(?:{words}|{words[:-2]})" if words.endswith(" 0") else words
+    return f"(?:{words}|{words[:-2]}(?! [0-9]))" if words.endswith(" 0") else words
 
 
 def signature_rules() -> tuple[Rule, ...]:
@@ -211,8 +211,9 @@ def scan(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) ->
     kept = F.transform("_all", lambda d: F.struct(
         d["s"].alias("s"), d["e"].alias("e"), d["label"].alias("label"),
         d["priority"].alias("priority"), d["base"].alias("base"),
-        (~F.exists("_all", lambda o: (o["priority"] > d["priority"]) & (o["s"] <= d["s"])
-                   & (o["e"] >= d["e"]))).alias("kept")))
+        (~F.exists("_all", lambda o: (o["s"] <= d["s"]) & (o["e"] >= d["e"]) & (
+            (o["priority"] > d["priority"])
+            | ((o["priority"] == d["priority"]) & (o["e"] - o["s"] > d["e"] - d["s"]))))).alias("kept")))
     return out.withColumn("_found", kept).drop("_norm", "_words", "_gates", "_all")
 
 
