@@ -146,12 +146,14 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """Repeated spans of texts: (rk, first, end), words ``first`` to ``end - 1``
     of the row whose key is ``rk``. ``docs``: (rk, text as bytes)."""
-    pieces = cut_lineage(docs.mapInArrow(
-        _emit_pieces(k, m), "mini long, piece long, rk long, first int, end int"), "all-pieces")
-    minis = (pieces.groupBy("mini")
-             .agg(F.count("*").alias("_n"), F.min("piece").alias("_lo"), F.max("piece").alias("_hi"))
-             .filter("_n >= 2")
-             .select("mini", (F.col("_lo") == F.col("_hi")).alias("whole")))
+    pieces = docs.mapInArrow(_emit_pieces(k, m),
+                             "mini long, piece long, rk long, first int, end int")
+    # written, so that the join below reads both sides anew and a hot minimizer can be split
+    minis = cut_lineage(
+        pieces.groupBy("mini")
+        .agg(F.count("*").alias("_n"), F.min("piece").alias("_lo"), F.max("piece").alias("_hi"))
+        .filter("_n >= 2")
+        .select("mini", (F.col("_lo") == F.col("_hi")).alias("whole")), "minimizers")
     found = cut_lineage(pieces.join(minis, "mini"), "pieces")
     whole = found.filter("whole").select("rk", "first", "end")
 
