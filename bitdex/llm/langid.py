@@ -36,17 +36,18 @@ TRUST = 0.9
 KAPPA = 20.0            # rows that a prior weighs against a host's or suffix's own
 UND = "und"
 UND_PRIOR = 0.01
+BACKGROUND = 0.1        # share of the background in every language's trigrams
 MAX_LANGUAGES = 64      # the declared languages with most rows
 
 _CLASS = np.full(256, 32, np.uint8)
 _CLASS[97:123] = np.arange(97, 123)
 _CLASS[65:91] = np.arange(97, 123)
 _CLASS[128:] = np.arange(128, 256)
-CHUNK = 4 << 20
+CHUNK = 1 << 20        # bytes of text worked on at a time (or one text)
 
 
-def _trigrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, rows, row of each trigram, bucket of each trigram) for chunks of texts."""
+def _trigrams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, letters of each row, row and bucket of each trigram) for chunks of texts."""
     column = pc.fill_null(column, b"")
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
     every = column.buffers()[2]
@@ -56,16 +57,17 @@ def _trigrams(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarr
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
         cut = offsets[row:end + 1].astype(np.int64) - offsets[row]
         data = _CLASS[every[offsets[row]:offsets[end]]].astype(np.uint32)
+        own = np.repeat(np.arange(end - row), np.diff(cut))
+        letters = np.bincount(own[data != 32], minlength=end - row)
         if len(data) >= 3:
             a, b, c = data[:-2], data[1:-1], data[2:]
             code = ((a << np.uint32(16)) | (b << np.uint32(8)) | c) * np.uint32(2654435761)
-            own = np.repeat(np.arange(end - row), np.diff(cut))
             # of one text, at most one blank and that not in the middle
             good = (own[:-2] == own[2:]) & (b != 32) & ((a != 32) | (c != 32))
-            yield row, end - row, own[:-2][good], (code >> np.uint32(20))[good].astype(np.int64)
+            yield row, letters, own[:-2][good], (code >> np.uint32(20))[good].astype(np.int64)
         else:
             none = np.zeros(0, np.int64)
-            yield row, end - row, none, none
+            yield row, letters, none, none
         row = end
 
 
@@ -75,8 +77,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: dict[str, int] = {}
     for batch in batches:
         declared = batch.column(1).to_pylist()
-        for first, n, own, bucket in _trigrams(batch.column(0)):
-            names = declared[first:first + n]
+        for first, letters, own, bucket in _trigrams(batch.column(0)):
+            names = declared[first:first + len(letters)]
             known = {x: i for i, x in enumerate(dict.fromkeys(names))}
             which = np.array([known[x] for x in names], np.int64)
             counts = np.bincount(which[own] * BUCKETS + bucket, minlength=len(known) * BUCKETS)
@@ -98,9 +100,9 @@ def _score(weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             likes, seen = [], []
-            for _, n, own, bucket in _trigrams(batch.column("_text")):
-                seen.append(np.bincount(own, minlength=n))
-                likes.append(np.stack([np.bincount(own, w[bucket], n) for w in weights], 1))
+            for _, letters, own, bucket in _trigrams(batch.column("_text")):
+                seen.append(letters)
+                likes.append(np.stack([np.bincount(own, w[bucket], len(letters)) for w in weights], 1))
             like = np.concatenate(likes) * TEMPER if likes else np.zeros((0, len(weights)))
             like = np.maximum(like - like.max(axis=1, keepdims=True), -MOST) if len(like) else like
             n = np.concatenate(seen) if seen else np.zeros(0, np.int64)
@@ -143,7 +145,8 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray, dict[str, int]]:
         for r in counts.filter(F.col("bucket") >= 0).filter(F.col("lang").isin(langs)).collect():
             table_[langs.index(r["lang"]), r["bucket"]] += r["n"]
     table_[-1] = 1.0
-    return langs, np.log(table_ / table_.sum(axis=1, keepdims=True)), n_rows
+    shares = table_ / table_.sum(axis=1, keepdims=True)
+    return langs, np.log((1 - BACKGROUND) * shares + BACKGROUND / BUCKETS), n_rows
 
 
 def _normal(logs: Column) -> Column:

@@ -16,7 +16,7 @@ import xxhash
 
 MULT = np.uint64(0x9E3779B97F4A7C15)          # odd, so invertible modulo 2**64
 MULT_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-CHUNK = 4 << 20                               # bytes of text worked on at a time (or one text)
+CHUNK = 1 << 20                               # bytes of text worked on at a time (or one text)
 LONG_WORD = 64                                # bytes from which a word is hashed on its own
 
 _SPACE = np.zeros(256, bool)
