@@ -37,7 +37,6 @@ MIN_UNITS = 4
 
 # Tokenizer classes (ASCII): space is " \t\n\v\f\r"; punctuation is every
 # printable non-alphanumeric ASCII character (33-47, 58-64, 91-96, 123-126).
-TOKEN_SPACE = " \t\n\x0b\x0c\r"
 PUNCT_CLASS = r"[!-/:-@\[-`{-~]"
 # Folding exceptions to the NFD rule below: letters with no canonical
 # decomposition that still fold to an ASCII base.
@@ -190,9 +189,9 @@ def title_query(col: Column | str) -> Column:
         .otherwise(t)
 
 
-def first_line_title(col: Column | str, width: int = 80) -> Column:
-    """Title for a corpus without a title column: first line, ``width`` chars."""
-    return F.substring(F.substring_index(_c(col), "\n", 1), 1, width)
+def first_line_title(col: Column | str) -> Column:
+    """Title for a corpus without a title column: the whole first line."""
+    return F.substring_index(_c(col), "\n", 1)
 
 
 # -- F1 ---------------------------------------------------------------------
@@ -218,7 +217,3 @@ def basic_tokens(col: Column | str) -> Column:
 def tokenize(col: Column | str) -> Column:
     """``basic_tokens(fold_text(col))``."""
     return basic_tokens(fold_text(col))
-
-
-def is_punct_token(col: Column | str) -> Column:
-    return F.regexp_like(_c(col), F.lit(f"^{PUNCT_CLASS}$"))

@@ -78,7 +78,3 @@ def has_dim(v: Column | str, dim: int) -> Column:
     """Guard before ``zip_with``: exactly ``dim`` elements (it pads with NULL
     otherwise and the dot product becomes NULL)."""
     return _c(v).isNotNull() & (F.size(_c(v)) == F.lit(dim))
-
-
-def to_double_array(v: Column | str) -> Column:
-    return _c(v).cast("array<double>")

@@ -8,15 +8,17 @@ An encoder is any object with
 * optionally ``column(text_col) -> Column``, a pure Spark SQL expression that
   computes the same vector inside the JVM.
 
+or an ``EncoderSource``, which names such an object and loads it inside each
+Python worker, once per worker. Either may be defined in a script or notebook.
+
 ``embed`` uses the JVM expression when there is one, otherwise an Arrow
-``pandas_udf`` that calls ``encode_batch`` on whole batches. The model is
-built once per Python worker (``_cached``) and never shipped per row.
+``pandas_udf`` that calls ``encode_batch`` on whole batches.
 
 The built-in ``HashPoolEncoder`` is a lexical stand-in for a sentence model
 (random-hyperplane hashing of tokens): each basic token ``t`` gets the
 ``dim`` bits of ``md5("0:" t) || md5("1:" t) || ...`` mapped to +1/-1, the
-vectors of a text's first ``max_tokens`` tokens are summed and the sum is
-L2-normalised. It is deterministic and needs no model file; it is *not* a
+vectors of a text's tokens (all of them; a limit is an option) are summed and
+the sum is L2-normalised. It is deterministic and needs no model file; it is *not* a
 semantic encoder.
 """
 
@@ -35,10 +37,9 @@ from pyspark.sql import types as T
 from ..functions import text as tx
 from ..functions import vectors as vx
 
-# Basic tokens beyond this many are not read (model context of 512 minus the
-# two framing tokens).
-DEFAULT_MAX_TOKENS = 510
 DEFAULT_DIM = 384
+# Tokens whose bits are held at a time (x dim bytes).
+TOKEN_CHUNK = 32_768
 
 
 class HashPoolEncoder:
@@ -50,7 +51,7 @@ class HashPoolEncoder:
     prefer_jvm = False
 
     def __init__(self, dim: int = DEFAULT_DIM,
-                 max_tokens: int = DEFAULT_MAX_TOKENS):
+                 max_tokens: int | None = None):
         if dim % 128 != 0 or dim <= 0:
             raise ValueError("HashPoolEncoder dim must be a multiple of 128")
         self.dim = dim
@@ -59,7 +60,9 @@ class HashPoolEncoder:
     # -- JVM form ---------------------------------------------------------
     def token_sums(self, text: Column) -> Column:
         """Integer vector ``s`` with ``s_i = sum_t (2 * bit_i(t) - 1)``."""
-        toks = F.slice(tx.tokenize(text), 1, self.max_tokens)
+        toks = tx.tokenize(text)
+        if self.max_tokens is not None:
+            toks = F.slice(toks, 1, self.max_tokens)
         groups = self.dim // 128
         dims = F.sequence(F.lit(0), F.lit(self.dim - 1))
 
@@ -86,29 +89,38 @@ class HashPoolEncoder:
         return vx.l2_normalize(self.token_sums(text))
 
     # -- Python form ------------------------------------------------------
+    def _bits(self, tokens: list[str]) -> np.ndarray:
+        """The ``dim`` bits of each token, as bytes."""
+        digests = b"".join(hashlib.md5(f"{g}:{t}".encode("utf-8")).digest()
+                           for t in tokens for g in range(self.dim // 128))
+        return np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, self.dim)
+
     def sums_batch(self, texts) -> np.ndarray:
-        """Integer token sums ``s`` per text (the state before normalising):
-        each distinct token of the batch is hashed once (``pd.factorize``),
-        and the rows are summed per text with ``np.add.reduceat``."""
-        n = len(texts)
-        out = np.zeros((n, self.dim), dtype=np.int64)
-        groups = self.dim // 128
-        toks = [py_tokenize(t)[: self.max_tokens] if t is not None else [] for t in texts]
-        counts = np.fromiter((len(t) for t in toks), dtype=np.int64, count=n)
-        if counts.sum() == 0:
-            return out
-        flat = np.empty(int(counts.sum()), dtype=object)
-        flat[:] = [t for ts in toks for t in ts]
-        codes, uniques = pd.factorize(flat)
-        bits = np.empty((len(uniques), self.dim), dtype=np.uint8)
-        for j, t in enumerate(uniques):
-            digest = b"".join(hashlib.md5(f"{g}:{t}".encode("utf-8")).digest()
-                              for g in range(groups))
-            bits[j] = np.unpackbits(np.frombuffer(digest, dtype=np.uint8))
-        rows = np.flatnonzero(counts)
-        starts = np.concatenate(([0], np.cumsum(counts[rows])[:-1]))
-        ones = np.add.reduceat(bits[codes].astype(np.int32), starts, axis=0)
-        out[rows] = 2 * ones.astype(np.int64) - counts[rows][:, None]
+        """Integer token sums ``s`` per text (the state before normalising). Sums add
+        up, so at most ``TOKEN_CHUNK`` tokens are expanded at a time however long the
+        texts are; each distinct token of a chunk is hashed once."""
+        out = np.zeros((len(texts), self.dim), dtype=np.int64)
+        rows, flat, starts = [], [], []
+
+        def add() -> None:
+            codes, uniques = pd.factorize(np.array(flat, dtype=object))
+            ones = np.add.reduceat(self._bits(list(uniques))[codes], starts, axis=0, dtype=np.int32)
+            counts = np.diff(np.append(starts, len(flat)))
+            out[rows] += 2 * ones.astype(np.int64) - counts[:, None]
+            for x in (rows, flat, starts):
+                x.clear()
+
+        for i, text in enumerate(texts):
+            toks = py_tokenize(text)[: self.max_tokens] if text else []
+            for at in range(0, len(toks), TOKEN_CHUNK):
+                part = toks[at:at + TOKEN_CHUNK]
+                if flat and (len(flat) + len(part) > TOKEN_CHUNK or rows[-1] == i):
+                    add()
+                rows.append(i)
+                starts.append(len(flat))
+                flat.extend(part)
+        if flat:
+            add()
         return out
 
     def encode_batch(self, texts) -> np.ndarray:
@@ -144,20 +156,31 @@ def py_tokenize(text: str) -> list[str]:
 
 
 # -- embed ------------------------------------------------------------------
-_WORKER_CACHE: dict[int, object] = {}
+class EncoderSource:
+    """An encoder that is loaded where it is used: ``load()`` runs once in each Python
+    worker, under ``name`` (say, a model's path), and the worker keeps one encoder."""
+
+    def __init__(self, name: str, load, dim: int):
+        self.name, self.load, self.dim = name, load, dim
+
+
+_LOADED: dict[str, object] = {}
 
 
-def _cached(encoder):
-    key = id(encoder)
-    if key not in _WORKER_CACHE:
-        _WORKER_CACHE[key] = encoder
-    return _WORKER_CACHE[key]
+def loaded(encoder):
+    """The encoder itself, or what its source loads."""
+    if not isinstance(encoder, EncoderSource):
+        return encoder
+    if encoder.name not in _LOADED:
+        _LOADED.clear()
+        _LOADED[encoder.name] = encoder.load()
+    return _LOADED[encoder.name]
 
 
 def _vector_udf(encoder):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def enc(texts: pd.Series) -> pd.Series:
-        m = _cached(encoder)
+        m = loaded(encoder)
         mat = m.encode_batch(texts.tolist())
         return pd.Series(list(mat))
     # A barrier for the optimizer: keeps filters from being pushed below the
@@ -166,24 +189,6 @@ def _vector_udf(encoder):
     return enc.asNondeterministic()
 
 
-def _array_udf(encoder):
-    @F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
-    def enc(arrs: pd.Series) -> pd.Series:
-        m = _cached(encoder)
-        lens = [0 if a is None else len(a) for a in arrs]
-        flat = [t for a in arrs if a is not None for t in a]
-        mat = m.encode_batch(flat) if flat else np.zeros((0, m.dim))
-        out, at = [], 0
-        for a, n in zip(arrs, lens):
-            if a is None:
-                out.append(None)
-            else:
-                out.append([mat[at + j] for j in range(n)])
-            at += n
-        return pd.Series(out)
-    return enc.asNondeterministic()
-
-
 def _use_jvm(encoder, mode: str) -> bool:
     if mode == "python" or not hasattr(encoder, "column"):
         return False
@@ -191,15 +196,16 @@ def _use_jvm(encoder, mode: str) -> bool:
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin ``df`` over at least ``min_partitions`` tasks (default:
-    the cluster's ``defaultParallelism``) before a CPU-heavy step when the
-    scan produced fewer (a few large row groups); a no-op on inputs that are
-    already split finely enough, i.e. on any large corpus."""
+    """Round-robin ``df`` over ``min_partitions`` tasks (default: the cluster's
+    ``defaultParallelism``) before a CPU-heavy step when its estimated bytes fill fewer
+    scan partitions (a few large row groups); a no-op on any large corpus. The
+    estimate is the optimizer's, so no job runs; the result is the same either way."""
+    spark = df.sparkSession
     if min_partitions is None:
-        min_partitions = df.sparkSession.sparkContext.defaultParallelism
-    if min_partitions and df.rdd.getNumPartitions() < min_partitions:
-        return df.repartition(min_partitions)
-    return df
+        min_partitions = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return df.repartition(min_partitions) if size < min_partitions * split else df
 
 
 def token_sums_col(text: Column | str, encoder: HashPoolEncoder,
@@ -211,29 +217,20 @@ def token_sums_col(text: Column | str, encoder: HashPoolEncoder,
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def sums(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(_cached(encoder).sums_batch(texts.tolist())))
+        return pd.Series(list(loaded(encoder).sums_batch(texts.tolist())))
     return sums.asNondeterministic()(c)
 
 
 def _scores_udf(encoder):
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def scores(titles: pd.Series, arrs: pd.Series) -> pd.Series:
-        m = _cached(encoder)
+        m = loaded(encoder)
         out = [None] * len(arrs)
-        rows = [i for i, a in enumerate(arrs) if a is not None and titles.iloc[i] is not None]
-        if not rows:
-            return pd.Series(out, dtype=object)
-        flat, spans = [], []
-        for i in rows:
-            spans.append((len(flat), len(arrs.iloc[i])))
-            flat.append(titles.iloc[i])
-            flat.extend(arrs.iloc[i])
-        mat = m.encode_batch(flat)
-        for i, (at, n) in zip(rows, spans):
-            # left-to-right sum, as the SQL/higher-order-function dot product
-            prod = mat[at + 1: at + 1 + n] * mat[at]
-            out[i] = (np.add.accumulate(prod, axis=1)[:, -1].tolist()
-                      if n else [])
+        for i, (title, units) in enumerate(zip(titles, arrs)):      # one article at a time
+            if units is not None and title is not None:
+                mat = m.encode_batch([title, *units])
+                # left-to-right sum, as the SQL/higher-order-function dot product
+                out[i] = np.add.accumulate(mat[1:] * mat[0], axis=1)[:, -1].tolist()
         return pd.Series(out, dtype=object)
     return scores.asNondeterministic()
 
@@ -259,14 +256,6 @@ def encode_col(text: Column | str, encoder, mode: str = "auto") -> Column:
     return _vector_udf(encoder)(c)
 
 
-def encode_array_col(texts: Column | str, encoder, mode: str = "auto") -> Column:
-    """Array of vectors for an array-of-strings column, element by element."""
-    c = F.col(texts) if isinstance(texts, str) else texts
-    if _use_jvm(encoder, mode):
-        return F.transform(c, lambda t: encoder.column(t))
-    return _array_udf(encoder)(c)
-
-
 def embed(df: DataFrame, text_col: str, out_col: str = "vec", encoder=None,
           mode: str = "auto") -> DataFrame:
     """One vector per input row (C2). Put every filter *before* this call:

@@ -1,15 +1,15 @@
 """Index build and query encoding.
 
-``build_index`` fits the projection on a sample of the bodies (the sample is
-drawn from the bodies table *before* encoding, so only sampled rows are
-encoded for the fit) and then encodes, projects and sign-packs every body in
-one Arrow pass. The result is the ``index`` table ``(ord, id, title, w0..)``
--- keys and slug columns in the same row, so they can never misalign.
+``build_index`` encodes every body once (the vectors are written), fits the
+projection on all of them -- mean and covariance are sums, so the fit needs one
+pass and ``dim x dim`` numbers whatever the number of rows -- and projects and
+sign-packs them in one Arrow pass. The result is the ``index`` table
+``(row, ord, id, title, w0..)``: keys and slug columns in the same row, so they
+can never misalign, and a ``row`` number that tells rows of one id apart.
 """
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,83 +33,72 @@ def with_ord(df: DataFrame, id_col: str = "id") -> DataFrame:
     return df.withColumn("ord", F.monotonically_increasing_id())
 
 
-def fit_params(bodies: DataFrame, encoder, k: int = DEFAULT_K, text: str = "body",
-               projection: str = "pca", sample_cap: int = pc.DEFAULT_SAMPLE_CAP,
-               seed: int = pc.DEFAULT_SEED, mode: str = "auto",
-               min_partitions: int | None = None) -> pc.PcaParams:
-    """Fit on at most ``sample_cap`` bodies."""
-    pc.require_rows(bodies)
-    sample = pc.fit_sample(bodies.select(text), sample_cap, seed)
-    vecs = enc.embed(enc.spread(sample, min_partitions), text, "vec", encoder, mode)
+def fit_params(vectors: DataFrame, k: int = DEFAULT_K, projection: str = "pca",
+               vec: str = "vec") -> pc.PcaParams:
+    """Fit on every row of ``vectors`` (R2, A1, A3). For a fit on a sample, pass
+    ``pca.fit_sample(vectors, cap)`` (R1)."""
+    pc.require_rows(vectors)
     if projection == "identity":
-        mean = pc.dim_mean(vecs, "vec")
-        return pc.PcaParams.identity(mean, k)
-    return pc.pca_fit(vecs, k, "vec", sample_cap=sample_cap, seed=seed)
+        return pc.PcaParams.identity(pc.dim_mean(vectors, vec), k)
+    return pc.pca_fit(vectors, k, vec)
 
 
 def build_index(bodies: DataFrame, encoder=None, k: int = DEFAULT_K,
                 text: str = "body", projection: str = "pca",
-                sample_cap: int = pc.DEFAULT_SAMPLE_CAP, seed: int = pc.DEFAULT_SEED,
                 mode: str = "auto", min_partitions: int | None = None,
-                params: pc.PcaParams | None = None, cut: bool = True,
-                bodies_written: bool = False):
+                params: pc.PcaParams | None = None):
     """(index, params): keys for **all** bodies.
 
-    With ``cut`` the bodies are written once under the shared checkpoint
-    folder (they are read twice: fit + projection) and so is the index (it
-    is scanned by searches and joined for titles): no encoder work is
-    repeated and a lost executor only re-runs one stage. When the whole
-    table is the fit sample (``n <= sample_cap``) the vectors are written
-    instead and both the fit and the projection read them, so every body is
-    encoded exactly once; above the cap only the sample is encoded twice.
+    Without ``params`` the vectors are written once under the shared checkpoint
+    folder and read by both the fit and the projection, so every body is encoded
+    exactly once; with ``params`` encoding, projection and packing are one pass and
+    no vector is written. The index is written too: it is scanned by searches and
+    joined for titles. A lost executor only re-runs a part of one stage.
     """
     encoder = encoder or enc.HashPoolEncoder()
-    rows = with_ord(bodies).select("ord", "id", "title", text)
-    if not cut:
-        if params is None:
-            params = fit_params(rows, encoder, k, text, projection, sample_cap,
-                                seed, mode, min_partitions)
-        return _keys(enc.spread(rows, min_partitions), text, encoder, params, mode), params
-    if not bodies_written:     # already a written table: read it as it is
-        rows = cut_lineage(rows, "bodies")
-    n = rows.count()
-    pc.require_rows(rows)
-    if params is None and n <= sample_cap:
-        vecs = cut_lineage(enc.embed(enc.spread(rows, min_partitions), text, "vec",
-                                     encoder, mode).drop(text), "vectors")
-        if projection == "identity":
-            params = pc.PcaParams.identity(pc.dim_mean(vecs, "vec"), k)
-        else:
-            params = pc.pca_fit(vecs, k, "vec", sample_cap=sample_cap, seed=seed)
-        index = pc.project_keys(vecs, params, "vec", keep=["ord", "id", "title"])
+    rows = enc.spread(with_ord(bodies).select("ord", "id", "title", text), min_partitions)
+    keep = ["ord", "id", "title"]
+    if params is None:
+        vecs = cut_lineage(enc.embed(rows, text, "vec", encoder, mode).drop(text), "vectors")
+        params = fit_params(vecs, k, projection)
+        index = pc.project_keys(vecs, params, "vec", keep=keep)
     else:
-        if params is None:
-            params = fit_params(rows, encoder, k, text, projection, sample_cap,
-                                seed, mode, min_partitions)
-        index = _keys(enc.spread(rows, min_partitions), text, encoder, params, mode)
-    return cut_lineage(index, "index"), params
+        index = _keys(rows, text, encoder, params, mode, keep)
+    index = index.withColumn("row", F.monotonically_increasing_id())
+    return cut_lineage(index.select("row", *keep, *kx.word_cols(params.k)), "index"), params
 
 
-def _keys(rows: DataFrame, text: str, encoder, params: pc.PcaParams, mode: str) -> DataFrame:
+def _keys(rows: DataFrame, text: str, encoder, params: pc.PcaParams, mode: str,
+          keep: list[str]) -> DataFrame:
     """Keys for every row: one fused Arrow pass unless the encoder runs in
     the JVM."""
     if enc._use_jvm(encoder, mode):
         vecs = enc.embed(rows, text, "vec", encoder, mode).drop(text)
-        return pc.project_keys(vecs, params, "vec", keep=["ord", "id", "title"])
-    return pc.encode_project_keys(rows, text, encoder, params, ["ord", "id", "title"])
+        return pc.project_keys(vecs, params, "vec", keep=keep)
+    return pc.encode_project_keys(rows, text, encoder, params, keep)
+
+
+def accepted_queries(queries: DataFrame, text: str = "text") -> DataFrame:
+    """Queries with a text. Null and empty texts are rejected: they get no hits and
+    no histogram. Blanks alone are a text."""
+    return queries.filter(F.col(text).isNotNull() & (F.col(text) != ""))
+
+
+def rejected_queries(queries: DataFrame, text: str = "text", qid: str = "qid") -> DataFrame:
+    """(qid, reason) of the queries that get no answer."""
+    return queries.filter(F.col(text).isNull() | (F.col(text) == "")).select(
+        F.col(qid).alias("qid"), F.lit("empty query").alias("reason"))
 
 
 def encode_queries(queries: DataFrame, params: pc.PcaParams, encoder=None,
                    text: str = "text", qid: str = "qid", mode: str = "auto"
                    ) -> DataFrame:
-    """(qid, w0..) with the same encoder and params as the documents (C4).
-    Null or token-less queries encode to the zero vector (as documents do)."""
+    """(qid, w0..) of each accepted query with the same encoder and params as the
+    documents (C4); ``qid`` keeps its type. Texts without tokens encode to the zero
+    vector (as documents do)."""
     encoder = encoder or enc.HashPoolEncoder()
-    q = queries.select(F.col(qid).cast("long").alias("qid"), F.col(text).alias("_t"))
-    if enc._use_jvm(encoder, mode):
-        vecs = enc.embed(q, "_t", "vec", encoder, mode).drop("_t")
-        return pc.project_keys(vecs, params, "vec", keep=["qid"])
-    return pc.encode_project_keys(q, "_t", encoder, params, ["qid"])
+    q = accepted_queries(queries, text).select(F.col(qid).alias("qid"), F.col(text).alias("_t"))
+    return _keys(q, "_t", encoder, params, mode, ["qid"])
 
 
 def search(queries: DataFrame, index: DataFrame, params: pc.PcaParams,
@@ -117,9 +106,20 @@ def search(queries: DataFrame, index: DataFrame, params: pc.PcaParams,
            qid: str = "qid", mode: str = "auto") -> DataFrame:
     """Top ``top`` articles per query with distance, URL and flags."""
     qkeys = encode_queries(queries, params, encoder, text, qid, mode)
-    batches = sr.query_batches(qkeys, params.k)
-    hits = sr.knn(index, batches, params.k, top)
-    return sr.resolve_hits(hits, index, params.k, sum(len(b) for b in batches) * top)
+    return sr.resolve_hits(sr.knn(index, qkeys, params.k, top), index, params.k)
+
+
+def search_one(query: str, index: DataFrame, params: pc.PcaParams, encoder=None,
+               top: int = sr.DEFAULT_TOP) -> DataFrame:
+    """Top ``top`` articles for a single query text: the key is encoded on the driver
+    and the scan is one codegen'd stage (T1). An empty text raises."""
+    if not query:
+        raise ValueError("empty query")
+    encoder = enc.loaded(encoder or enc.HashPoolEncoder())
+    y = (encoder.encode_batch([query]) - params.mean) @ params.components.T
+    words = pc.pack_signs_np(y, params.k)[0].tolist()
+    hits = sr.topk_one(index, words, params.k, top).withColumn("qid", F.lit(query))
+    return sr.resolve_hits(hits, index, params.k)
 
 
 def stats(queries: DataFrame, index: DataFrame, params: pc.PcaParams,
@@ -127,7 +127,7 @@ def stats(queries: DataFrame, index: DataFrame, params: pc.PcaParams,
           mode: str = "auto") -> DataFrame:
     """Distance histogram per query."""
     qkeys = encode_queries(queries, params, encoder, text, qid, mode)
-    return sr.distance_histogram(index, sr.query_batches(qkeys, params.k), params.k)
+    return sr.distance_histogram(index, qkeys, params.k).drop("q")
 
 
 def key_table(index: DataFrame, k: int) -> DataFrame:
@@ -139,5 +139,5 @@ def identity_params(vectors: DataFrame, k: int, vec: str = "vec") -> pc.PcaParam
     return pc.PcaParams.identity(pc.dim_mean(vectors, vec), k)
 
 
-__all__ = ["build_index", "encode_queries", "search", "stats", "fit_params",
-           "with_ord", "key_table", "identity_params", "np"]
+__all__ = ["build_index", "encode_queries", "search", "search_one", "stats", "fit_params",
+           "accepted_queries", "rejected_queries", "with_ord", "key_table", "identity_params"]

@@ -3,12 +3,14 @@
 * ``dim_mean``: ``Summarizer.mean`` (one distributed pass, map-side partials).
 * ``covariance``: centred Gram matrix / (n - 1). Each partition accumulates
   ``X_c^T X_c`` with numpy (``mapInPandas``) and emits one row per matrix row;
-  a ``Summarizer.sum`` per row index adds the partials. Nothing of size n
-  reaches the driver, and the shuffle is ``partitions x dim`` rows.
+  the partials are added in two levels (``MERGE`` groups, then one), and at most
+  ``MAX_PARTIALS`` tasks make them, so the shuffle is bounded by
+  ``MAX_PARTIALS x dim`` rows however many files there are. Nothing of size n
+  reaches the driver.
 * ``pca_fit``: ``pyspark.ml.feature.PCA`` (distributed covariance, small
-  local eigendecomposition), fitted on at most ``sample_cap`` rows drawn
-  with replacement. Eigenvector signs are made canonical (largest-magnitude
-  entry positive) so stored keys are reproducible.
+  local eigendecomposition), fitted on all rows. Eigenvector signs are made
+  canonical (largest-magnitude entry positive) so stored keys are reproducible.
+* ``fit_sample``: a sample drawn once, for callers that ask for one.
 * ``project_keys``: centre with *our* mean (Spark's ``PCAModel.transform``
   does not centre), project, and pack the signs, in one Arrow pass with the
   ``dim x k`` parameters broadcast once per executor.
@@ -29,10 +31,12 @@ from pyspark.sql import types as T
 
 from ..functions import keys as kx
 
-# The fit uses at most this many vectors; PCA needs two rows.
-DEFAULT_SAMPLE_CAP = 100_000
+# Fixed value: PCA needs two rows.
 MIN_FIT_ROWS = 2
 DEFAULT_SEED = 42
+# Tasks that make partial Gram matrices, and the groups they are added in first.
+MAX_PARTIALS = 4096
+MERGE = 64
 
 
 @dataclass
@@ -134,11 +138,11 @@ def covariance(df: DataFrame, vec: str = "vec", mean: np.ndarray | None = None
                                 "n": np.full(len(m), n, dtype=np.int64),
                                 "row": list(g)})
 
-    parts = df.select(F.col(vec).cast("array<double>").alias("v")).mapInPandas(
-        partial, "i int, n long, row array<double>")
-    summed = (parts.groupBy("i")
-              .agg(F.sum("n").alias("n"),
-                   Summarizer.sum(array_to_vector("row")).alias("s")))
+    parts = (df.select(F.col(vec).cast("array<double>").alias("v")).coalesce(MAX_PARTIALS)
+             .mapInPandas(partial, "i int, n long, row array<double>"))
+    merged = (parts.withColumn("_g", F.spark_partition_id() % MERGE).groupBy("i", "_g")
+              .agg(F.sum("n").alias("n"), Summarizer.sum(array_to_vector("row")).alias("r")))
+    summed = merged.groupBy("i").agg(F.sum("n").alias("n"), Summarizer.sum(F.col("r")).alias("s"))
     denom = F.when(F.col("n") > 1, F.col("n") - 1).otherwise(F.lit(1))
     return summed.select(
         "i", F.posexplode(vector_to_array("s")).alias("j", "g"), denom.alias("_d")
@@ -154,11 +158,11 @@ def require_rows(df: DataFrame, n: int = MIN_FIT_ROWS) -> None:
         raise ValueError(f"need >= {n} rows to fit PCA; got {got}")
 
 
-def fit_sample(df: DataFrame, cap: int = DEFAULT_SAMPLE_CAP,
-               seed: int = DEFAULT_SEED, n: int | None = None) -> DataFrame:
-    """All rows when ``n <= cap``; else about ``cap`` rows drawn uniformly
-    with replacement (R1)."""
-    n = df.count() if n is None else n
+def fit_sample(df: DataFrame, cap: int, seed: int = DEFAULT_SEED) -> DataFrame:
+    """All rows when there are at most ``cap``; else about ``cap`` rows drawn
+    uniformly with replacement (R1): each row as often as a Poisson draw says, so
+    the size varies by about the square root of ``cap``."""
+    n = df.count()
     if n <= cap:
         return df
     return df.sample(withReplacement=True, fraction=cap / n, seed=seed)
@@ -175,23 +179,38 @@ def canonical_signs(components: np.ndarray) -> np.ndarray:
     return c
 
 
-def pca_fit(df: DataFrame, k: int, vec: str = "vec",
-            sample_cap: int = DEFAULT_SAMPLE_CAP, seed: int = DEFAULT_SEED
-            ) -> PcaParams:
-    """Top-``k`` eigenvectors of the covariance, largest eigenvalue first."""
+def pca_fit(df: DataFrame, k: int, vec: str = "vec") -> PcaParams:
+    """Top-``k`` eigenvectors of the covariance of all rows, largest eigenvalue
+    first. ``df`` is scanned more than once: pass a written table."""
     require_rows(df)
-    sample = fit_sample(df.select(vec), sample_cap, seed)
-    vecs = _vec(sample, vec).persist()
-    try:
-        stats = vecs.agg(Summarizer.metrics("mean", "count").summary(F.col("_v"))
-                         .alias("s")).first()["s"]
-        mean = np.asarray(stats["mean"].toArray(), dtype=np.float64)
-        model = PCA(k=k, inputCol="_v", outputCol="_y").fit(vecs)
-        comps = canonical_signs(model.pc.toArray().T)
-        ev = np.asarray(model.explainedVariance.toArray(), dtype=np.float64)
-        return PcaParams(mean, comps, ev, int(stats["count"]))
-    finally:
-        vecs.unpersist()
+    vecs = _vec(df, vec)
+    stats = vecs.agg(Summarizer.metrics("mean", "count").summary(F.col("_v"))
+                     .alias("s")).first()["s"]
+    model = PCA(k=k, inputCol="_v", outputCol="_y").fit(vecs)
+    return PcaParams(np.asarray(stats["mean"].toArray(), dtype=np.float64),
+                     canonical_signs(model.pc.toArray().T),
+                     np.asarray(model.explainedVariance.toArray(), dtype=np.float64),
+                     int(stats["count"]))
+
+
+def pca_checks(df: DataFrame, params: PcaParams, vec: str = "vec") -> DataFrame:
+    """(component, residual, norm, cross) of a fit, from the covariance of all rows ``C``:
+    ``|C v - lambda v|`` with ``lambda = v C v``, ``v . v`` and the largest ``|v . u|``
+    with another component. A right fit gives 0, 1 and 0. ``dim x dim`` numbers reach
+    the driver."""
+    cov = np.zeros((params.dim, params.dim))
+    for r in covariance(df, vec, params.mean).groupBy("i").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("j", "cov"))), lambda x: x["cov"])
+            .alias("row")).collect():
+        cov[r["i"]] = r["row"]
+    v = params.components
+    cv = v @ cov
+    lam = (cv * v).sum(axis=1)
+    cross = np.abs(v @ v.T - np.diag((v * v).sum(axis=1))).max(axis=1) if len(v) > 1 else [0.0]
+    rows = [(i, float(np.linalg.norm(cv[i] - lam[i] * v[i])), float(v[i] @ v[i]), float(c))
+            for i, c in enumerate(cross)]
+    return df.sparkSession.createDataFrame(
+        rows, "component int, residual double, norm double, cross double")
 
 
 def explained_variance_table(spark: SparkSession, params: PcaParams) -> DataFrame:
@@ -259,17 +278,20 @@ def project_keys(df: DataFrame, params: PcaParams, vec: str = "vec",
 def encode_project_keys(df: DataFrame, text: str, encoder, params: PcaParams,
                         keep: list[str]) -> DataFrame:
     """Encode, centre, project and sign-pack in **one** Arrow pass: the wide
-    vectors never leave the Python worker (C2 + V4 + V5 + V6). The encoder
-    and the ``dim x k`` parameters are broadcast once per executor."""
+    vectors never leave the Python worker (C2 + V4 + V5 + V6). The ``dim x k``
+    parameters are broadcast once per executor; the encoder travels with the
+    function (a model is loaded in the worker, see ``EncoderSource``)."""
+    from .encode import loaded
     spark = df.sparkSession
     k = params.k
     words = kx.word_cols(k)
-    bp = spark.sparkContext.broadcast((params.mean, params.components, encoder))
+    bp = spark.sparkContext.broadcast((params.mean, params.components))
     fields = list(df.select(*keep).schema.fields) + [T.StructField(w, T.LongType())
                                                      for w in words]
 
     def run(batches):
-        mean, comps, enc = bp.value
+        mean, comps = bp.value
+        enc = loaded(encoder)
         for pdf in batches:
             x = enc.encode_batch(pdf["_t"].tolist())
             if x.shape[1] != len(mean):
@@ -281,10 +303,3 @@ def encode_project_keys(df: DataFrame, text: str, encoder, params: PcaParams,
             yield out
 
     return df.select(*keep, F.col(text).alias("_t")).mapInPandas(run, T.StructType(fields))
-
-
-def center_sign_keys(df: DataFrame, vec: str, mean_col: str, k: int) -> list:
-    """Expression form for narrow vectors: centre with a mean column, sign
-    of the first ``k`` coordinates (identity projection) -> word columns."""
-    from ..functions import vectors as vx
-    return kx.sign_pack(vx.center(vec, mean_col), k)

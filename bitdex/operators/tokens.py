@@ -21,16 +21,13 @@ def token_table(df: DataFrame, id_col: str = "id", text_col: str = "text") -> Da
 
 def token_profile(df: DataFrame, id_col: str = "id", text_col: str = "text",
                   max_tokens: int = 510) -> DataFrame:
-    """(id, n_tokens, n_punct, over_context) per text (F9). Every
-    punctuation character is its own token, so ``n_punct`` is the count of
-    punctuation characters in the folded text (one regex pass)."""
+    """(id, n_tokens, n_punct, over_context) per text (F9): two regex counts, no
+    token is built. Every punctuation character is its own token."""
     folded = df.select(F.col(id_col).alias("id"), tx.fold_text(text_col).alias("_f"))
     sized = folded.select(
-        "id", F.size(tx.basic_tokens("_f")).alias("n_tokens"),
-        (F.length("_f") - F.length(F.regexp_replace("_f", tx.PUNCT_CLASS, ""))
-         ).alias("n_punct"))
-    return sized.select("id", "n_tokens", F.col("n_punct").cast("int").alias("n_punct"),
-                        (F.col("n_tokens") > max_tokens).alias("over_context"))
+        "id", F.regexp_count("_f", F.lit(tx.TOKEN_PATTERN)).alias("n_tokens"),
+        F.regexp_count("_f", F.lit(tx.PUNCT_CLASS)).alias("n_punct"))
+    return sized.select("id", "n_tokens", "n_punct", (F.col("n_tokens") > max_tokens).alias("over_context"))
 
 
 def corpus_profile(corpus: DataFrame, cap: int = tx.DEFAULT_CAP,

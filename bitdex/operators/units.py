@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..session import cut_lineage
 from . import encode as enc
 
 
@@ -115,20 +116,26 @@ def build_bodies(corpus: DataFrame, cap: int = tx.DEFAULT_CAP,
 
 def extraction_worklist(corpus: DataFrame, long: int = tx.DEFAULT_LONG) -> DataFrame:
     """(id, pos, line): per extractive article its title query at ``pos = -1``
-    and every unit at ``pos = 0, 1, ...`` (G1)."""
-    routed = route_columns(corpus, long).filter("extractive")
-    titles = routed.select("id", F.lit(-1).alias("pos"),
-                           tx.title_query("title").alias("line"))
-    units = routed.select("id", F.posexplode("units").alias("pos", "line"))
-    return titles.unionByName(units)
+    and every unit at ``pos = 0, 1, ...`` (G1), from one scan."""
+    routed = route_columns(corpus.filter(tx.is_long("text", long)), long).filter("extractive")
+    return routed.select("id", F.posexplode(F.concat(F.array(tx.title_query("title")), "units"))
+                         .alias("pos", "line")).withColumn("pos", F.col("pos") - 1)
+
+
+def worklist_vectors(corpus: DataFrame, encoder, long: int = tx.DEFAULT_LONG) -> DataFrame:
+    """(id, pos, line, vec): the worklist encoded once and written, for the steps below."""
+    return cut_lineage(enc.embed(enc.spread(extraction_worklist(corpus, long)), "line", "vec", encoder),
+                       "worklist")
 
 
 def score_units(vectors: DataFrame, vec: str = "vec") -> DataFrame:
-    """(id, pos, score): each unit row (pos >= 0) joined on ``id`` to its
-    title row (pos = -1) and scored by the dot product (J1)."""
+    """(id, pos, unit, score): each unit row (pos >= 0) joined on ``id`` to its
+    title row (pos = -1) and scored by the dot product (J1). ``vectors`` is a written
+    table (``worklist_vectors``)."""
     t = vectors.filter(F.col("pos") == -1).select("id", F.col(vec).alias("_t"))
     u = vectors.filter(F.col("pos") >= 0)
-    return u.join(t, "id").select("id", "pos", vx.dot(vec, "_t").alias("score"))
+    return u.join(t, "id").select("id", "pos", F.col("line").alias("unit"),
+                                  vx.dot(vec, "_t").alias("score"))
 
 
 def rank_units(scored: DataFrame) -> DataFrame:

@@ -10,12 +10,12 @@ Plan (all DataFrame operations):
 1. distinct words only (a corpus repeats words heavily);
 2. every (word, start, length) substring with ``length <= max piece
    length`` -- an exact bound, longer substrings cannot match -- equi-joined
-   to the vocabulary (broadcast when its row count is under the bound,
-   otherwise a shuffle join);
+   to the vocabulary (the optimizer broadcasts it where its bytes allow it);
 3. the longest match per (word, start), gathered per word (at most one
    entry per character of that word) and walked with ``aggregate``;
-4. a **left** join back from tokens to words, so that words with no
-   matching piece at all still come out as ``[UNK]``.
+4. words without a whole walk come out as ``[UNK]``; profiles count the words of
+   each document first, so a word that fills the corpus joins one row for each
+   document, and a left join from the documents keeps those without words.
 """
 
 from __future__ import annotations
@@ -24,28 +24,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..session import cut_lineage
 
 # The word-initial marker and the default unknown id.
 WORD_PREFIX = "▁"
 DEFAULT_UNK_ID = 0
-# Vocabularies up to this many rows are broadcast to the substring join.
-MAX_BROADCAST_VOCAB = 5_000_000
-# Segmented word tables up to this many rows are broadcast to the token
-# join; larger ones are joined on (token, salt) with this many salts, since
-# one word ("the") can hold a large share of all token rows.
-MAX_BROADCAST_WORDS = 2_000_000
-JOIN_SALTS = 32
 
 
 def segment_words(words: DataFrame, vocab: DataFrame, word: str = "word",
                   unk_id: int = DEFAULT_UNK_ID) -> DataFrame:
     """(word, known, piece_ids) for each distinct word (F8)."""
-    stats = vocab.agg(F.max(F.length("token")).alias("m"), F.count(F.lit(1)).alias("n")).first()
-    max_len = int(stats["m"] or 0)
+    vocab = cut_lineage(vocab.select("token", "token_id"), "vocabulary")
+    max_len = int(vocab.agg(F.max(F.length("token"))).first()[0] or 0)
     v = vocab.select(F.col("token").alias("piece"), F.col("token_id").cast("bigint").alias("tid"))
-    if stats["n"] <= MAX_BROADCAST_VOCAB:
-        v = F.broadcast(v)
-    w = (words.select(F.col(word).alias("word")).distinct()
+    # written once: the substrings and the final left join both read it
+    w = (cut_lineage(words.select(F.col(word).alias("word")).distinct(), "words")
          .withColumn("w1", F.concat(F.lit(WORD_PREFIX), F.col("word")))
          .withColumn("n", F.length("w1")))
     subs = (w.select("word", "w1", "n",
@@ -87,30 +80,29 @@ def segment_words(words: DataFrame, vocab: DataFrame, word: str = "word",
 
 def token_ids(tokens: DataFrame, vocab: DataFrame, unk_id: int = DEFAULT_UNK_ID
               ) -> DataFrame:
-    """(id, pos, piece_ids, known) for every token row (J4): segmentation of
+    """(id, pos, token, known, piece_ids) for every token row (J4): segmentation of
     the distinct words, left-joined back to the tokens."""
-    from ..session import cut_lineage
-    seg = cut_lineage(segment_words(tokens.select(F.col("token").alias("word")), vocab,
-                                    "word", unk_id), "wordpieces")
-    seg = seg.withColumnRenamed("word", "token")
-    if seg.count() <= MAX_BROADCAST_WORDS:
-        joined = tokens.join(F.broadcast(seg), "token", "left")
-    else:
-        salt = F.pmod(F.xxhash64("id", "pos"), F.lit(JOIN_SALTS)).cast("int")
-        salted = seg.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))))
-        joined = tokens.withColumn("_salt", salt).join(salted, ["token", "_salt"], "left")
-    return joined.select("id", "pos", "token", "known", "piece_ids")
-
-
-def piece_profile(tokens: DataFrame, vocab: DataFrame, n_ctx: int = 512,
+    seg = segment_words(tokens.select(F.col("token").alias("word")), vocab, "word", unk_id)
+    seg = cut_lineage(seg.withColumnRenamed("word", "token"), "wordpieces")
+    return tokens.join(seg, "token", "left").select("id", "pos", "token", "known", "piece_ids")
+
+
+def piece_profile(tokens: DataFrame, ids: DataFrame, vocab: DataFrame, n_ctx: int = 512,
                   unk_id: int = DEFAULT_UNK_ID) -> DataFrame:
-    """Per document: ids including the two framing ids, unknown words, and
-    whether the text overflows the context (F9)."""
-    ids = token_ids(tokens, vocab, unk_id)
-    per = ids.groupBy("id").agg(
-        (F.sum(F.size("piece_ids")) + 2).alias("n_ids"),
-        F.count_if(~F.col("known")).alias("n_unk"))
-    return per.withColumn("over_context", F.col("n_ids") > n_ctx)
+    """Per document of ``ids`` (id): ids including the two framing ids, unknown words,
+    their share of the words (null without words), and whether the text overflows the
+    context (F9). Documents without tokens have the two framing ids."""
+    counts = cut_lineage(tokens.groupBy("id", "token").agg(F.count("*").alias("n")), "word-counts")
+    seg = segment_words(counts.select(F.col("token").alias("word")), vocab, "word", unk_id)
+    seg = cut_lineage(seg.select(F.col("word").alias("token"), "known",
+                                 F.size("piece_ids").alias("n_pieces")), "wordpieces")
+    per = counts.join(seg, "token").groupBy("id").agg(
+        F.sum(F.col("n") * F.col("n_pieces")).alias("_ids"), F.sum("n").alias("_words"),
+        F.sum(F.when(F.col("known"), 0).otherwise(F.col("n"))).alias("_unk"))
+    out = ids.select("id").join(per, "id", "left").select(
+        "id", (F.coalesce("_ids", F.lit(0)) + 2).alias("n_ids"), F.coalesce("_unk", F.lit(0)).alias("n_unk"),
+        F.round(F.col("_unk") / F.col("_words"), 6).alias("unk_share"))
+    return out.withColumn("over_context", F.col("n_ids") > n_ctx)
 
 
 def vocab_from_text(texts: DataFrame, text: str = "text") -> DataFrame:

@@ -2,12 +2,13 @@
 
 Every query reads the driver's tables (``documents``, ``embeddings``,
 ``benchmark``, ``conversations``) in full. Text queries use the corpus view
-over ``documents`` (title = first line, 80 chars), the built-in hash-pool
-encoder (384-d) and 256-bit keys. ``*_sql`` partners live in ``oracle``.
+over ``documents`` (title = first line), the built-in hash-pool encoder
+(384-d, no token limit) and 256-bit keys. ``*_sql`` partners live in ``oracle``.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -24,20 +25,24 @@ from ..operators import search as sr
 from ..operators import tokens as tk
 from ..operators import units as un
 from ..operators import wordpiece as wp
+from ..session import cut_lineage, ensure_checkpoint_dir
 from ..sources import corpus as cs
+from ..sources import store as st
 from . import oracle as oq
 
-DIM = oq.DIM
-K = oq.K
-EK = oq.EK
-TOP = oq.TOP
+DIM = 384
+K = 256
+EK = 64
+PK = 4              # components of the PCA queries that SQL computes too
+TOP = 5
+CONTEXT = 510       # tokens of a model context without its two framing tokens
 # CPU-heavy steps spread small inputs over the session's default
 # parallelism (None); large inputs keep their scan partitioning.
 MIN_PARTITIONS = None
 
 
 def _encoder() -> enc.HashPoolEncoder:
-    return enc.HashPoolEncoder(DIM, oq.MAX_TOKENS)
+    return enc.HashPoolEncoder(DIM)
 
 
 def _corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,7 +75,7 @@ def lead_bodies(spark, sf):
 
 
 def text_units(spark, sf):
-    r = un.route_columns(_corpus(spark, sf)).filter(F.col("units").isNotNull())
+    r = un.route_columns(_corpus(spark, sf).filter(tx.is_long("text")))
     return r.select("id", F.posexplode("units").alias("pos", "unit"))
 
 
@@ -97,7 +102,7 @@ def basic_tokens(spark, sf):
 
 def token_profile(spark, sf):
     c = enc.spread(_corpus(spark, sf).filter(tx.non_empty("text")))
-    return tk.token_profile(c, "id", "text", oq.MAX_TOKENS)
+    return tk.token_profile(c, "id", "text", CONTEXT)
 
 
 def corpus_profile(spark, sf):
@@ -123,7 +128,11 @@ def wordpiece_words(spark, sf):
 
 
 def wordpiece_profile(spark, sf):
-    return wp.piece_profile(_doc_tokens(spark, sf), _bench_vocab(spark, sf))
+    """Over every document and every turn of conversations (id -1 - qid), whether or not it has words."""
+    docs = _corpus(spark, sf).select("id", "text").unionByName(
+        _conv_queries(spark, sf).select((-1 - F.col("qid")).alias("id"), "text"))
+    tokens = tk.token_table(enc.spread(docs.filter(tx.non_empty("text"))), "id", "text")
+    return wp.piece_profile(tokens, docs, _bench_vocab(spark, sf))
 
 
 # -- bodies -----------------------------------------------------------------------
@@ -145,31 +154,38 @@ def doc_token_sums(spark, sf):
         .select("id", "dim", F.col("s").cast("long").alias("s"))
 
 
+def _ranked(spark, sf):
+    vecs = un.worklist_vectors(_corpus(spark, sf), _encoder())
+    return un.rank_units(un.score_units(vecs))
+
+
 def unit_scores(spark, sf):
     """Table forms: worklist -> vectors -> J1 scores -> W1 rank -> W2 budget."""
-    wl = enc.spread(un.extraction_worklist(_corpus(spark, sf)), MIN_PARTITIONS)
-    vecs = enc.embed(wl, "line", "vec", _encoder())
-    scored = un.score_units(vecs)
-    ranked = un.rank_units(scored.join(wl.select("id", "pos", F.col("line").alias("unit")),
-                                       ["id", "pos"]))
     w = F.sum(F.length("unit") + 1).over(
         Window.partitionBy("id").orderBy("rank")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return ranked.select("id", "pos", F.round("score", 6).alias("score"), "rank",
-                         w.alias("running")) \
+    return _ranked(spark, sf).select("id", "pos", F.round("score", 6).alias("score"), "rank",
+                                     w.alias("running")) \
         .withColumn("chosen", (F.col("rank") == 1) | (F.col("running") <= tx.DEFAULT_CAP))
 
 
 def extracted_bodies(spark, sf):
     """W2 + T2 table forms over the scored units of long articles."""
-    wl = enc.spread(un.extraction_worklist(_corpus(spark, sf)), MIN_PARTITIONS)
-    vecs = enc.embed(wl, "line", "vec", _encoder())
-    scored = un.score_units(vecs).join(
-        wl.select("id", "pos", F.col("line").alias("unit")), ["id", "pos"])
-    chosen = un.budget_units(un.rank_units(scored), tx.DEFAULT_CAP)
+    chosen = un.budget_units(_ranked(spark, sf), tx.DEFAULT_CAP)
     return un.restore_order(chosen, tx.DEFAULT_CAP)
 
 
+def doc_means(spark, sf):
+    """Mean-pooled token signs of each body, a table of token vectors (A5): the pooled
+    vector's first eight coordinates."""
+    b = _bodies(spark, sf).select("id", F.explode(tx.tokenize("body")).alias("token"))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.when(
+        F.conv(F.substring(F.md5("token"), i.cast("int") + 1, 1), 16, 10).cast("int") > 7, 1.0).otherwise(-1.0))
+    v = enc.mean_pool(b.select("id", bits.alias("v")), "id", "v")
+    return v.select("id", F.posexplode("vec").alias("dim", "x")).select(
+        "id", "dim", F.round("x", 6).alias("x"))
+
+
 # -- index (identity projection: oracle-checkable) -----------------------------------
 
 def _identity_index(spark, sf):
@@ -184,12 +200,14 @@ def doc_keys(spark, sf):
 
 
 def index_count(spark, sf):
-    index, _ = _identity_index(spark, sf)
-    return index.agg(F.count(F.lit(1)).alias("n_keys"))
+    """Keys of the index: one for each body, so the bodies are counted."""
+    return _bodies(spark, sf).agg(F.count(F.lit(1)).alias("n_keys"))
 
 
 def fit_sample(spark, sf):
-    return pc.fit_sample(_bodies(spark, sf).select("id"))
+    """R1 with a cap over the number of bodies: all of them."""
+    rows = _bodies(spark, sf).select("id")
+    return pc.fit_sample(rows, rows.count())
 
 
 def _bench_queries(spark, sf):
@@ -197,12 +215,12 @@ def _bench_queries(spark, sf):
 
 
 def _conv_queries(spark, sf):
-    c = cs.table(spark, sf, "conversations").filter(F.col("role") == "user")
+    c = cs.table(spark, sf, "conversations")
     return c.select((F.col("conv_id") * 100000 + F.col("turn")).alias("qid"), "text")
 
 
 def query_texts(spark, sf):
-    """Query strings as the search reads them: the words of each user turn
+    """Query strings as the search reads them: the words of each turn
     gathered with single spaces (F1)."""
     q = _conv_queries(spark, sf)
     words = F.filter(F.split(tx.normalize_ws("text"), " ", -1), lambda w: w != "")
@@ -225,32 +243,117 @@ def benchmark_stats(spark, sf):
     return ix.stats(_bench_queries(spark, sf), index, params, _encoder())
 
 
-# -- index (PCA projection: eigenvectors, rows-only check) --------------------------
+def _run_folder(spark) -> str:
+    """A new folder of the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
+
+
+def stored_search(spark, sf):
+    """Write -> pack -> rebuild -> load -> search: the index is stored as loose tables and a
+    bundle, rebuilt from what is loaded, and the newest bundle answers (S4, S5, S6, C7)."""
+    root = _run_folder(spark)
+    index, params = _identity_index(spark, sf)
+    st.write_index(index.limit(1), params, root)
+    st.pack_index(spark, root)
+    st.rebuild(spark, index, params, root)
+    st.rebuild(spark, *st.load_index(spark, root), root)
+    index, params = st.load_index(spark, root)
+    return ix.search(_bench_queries(spark, sf), index, params, _encoder(), TOP)
+
+
+def record_files(spark, sf):
+    """Bodies written to record files and read back."""
+    root = _run_folder(spark)
+    cs.write_records(_bodies(spark, sf), root)
+    return cs.read_records(spark, root)
+
+
+def corpus_scan(spark, sf):
+    """A parquet corpus scanned as (id, title, text)."""
+    return cs.read_corpus(spark, f"{sf}/documents.parquet", id="doc_id", title="source")
+
+
+def search_one(spark, sf):
+    """Top hits of single queries (T1): the first words of the first document and of the
+    last, each answered by the codegen'd path."""
+    index, params = _identity_index(spark, sf)
+    c = _corpus(spark, sf)
+    ends = c.agg(F.min_by("text", "id").alias("a"), F.max_by("text", "id").alias("b")).first()
+    hits = [ix.search_one(t, index, params, _encoder(), TOP).withColumn("qid", F.lit(i))
+            for i, t in enumerate((ends["a"], ends["b"]))]
+    return hits[0].unionByName(hits[1])
+
+
+def _edge_queries(spark, sf):
+    """Benchmark texts under ids that are strings, one id shared by all even items, and an
+    empty and a null text for each."""
+    q = cs.table(spark, sf, "benchmark")
+    return q.select(F.when(F.col("item_id") % 2 == 0, F.lit("even")).otherwise(
+        F.concat(F.lit("q"), F.col("item_id"))).alias("qid"),
+        F.explode(F.array("text", F.lit(""), F.lit(None))).alias("text"))
+
+
+def _edge_index(spark, sf):
+    """Bodies under hash ids of any sign, each row twice."""
+    h = F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 15), 16, 10).cast("bigint")
+    signed = F.when(F.col("id") % 2 == 0, -h).otherwise(h)
+    twice = _bodies(spark, sf).select(signed.alias("id"), "title", "body", F.explode(F.array(F.lit(0), F.lit(1))))
+    return ix.build_index(twice, _encoder(), K, projection="identity", min_partitions=MIN_PARTITIONS)
+
+
+def search_edge(spark, sf):
+    """Shared query ids, empty and null queries; hash ids, each in the index twice."""
+    index, params = _edge_index(spark, sf)
+    return ix.search(_edge_queries(spark, sf), index, params, _encoder(), TOP)
+
+
+def stats_edge(spark, sf):
+    index, params = _edge_index(spark, sf)
+    return ix.stats(_edge_queries(spark, sf), index, params, _encoder())
+
+
+# -- PCA --------------------------------------------------------------------------
+
+def pca_checks(spark, sf):
+    """The PCA of all document vectors (384 -> 256) held against their covariance: each
+    component's residual, norm and largest product with another (A3, C3)."""
+    vecs = cut_lineage(enc.embed(enc.spread(_bodies(spark, sf)), "body", "vec", _encoder()).select("vec"), "vectors")
+    got = pc.pca_checks(vecs, pc.pca_fit(vecs, K))
+    return got.select("component", (F.col("residual") < 1e-8).alias("is_eigenvector"),
+                      (F.abs(F.col("norm") - 1) < 1e-9).alias("is_unit"),
+                      (F.col("cross") < 1e-9).alias("is_orthogonal"))
+
 
 def _pca_index(spark, sf):
-    b = _bodies(spark, sf)
-    return ix.build_index(b, _encoder(), K, projection="pca",
-                          min_partitions=MIN_PARTITIONS)
+    """Embeddings, ``PK`` leading components."""
+    e = _emb(spark, sf)
+    params = pc.pca_fit(e, PK, "embedding")
+    index = pc.project_keys(e.select(F.col("vec_id").alias("ord"), "embedding"),
+                            params, "embedding", keep=["ord"])
+    return index, params
 
 
 def pca_keys(spark, sf):
     index, _ = _pca_index(spark, sf)
-    return ix.key_table(index, K)
+    return index.select(F.col("ord").alias("vec_id"), "w0")
 
 
 def pca_variance(spark, sf):
     _, params = _pca_index(spark, sf)
-    return pc.explained_variance_table(spark, params)
+    v = pc.explained_variance_table(spark, params)
+    return v.select("component", F.round("explained_variance", 6).alias("explained_variance"),
+                    F.round("cumulative", 6).alias("cumulative"))
 
 
 def pca_search(spark, sf):
     index, params = _pca_index(spark, sf)
-    return ix.search(_bench_queries(spark, sf), index, params, _encoder(), TOP)
+    hits = sr.knn(index, _label_queries(spark, sf, params), PK, TOP)
+    return hits.select("qid", "rank", F.col("ord").alias("vec_id"), "dist")
 
 
 def pca_stats(spark, sf):
     index, params = _pca_index(spark, sf)
-    return ix.stats(_bench_queries(spark, sf), index, params, _encoder())
+    return sr.distance_histogram(index, _label_queries(spark, sf, params), PK).drop("q")
 
 
 # -- embeddings fixture (64-d vectors, identity projection, 64-bit keys) ------------
@@ -303,7 +406,13 @@ def label_knn(spark, sf):
 
 def label_histogram(spark, sf):
     index, params = _emb_index(spark, sf)
-    return sr.distance_histogram(index, _label_queries(spark, sf, params), EK)
+    return sr.distance_histogram(index, _label_queries(spark, sf, params), EK).drop("q")
+
+
+def label_nearest(spark, sf):
+    """Nearest distance and index size for each label centroid."""
+    index, params = _emb_index(spark, sf)
+    return sr.nearest_distance(index, _label_queries(spark, sf, params), EK).drop("q")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -324,6 +433,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "doc_token_sums": doc_token_sums,
     "unit_scores": unit_scores,
     "extracted_bodies": extracted_bodies,
+    "doc_means": doc_means,
+    "corpus_scan": corpus_scan,
+    "record_files": record_files,
     "doc_keys": doc_keys,
     "index_count": index_count,
     "fit_sample": fit_sample,
@@ -331,6 +443,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "benchmark_search": benchmark_search,
     "conversation_search": conversation_search,
     "benchmark_stats": benchmark_stats,
+    "stored_search": stored_search,
+    "search_one": search_one,
+    "search_edge": search_edge,
+    "stats_edge": stats_edge,
+    "pca_checks": pca_checks,
     "pca_keys": pca_keys,
     "pca_variance": pca_variance,
     "pca_search": pca_search,
@@ -340,6 +457,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "centered_keys": centered_keys,
     "label_knn": label_knn,
     "label_histogram": label_histogram,
+    "label_nearest": label_nearest,
 }
 
 ORACLE: dict[str, str] = {
@@ -367,6 +485,19 @@ ORACLE: dict[str, str] = {
     "benchmark_search": oq.search_sql(oq.BENCH_QUERIES),
     "conversation_search": oq.search_sql(oq.CONV_QUERIES),
     "benchmark_stats": oq.stats_sql(oq.BENCH_QUERIES),
+    "stored_search": oq.search_sql(oq.BENCH_QUERIES),
+    "search_one": oq.search_sql(oq.ONE_QUERIES),
+    "search_edge": oq.search_edge_sql(),
+    "stats_edge": oq.stats_edge_sql(),
+    "pca_checks": oq.pca_checks_sql(),
+    "pca_keys": oq.pca_keys_sql(),
+    "pca_variance": oq.pca_variance_sql(),
+    "pca_search": oq.pca_search_sql(),
+    "pca_stats": oq.pca_stats_sql(),
+    "doc_means": oq.doc_means_sql(),
+    "corpus_scan": oq.corpus_scan_sql(),
+    "record_files": oq.records_sql(),
+    "label_nearest": oq.label_nearest_sql(),
     "dim_mean": oq.dim_mean_sql(),
     "covariance": oq.covariance_sql(),
     "centered_keys": oq.centered_keys_sql(),

@@ -3,21 +3,38 @@
 Each builder returns one SELECT over the driver's views (``documents``,
 ``embeddings``, ``benchmark``, ``conversations``). Expressions are written
 independently of the Spark plans: row-level rules as SQL string functions,
-the per-row steps of the Spark plans as joins, unnests and windows.
+the per-row steps of the Spark plans as joins, unnests and windows. Nothing is
+imported from the code under test; every constant stands here again.
 """
 
 from __future__ import annotations
 
-from ..functions import keys as kx
-from ..functions import text as tx
+import unicodedata
 
-WS = tx.WS
-CAP = tx.DEFAULT_CAP
-LONG = tx.DEFAULT_LONG
+WS = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+      r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+PUNCT = r"[!-/:-@\[-`{-~]"
+TOKEN = r"([!-/:-@\[-`{-~]|[^!-/:-@\[-`{-~ \t\n\x0b\f\r]+)"
+CAP = 1200
+LONG = 8000
 DIM = 384
 K = 256
-MAX_TOKENS = 510
+CONTEXT = 510
 TOP = 5
+URL = "https://simple.wikipedia.org/?curid={id}"
+URL_RAW = "https://simple.wikipedia.org/?curid={id}&action=raw"
+URL_JSON = ("https://simple.wikipedia.org/w/api.php?action=query&prop=extracts"
+            "&explaintext=1&format=json&pageids={id}")
+
+
+def n_words(k: int) -> int:
+    return -(-k // 64)
+
+
+def _base(ch: str) -> str:
+    """First character of the full canonical decomposition."""
+    parts = unicodedata.decomposition(ch)
+    return ch if not parts or parts[0] == "<" else _base(chr(int(parts.split()[0], 16)))
 
 
 def lit(s: str) -> str:
@@ -43,7 +60,7 @@ def lead(x: str) -> str:
 
 
 def title_of(x: str) -> str:
-    return f"substr(split_part({x}, chr(10), 1), 1, 80)"
+    return f"split_part({x}, chr(10), 1)"
 
 
 def clean_title(x: str) -> str:
@@ -63,12 +80,18 @@ def units(x: str) -> str:
 
 
 def fold(x: str) -> str:
-    src, dst = tx.fold_table()
-    return f"translate({x}, {lit(src)}, {lit(dst)})"
+    pairs = [(chr(c), chr(c + 32)) for c in range(65, 91)]
+    pairs += [(chr(c), _base(chr(c)).lower()) for c in range(0xC0, 0x180)
+              if _base(chr(c)).isascii() and _base(chr(c)).isalpha()]
+    pairs += [("\u0131", "i"), ("\u013f", "l"), ("\u0140", "l"), ("\u017f", "s"), ("\u00a0", " ")]
+    pairs += [(chr(c), "-") for c in range(0x2010, 0x2016)]
+    pairs += [(c, "'") for c in "\u2018\u2019\u02bb"] + [(c, '"') for c in "\u201c\u201d"]
+    dropped = "".join(map(chr, range(0x300, 0x370)))
+    return f"translate({x}, {lit(''.join(a for a, _ in pairs) + dropped)}, {lit(''.join(b for _, b in pairs))})"
 
 
 def tokens(x: str) -> str:
-    return f"regexp_extract_all({fold(x)}, {lit(tx.TOKEN_PATTERN)}, 1)"
+    return f"regexp_extract_all({fold(x)}, {lit(TOKEN)}, 1)"
 
 
 # -- reusable CTEs ---------------------------------------------------------
@@ -86,7 +109,7 @@ def token_vectors(src: str, key: str, name: str) -> str:
     hash-pool token sums and their normalised vectors for ``src(key, line)``."""
     keys = key
     return f"""
-{name}_t AS (SELECT {keys}, unnest(({tokens('line')})[1:{MAX_TOKENS}]) AS tok FROM {src}),
+{name}_t AS (SELECT {keys}, unnest({tokens('line')}) AS tok FROM {src}),
 {name}_c AS (SELECT {keys}, tok, count(*) AS c FROM {name}_t GROUP BY ALL),
 {name}_h AS (SELECT {keys}, c, g, md5(g::VARCHAR || ':' || tok) AS h
              FROM {name}_c, range(0, {DIM // 128}) r(g)),
@@ -130,7 +153,7 @@ bodies AS (SELECT c.id, {clean_title('c.title')} AS title, s.body FROM sel s JOI
 
 def pack_words(src: str, key: str, k: int, name: str) -> str:
     """CTE ``{name}(key, w0..)`` from ``src(key, i, b)`` sign bits."""
-    nw = kx.n_words(k)
+    nw = n_words(k)
     ws = ", ".join(f"max(x) FILTER (WHERE w = {j}) AS w{j}" for j in range(nw))
     return f"""
 {name}_u AS (SELECT {key}, i // 64 AS w,
@@ -142,18 +165,17 @@ def pack_words(src: str, key: str, k: int, name: str) -> str:
 
 
 def hamming(a: str, b: str, k: int) -> str:
-    return " + ".join(f"bit_count(xor({a}.w{j}, {b}.w{j}))::INTEGER" for j in range(kx.n_words(k)))
+    return " + ".join(f"bit_count(xor({a}.w{j}, {b}.w{j}))::INTEGER" for j in range(n_words(k)))
 
 
 def key_hex(a: str, k: int) -> str:
-    return "lower(" + " || ".join(f"lpad(hex({a}.w{j}), 16, '0')" for j in range(kx.n_words(k))) + ")"
+    return "lower(" + " || ".join(f"lpad(hex({a}.w{j}), 16, '0')" for j in range(n_words(k))) + ")"
 
 
 def band(d: str, k: int) -> str:
-    s = k / kx.REFERENCE_BITS
-    return (f"CASE WHEN {d} < {kx.STRONG_BELOW * s} THEN 'strong' "
-            f"WHEN {d} <= {kx.RELEVANT_UPTO * s} THEN 'relevant' "
-            f"WHEN {d} <= {kx.LOW_ABOVE * s} THEN 'weak' ELSE 'none' END")
+    s = k / 256
+    return (f"CASE WHEN {d} < {60 * s} THEN 'strong' WHEN {d} <= {76 * s} THEN 'relevant' "
+            f"WHEN {d} <= {82 * s} THEN 'weak' ELSE 'none' END")
 
 
 def doc_keys_ctes() -> str:
@@ -177,8 +199,9 @@ qbits AS (SELECT q.qid, q.i, (q.v - m.m) > 0 AS b FROM qvi q JOIN dmean m ON q.i
 
 
 BENCH_QUERIES = "SELECT item_id AS qid, text AS line FROM benchmark"
-CONV_QUERIES = ("SELECT conv_id * 100000 + turn AS qid, text AS line FROM conversations "
-                "WHERE role = 'user'")
+CONV_QUERIES = "SELECT conv_id * 100000 + turn AS qid, text AS line FROM conversations"
+ONE_QUERIES = ("SELECT 0 AS qid, arg_min(text, doc_id) AS line FROM documents "
+               "UNION ALL SELECT 1, arg_max(text, doc_id) FROM documents")
 
 
 def url(id_expr: str, template: str) -> str:
@@ -187,22 +210,44 @@ def url(id_expr: str, template: str) -> str:
 
 
 def search_sql(src_sql: str) -> str:
-    from ..operators import search as sr
     return f"""WITH {doc_keys_ctes()}, {query_keys_ctes(src_sql)},
 dist AS (SELECT q.qid, d.id, {hamming('q', 'd', K)} AS dist FROM qkeys q, dkeys d),
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM dist)
-SELECT r.qid, r.rank, r.dist, r.id, b.title,
-       {url('r.id', sr.ARTICLE_URL)} AS url, {url('r.id', sr.ARTICLE_URL_RAW)} AS url_raw,
-       {url('r.id', sr.ARTICLE_URL_JSON)} AS url_json,
-       r.dist > {kx.LOW_ABOVE} AS low, {band('r.dist', K)} AS band,
-       round(cos(pi() * r.dist / {K}), 6) AS est_cosine
-FROM rk r JOIN bodies b ON r.id = b.id WHERE r.rank <= {TOP}"""
+{hits("rk r JOIN bodies b ON r.id = b.id", "r.id")}"""
+
+
+def hits(source: str, id_expr: str) -> str:
+    return f"""SELECT r.qid, r.rank, r.dist, {id_expr} AS id, b.title,
+       {url(id_expr, URL)} AS url, {url(id_expr, URL_RAW)} AS url_raw, {url(id_expr, URL_JSON)} AS url_json,
+       r.dist > 82 AS low, {band('r.dist', K)} AS band, round(cos(pi() * r.dist / {K}), 6) AS est_cosine
+FROM {source} WHERE r.rank <= {TOP}"""
+
+
+EDGE_IDS = """eids AS (SELECT id, (CASE WHEN id % 2 = 0 THEN -1 ELSE 1 END)
+              * ('0x' || substr(md5(id::VARCHAR), 1, 15))::BIGINT AS eid FROM bodies)"""
+EDGE_QID = "CASE WHEN qid % 2 = 0 THEN 'even' ELSE 'q' || qid END"
+
+
+def search_edge_sql() -> str:
+    """Every query row for itself (ids may be shared); every index row twice."""
+    return f"""WITH {doc_keys_ctes()}, {query_keys_ctes(BENCH_QUERIES)}, {EDGE_IDS},
+dist AS (SELECT q.qid AS item, {EDGE_QID} AS qid, d.id, e.eid, {hamming('q', 'd', K)} AS dist
+         FROM qkeys q, dkeys d JOIN eids e ON d.id = e.id, range(2) twice(t)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY dist, eid) AS rank FROM dist)
+{hits("rk r JOIN bodies b ON r.id = b.id", "r.eid")}"""
+
+
+def stats_edge_sql() -> str:
+    return f"""WITH {doc_keys_ctes()}, {query_keys_ctes(BENCH_QUERIES)},
+dist AS (SELECT q.qid, {hamming('q', 'd', K)} AS d FROM qkeys q, dkeys d, range(2) twice(t)),
+qids AS (SELECT qid FROM qkeys), each AS (WITH {histogram_tail(K)})
+SELECT {EDGE_QID} AS qid, * EXCLUDE (qid) FROM each"""
 
 
 def histogram_tail(k: int) -> str:
     """Turn ``dist(qid, d)`` and ``qids(qid)`` into the histogram select."""
-    nb = kx.n_bins(k)
-    s = k / kx.REFERENCE_BITS
+    nb = (k // 8 + 1)
+    s = k / 256
     return f"""hb AS (SELECT qid, least(d // 8, {nb - 1}) AS bin, count(*) AS c, min(d) AS md FROM dist GROUP BY ALL),
 grid AS (SELECT qid, unnest(generate_series(0, {nb - 1})) AS bin FROM qids),
 full_ AS (SELECT g.qid, g.bin, coalesce(h.c, 0) AS count, min(h.md) OVER (PARTITION BY g.qid) AS min_d,
@@ -210,7 +255,7 @@ full_ AS (SELECT g.qid, g.bin, coalesce(h.c, 0) AS count, min(h.md) OVER (PARTIT
           FROM grid g LEFT JOIN hb h ON g.qid = h.qid AND g.bin = h.bin)
 SELECT qid, bin, bin * 8 AS lo, CASE WHEN bin = {nb - 1} THEN {k} ELSE bin * 8 + 7 END AS hi,
        count, round(100.0 * count / total, 4) AS pct, min_d, total,
-       NOT (count = 0 AND bin * 8 > min_d + {kx.HIDE_MARGIN * s} AND bin < {kx.HIDE_BELOW_BIN * s}) AS visible
+       NOT (count = 0 AND bin * 8 > min_d + {40 * s} AND bin < {24 * s}) AS visible
 FROM full_"""
 
 
@@ -240,7 +285,7 @@ def label_knn_sql() -> str:
     return f"""WITH {emb_ctes()},
 dist AS (SELECT q.qid, e.vec_id, {hamming('q', 'e', EK)} AS dist FROM ckeys q, ekeys e),
 rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM dist)
-SELECT qid, rank, vec_id, dist, dist > {kx.LOW_ABOVE * EK / kx.REFERENCE_BITS} AS low,
+SELECT qid, rank, vec_id, dist, dist > {82 * EK / 256} AS low,
        {band('dist', EK)} AS band, round(cos(pi() * dist / {EK}), 6) AS est_cosine
 FROM rk WHERE rank <= {TOP}"""
 
@@ -252,6 +297,90 @@ qids AS (SELECT qid FROM ckeys),
 {histogram_tail(EK)}"""
 
 
+def label_nearest_sql() -> str:
+    return f"""WITH {emb_ctes()}
+SELECT q.qid, min({hamming('q', 'e', EK)}) AS min_d, count(*) AS total FROM ckeys q, ekeys e GROUP BY q.qid"""
+
+
+# -- PCA of the embeddings by repeated squaring ------------------------------
+PK = 4
+SQUARINGS = 12
+
+
+def pca_ctes() -> str:
+    """CTEs ``comp(c, i, x)``: the leading components, largest entry positive, and
+    ``lam(c, x)``: their eigenvalues. Each is the dominant column of the covariance
+    squared again and again; then it is taken out (deflation)."""
+    out = [f"""{emb_ctes()},
+c0 AS MATERIALIZED (SELECT a.i, b.i AS j, covar_samp(a.v, b.v) AS x FROM ev a JOIN ev b ON a.vec_id = b.vec_id GROUP BY a.i, b.i)"""]
+    for c in range(PK):
+        out.append(f"p{c}_0 AS MATERIALIZED (SELECT i, j, x FROM c{c})")
+        for n in range(1, SQUARINGS + 1):
+            out.append(f"""p{c}_{n} AS MATERIALIZED (SELECT i, j, x / max(abs(x)) OVER () AS x FROM
+ (SELECT a.i, b.j, sum(a.x * b.x) AS x FROM p{c}_{n - 1} a JOIN p{c}_{n - 1} b ON a.j = b.i GROUP BY a.i, b.j))""")
+        out.append(f"""u{c} AS (SELECT i, x FROM p{c}_{SQUARINGS} WHERE j = (SELECT arg_max(j, x) FROM p{c}_{SQUARINGS} WHERE i = j)),
+v{c} AS MATERIALIZED (SELECT i, x * (SELECT sign(arg_max(x, abs(x))) / sqrt(sum(x * x)) FROM u{c}) AS x FROM u{c}),
+l{c} AS MATERIALIZED (SELECT sum(a.x * m.x * b.x) AS x FROM v{c} a JOIN c{c} m ON a.i = m.i JOIN v{c} b ON b.i = m.j),
+c{c + 1} AS MATERIALIZED (SELECT m.i, m.j, m.x - l{c}.x * a.x * b.x AS x FROM c{c} m JOIN v{c} a ON a.i = m.i JOIN v{c} b ON b.i = m.j, l{c})""")
+    out.append("comp AS (" + " UNION ALL ".join(f"SELECT {c} AS c, i, x FROM v{c}" for c in range(PK)) + ")")
+    out.append("lam AS (" + " UNION ALL ".join(f"SELECT {c} AS c, x FROM l{c}" for c in range(PK)) + ")")
+    return ",\n".join(out)
+
+
+def pca_keys_ctes() -> str:
+    return f"""{pca_ctes()},
+pbits AS (SELECT e.vec_id, p.c AS i, sum((e.v - m.m) * p.x) > 0 AS b
+          FROM ev e JOIN emean m ON e.i = m.i JOIN comp p ON p.i = e.i GROUP BY ALL),
+{pack_words('pbits', 'vec_id', PK, 'pkeys')},
+qbits AS (SELECT e.qid, p.c AS i, sum((e.v - m.m) * p.x) > 0 AS b
+          FROM cen e JOIN emean m ON e.i = m.i JOIN comp p ON p.i = e.i GROUP BY ALL),
+{pack_words('qbits', 'qid', PK, 'qkeys')}"""
+
+
+def pca_keys_sql() -> str:
+    return f"WITH {pca_keys_ctes()} SELECT vec_id, w0 FROM pkeys"
+
+
+def pca_variance_sql() -> str:
+    return f"""WITH {pca_ctes()}, total AS (SELECT sum(x) AS t FROM c0 WHERE i = j)
+SELECT c AS component, round(x / t, 6) AS explained_variance, round(sum(x / t) OVER (ORDER BY c), 6) AS cumulative
+FROM lam, total"""
+
+
+def pca_search_sql() -> str:
+    return f"""WITH {pca_keys_ctes()},
+dist AS (SELECT q.qid, e.vec_id, {hamming('q', 'e', PK)} AS dist FROM qkeys q, pkeys e),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, vec_id) AS rank FROM dist)
+SELECT qid, rank, vec_id, dist FROM rk WHERE rank <= {TOP}"""
+
+
+def pca_stats_sql() -> str:
+    return f"""WITH {pca_keys_ctes()},
+dist AS (SELECT q.qid, {hamming('q', 'e', PK)} AS d FROM qkeys q, pkeys e),
+qids AS (SELECT qid FROM qkeys),
+{histogram_tail(PK)}"""
+
+
+def pca_checks_sql() -> str:
+    """What a right fit of the documents' vectors says of each component."""
+    return f"""WITH {bodies_ctes()}
+SELECT unnest(generate_series(0, {K - 1}))::INTEGER AS component, count(*) >= 2 AS is_eigenvector,
+       count(*) >= 2 AS is_unit, count(*) >= 2 AS is_orthogonal FROM bodies"""
+
+
+def doc_means_sql() -> str:
+    return f"""WITH {bodies_ctes()},
+tk AS (SELECT id, unnest({tokens('body')}) AS t FROM bodies),
+m AS (SELECT id, i AS dim, avg(CASE WHEN ('0x' || substr(md5(t), i + 1, 1))::INTEGER > 7 THEN 1.0 ELSE -1.0 END) AS a
+      FROM tk, range(8) r(i) GROUP BY ALL),
+n AS (SELECT *, sqrt(sum(a * a) OVER (PARTITION BY id)) AS s FROM m)
+SELECT id, dim, round(CASE WHEN s > 0 THEN a / s ELSE 0.0 END, 6) AS x FROM n"""
+
+
+def corpus_scan_sql() -> str:
+    return "SELECT doc_id AS id, source AS title, text FROM documents"
+
+
 def centered_keys_sql() -> str:
     return f"""WITH {emb_ctes()}
 SELECT e.vec_id, e.w0, {key_hex('e', EK)} AS key_hex FROM ekeys e"""
@@ -315,11 +444,11 @@ SELECT id, unnest(generate_series(0, len(t) - 1)) AS pos, unnest(t) AS token FRO
 
 
 def token_profile_sql() -> str:
-    p = tx.PUNCT_CLASS
+    p = PUNCT
     return f"""WITH {CORPUS}, tk AS (SELECT id, {tokens('text')} AS t FROM corpus)
 SELECT id, len(t) AS n_tokens,
        len(list_filter(t, lambda x: regexp_full_match(x, {lit(p)}))) AS n_punct,
-       len(t) > {MAX_TOKENS} AS over_context FROM tk"""
+       len(t) > {CONTEXT} AS over_context FROM tk"""
 
 
 def doc_token_sums_sql() -> str:
@@ -371,7 +500,7 @@ def fit_sample_sql() -> str:
 
 # -- word pieces (vocab from benchmark, segmentation of document words) -------
 
-def _wordpiece_ctes() -> str:
+def _wordpiece_ctes(source: str = "SELECT id, text FROM corpus") -> str:
     pre = "'▁'"
     return f"""{CORPUS},
 btok AS (SELECT unnest({tokens('text')}) AS t FROM benchmark),
@@ -381,7 +510,7 @@ pieces AS (SELECT {pre} || t AS token FROM btok UNION SELECT c FROM bch WHERE c
 vocab AS (SELECT token, ('0x' || substr(md5(token), 1, 15))::BIGINT AS tid FROM pieces),
 maxlen AS (SELECT max(length(token)) AS m FROM vocab),
 dtok AS (SELECT id, unnest(generate_series(0, len(tk) - 1)) AS pos, unnest(tk) AS token
-         FROM (SELECT id, {tokens('text')} AS tk FROM corpus)),
+         FROM (SELECT id, {tokens('text')} AS tk FROM ({source}))),
 words AS (SELECT DISTINCT token AS word, {pre} || token AS w1 FROM dtok),
 cand AS (SELECT w.word, s.start, l.len, v.tid FROM words w, maxlen,
          range(0, length(w.w1)) s(start), range(1, maxlen.m + 1) l(len), vocab v
@@ -406,10 +535,13 @@ SELECT word, known, len(piece_ids) AS n_pieces,
 
 
 def wordpiece_profile_sql() -> str:
-    return f"""WITH {_wordpiece_ctes()}
-SELECT d.id, sum(len(s.piece_ids)) + 2 AS n_ids, count(*) FILTER (WHERE NOT s.known) AS n_unk,
-       sum(len(s.piece_ids)) + 2 > 512 AS over_context
-FROM dtok d JOIN seg2 s ON d.token = s.word GROUP BY d.id"""
+    everything = (f"SELECT id, text FROM corpus UNION ALL SELECT -1 - qid AS id, line AS text FROM ({CONV_QUERIES})")
+    return f"""WITH {_wordpiece_ctes(everything)},
+per AS (SELECT d.id, sum(len(s.piece_ids)) AS n_pieces, count(*) FILTER (WHERE NOT s.known) AS n_unk, count(*) AS n
+        FROM dtok d JOIN seg2 s ON d.token = s.word GROUP BY d.id)
+SELECT a.id, coalesce(n_pieces, 0) + 2 AS n_ids, coalesce(n_unk, 0) AS n_unk, round(n_unk / n, 6) AS unk_share,
+       coalesce(n_pieces, 0) + 2 > 512 AS over_context
+FROM ({everything}) a LEFT JOIN per ON a.id = per.id"""
 
 
 def query_texts_sql() -> str:

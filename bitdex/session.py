@@ -60,12 +60,16 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) is a scratch folder set.
+    Only a local session (tests, bench) without one gets a scratch folder; on a
+    cluster a missing setting is an error, since executors don't share local folders.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or \
         sc.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: it names the folder that the driver "
+                             "and all executors share")
         path = tempfile.mkdtemp(prefix="bitdex-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if sc.getCheckpointDir() is None:

@@ -3,7 +3,7 @@
 * ``read_corpus``: a parquet scan of (id, title, text) -- Catalyst prunes the
   scan to exactly those columns (``ReadSchema``).
 * ``documents_corpus``: the corpus view over the driver's ``documents`` table,
-  which has no title column (title = first line, 80 chars).
+  which has no title column (title = the whole first line).
 * ``parse_records`` / ``read_records``: ``id<TAB>title<TAB>text`` lines, split
   at the first two tabs only; lines with fewer than two tabs are dropped.
 * ``record_lines`` / ``write_records``: the same lines out.
@@ -30,7 +30,7 @@ def read_corpus(spark: SparkSession, path: str, id: str = "id",
 
 
 def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, title, text) over ``documents``: title = first line, 80 chars."""
+    """(id, title, text) over ``documents``: title = the whole first line."""
     docs = table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("id"),
                        tx.first_line_title("text").alias("title"),

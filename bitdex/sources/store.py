@@ -2,21 +2,22 @@
 
 Layout under an index directory ``root``:
 
-* loose tables: ``root/index`` (ord, id, title, w0..) and ``root/params``
+* loose tables: ``root/index`` (row, ord, id, title, w0..) and ``root/params``
   (one row: dim, k, n_fit, mean, components, explained_variance);
 * packed bundles: ``root/bundle/v=<n>/{index,params,_manifest}``. The
   manifest row is written **last**, so a bundle without it is incomplete
   and ignored. Packing again writes the next version; readers take the
   highest complete one, so re-packing replaces the earlier pack.
 
-All I/O is Spark reads and writes, so ``root`` may be any file system the
-cluster mounts.
+A bundle that has its manifest but can't be read, or disagrees with it, is an
+error, never a reason to serve an older one. All I/O is Spark reads and writes,
+so ``root`` may be any file system the cluster mounts.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..functions import keys as kx
 from ..operators.pca import PcaParams
@@ -29,59 +30,68 @@ def write_index(index: DataFrame, params: PcaParams, root: str) -> None:
     params.to_df(spark).coalesce(1).write.mode("overwrite").parquet(f"{root}/params")
 
 
+def _absent(e: AnalysisException) -> bool:
+    """Whether a read failed because nothing is there."""
+    return e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def _manifests(spark: SparkSession, root: str) -> list:
     try:
-        m = spark.read.json(f"{root}/bundle/*/_manifest")
-    except Exception:   # no bundle written yet
-        return []
-    if "version" not in m.columns:
-        return []
-    return m.select("version", "n_keys", "dim", "k").collect()
+        m = spark.read.schema("version int, n_keys long, dim int, k int").json(f"{root}/bundle/*/_manifest")
+        return m.collect()
+    except AnalysisException as e:
+        if _absent(e):      # no bundle written yet
+            return []
+        raise
 
 
 def _read_loose(spark: SparkSession, root: str):
-    index = spark.read.parquet(f"{root}/index")
-    params = PcaParams.from_df(spark.read.parquet(f"{root}/params"))
-    return index, params
+    try:
+        return (spark.read.parquet(f"{root}/index"),
+                PcaParams.from_df(spark.read.parquet(f"{root}/params")))
+    except AnalysisException as e:
+        if _absent(e):
+            raise FileNotFoundError(f"missing index or params under {root}; "
+                                    f"build the index first") from e
+        raise
 
 
-def pack_index(spark: SparkSession, root: str) -> int:
-    """Copy the loose tables into the next bundle version (S5); returns the
-    version. All three parts must exist and agree."""
-    try:
-        index, params = _read_loose(spark, root)
-    except Exception as e:
-        raise FileNotFoundError(f"missing index or params under {root}; "
-                                f"build the index first") from e
+def _write_bundle(index: DataFrame, params: PcaParams, root: str) -> int:
+    """Write the next version: data, params, and the manifest last."""
+    spark = index.sparkSession
     missing = [w for w in kx.word_cols(params.k) if w not in index.columns]
     if missing:
         raise ValueError(f"index lacks key columns {missing}")
-    n_keys = index.count()
-    if n_keys < 1:
-        raise ValueError("index holds no key")
-    versions = [r["version"] for r in _manifests(spark, root)]
-    v = (max(versions) + 1) if versions else 1
+    v = max([0, *(r["version"] for r in _manifests(spark, root))]) + 1
     base = f"{root}/bundle/v={v}"
-    index.write.mode("overwrite").parquet(f"{base}/index")
+    index.write.mode("overwrite").parquet(f"{base}/index")     # an incomplete earlier try goes
     params.to_df(spark).coalesce(1).write.mode("overwrite").parquet(f"{base}/params")
+    n_keys = spark.read.parquet(f"{base}/index").count()
+    if n_keys < 1:
+        raise ValueError("index holds no key")
     manifest = spark.createDataFrame(
         [(v, n_keys, params.dim, params.k)], "version int, n_keys long, dim int, k int")
     manifest.coalesce(1).write.mode("overwrite").json(f"{base}/_manifest")
     return v
 
 
+def pack_index(spark: SparkSession, root: str) -> int:
+    """Copy the loose tables into the next bundle version (S5); returns the
+    version. All three parts must exist and agree."""
+    return _write_bundle(*_read_loose(spark, root), root)
+
+
 def load_index(spark: SparkSession, root: str):
-    """(index, params): the newest complete bundle whose params match its
-    manifest and whose key count is >= 1, else the loose tables (S6)."""
-    for m in sorted(_manifests(spark, root), key=lambda r: -r["version"]):
+    """(index, params): the newest complete bundle, else the loose tables."""
+    found = _manifests(spark, root)
+    if found:
+        m = max(found, key=lambda r: r["version"])
         base = f"{root}/bundle/v={m['version']}"
-        try:
-            params = PcaParams.from_df(spark.read.parquet(f"{base}/params"))
-            index = spark.read.parquet(f"{base}/index")
-        except Exception:
-            continue
-        if params.dim == m["dim"] and params.k == m["k"] and m["n_keys"] >= 1:
-            return index, params
+        index, params = spark.read.parquet(f"{base}/index"), PcaParams.from_df(
+            spark.read.parquet(f"{base}/params"))
+        if (params.dim, params.k) != (m["dim"], m["k"]):
+            raise ValueError(f"{base}: params disagree with the manifest")
+        return index, params
     index, params = _read_loose(spark, root)
     if index.limit(1).count() < 1:
         raise ValueError(f"index under {root} holds no key")
@@ -89,10 +99,10 @@ def load_index(spark: SparkSession, root: str):
 
 
 def rebuild(spark: SparkSession, index: DataFrame, params: PcaParams, root: str) -> int:
-    """A new corpus snapshot: rewrite the loose tables and pack them as the
-    next version (C7). There is no incremental update."""
-    write_index(index, params, root)
-    return pack_index(spark, root)
+    """A new corpus snapshot: the next bundle version, complete once its manifest is
+    there (C7). Earlier versions and the loose tables stay as they are, so ``index``
+    may be read from ``root`` itself. There is no incremental update."""
+    return _write_bundle(index, params, root)
 
 
-__all__ = ["write_index", "pack_index", "load_index", "rebuild", "F"]
+__all__ = ["write_index", "pack_index", "load_index", "rebuild"]

@@ -43,3 +43,46 @@ def test_l2_normalize_and_dot(spark):
     r = df.select(vx.l2_normalize("a").alias("n"), vx.cosine("a", "b").alias("c"),
                   vx.has_dim("a", 2).alias("ok"), vx.has_dim("a", 3).alias("bad")).first()
     assert np.allclose(r.n, [0.6, 0.8]) and abs(r.c - 0.6) < 1e-12 and r.ok and not r.bad
+
+
+def test_memory_does_not_follow_the_batch():
+    """10,000 texts of 220 tokens in one call stay within 500 MB."""
+    import subprocess
+    import sys
+    code = ("import resource, sys; sys.path.insert(0, %r)\n"
+            "from bitdex.operators.encode import HashPoolEncoder\n"
+            "texts = [' '.join('t%%d' %% ((i * 7 + j * 13) %% 5000) for j in range(220)) for i in range(10000)]\n"
+            "e = HashPoolEncoder(); e.sums_batch(texts[:10])\n"
+            "a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; e.sums_batch(texts)\n"
+            "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a) / 1024)")
+    import os
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = subprocess.run([sys.executable, "-c", code % root], capture_output=True, text=True, check=True).stdout
+    assert float(out) < 500
+
+
+def test_long_texts_are_read_whole():
+    e = enc.HashPoolEncoder(dim=128)
+    a, b = "x y " * 40_000, "z " * 100
+    whole = e.sums_batch([a, b, a + b])
+    assert (whole[2] == whole[0] + whole[1]).all() and whole[0].any()
+    few = enc.HashPoolEncoder(dim=128, max_tokens=3)
+    assert (few.sums_batch(["a b c d"]) == few.sums_batch(["a b c"])).all()
+
+
+def test_encoder_source_is_loaded_once_in_a_worker(spark):
+    def load():
+        class Made:
+            dim = 2
+
+            def encode_batch(self, texts):
+                from bitdex.operators import encode as e
+                return np.array([[len(e._LOADED), id(self) % 1000] for _ in texts], dtype=float).reshape(len(texts), 2)
+        return Made()
+
+    source = enc.EncoderSource("made here", load, 2)
+    df = spark.range(64).repartition(8).select(F.col("id").cast("string").alias("t"))
+    got = {tuple(r.v) for r in df.select(enc.encode_col("t", source).alias("v")).collect()}
+    assert {x[0] for x in got} == {1.0}                       # one entry, however many tasks
+    plain = load()
+    assert enc.loaded(plain) is plain

@@ -59,6 +59,16 @@ def test_require_rows_and_sample(spark):
     assert pc.fit_sample(big, cap=10000).count() == 5000
 
 
+def test_pca_checks_tell_right_from_wrong(spark, sf001):
+    e = _emb(spark, sf001)
+    p = pc.pca_fit(e, 6, "embedding")
+    for r in pc.pca_checks(e, p, "embedding").collect():
+        assert r.residual < 1e-9 and abs(r.norm - 1) < 1e-12 and r.cross < 1e-12
+    p.components[2, 5] += 0.1
+    assert [r.residual > 1e-6 for r in pc.pca_checks(e, p, "embedding").orderBy("component").collect()] == \
+        [False, False, True, False, False, False]
+
+
 def test_wrong_length_vector_gets_null_key(spark):
     p = pc.PcaParams.identity(np.zeros(3), 3)
     df = spark.createDataFrame([(1, [1.0, -1.0, 2.0]), (2, [1.0])], "id long, v array<double>")
@@ -98,3 +108,23 @@ def test_rebuild_packs_next_version(spark, sf001, tmp_path):
     assert store.rebuild(spark, index.filter(F.col("id") < 10), params, root) == 2
     i2, _ = store.load_index(spark, root)
     assert i2.count() == 10                      # the newest snapshot wins
+    assert store.rebuild(spark, *store.load_index(spark, root), root) == 3      # from itself
+    assert store.load_index(spark, root)[0].count() == 10
+
+
+def test_broken_bundles(spark, sf001, tmp_path):
+    import shutil
+    e = _emb(spark, sf001)
+    params = ix.identity_params(e, 64, "embedding")
+    index = pc.project_keys(e.select(F.col("vec_id").alias("ord"), F.col("vec_id").alias("id"),
+                                     F.lit("t").alias("title"), "embedding"),
+                            params, "embedding", keep=["ord", "id", "title"])
+    root = tmp_path / "b"
+    store.rebuild(spark, index, params, str(root))
+    store.rebuild(spark, index.limit(5), params, str(root))
+    shutil.rmtree(root / "bundle" / "v=2" / "_manifest")          # incomplete: not there yet
+    assert store.load_index(spark, str(root))[0].count() == e.count()
+    assert store.rebuild(spark, index.limit(7), params, str(root)) == 2
+    shutil.rmtree(root / "bundle" / "v=2" / "index")              # complete, but broken
+    with pytest.raises(Exception, match="v=2"):
+        store.load_index(spark, str(root))

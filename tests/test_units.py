@@ -1,63 +1,83 @@
-"""Extractive selection: in-row plan vs table/window plan vs Python model
-(C1, G1, J1, W1, W2, T2, trap 7 ties, budget edge cases)."""
+"""Extractive selection (C1, G1, J1, W1, W2, T2): literal inputs with literal bodies,
+and properties."""
 
-import model
+import pytest
 from pyspark.sql import functions as F
 
 from bitdex.operators import units as un
 from bitdex.operators.encode import HashPoolEncoder
 from bitdex.sources.corpus import documents_corpus
 
+SCHEMA = "id long, title string, text string"
+PAIRS = "u array<string>, s array<double>"
+
+
+def _select(spark, units, scores, cap):
+    df = spark.createDataFrame([(units, scores)], PAIRS)
+    return df.select(un.select_units(F.col("u"), F.col("s"), cap)).first()[0]
 
-def test_build_bodies_matches_model(spark, sf001):
-    corpus = documents_corpus(spark, sf001)
-    enc = HashPoolEncoder()
-    got = {r.id: (r.title, r.body) for r in un.build_bodies(corpus, encoder=enc).collect()}
-    rows = [(r.id, r.title, r.text) for r in corpus.collect()]
-    assert got == model.bodies(rows, enc)
 
+def _bodies(spark, rows, **options):
+    df = spark.createDataFrame(rows, SCHEMA)
+    return {r.id: (r.title, r.body) for r in
+            un.build_bodies(df, encoder=HashPoolEncoder(dim=128), **options).collect()}
 
-def test_paragraph_branch_and_short_text(spark):
-    paras = "\n\n".join(f"Paragraph {i} about topic {'x' * (i * 300)}." for i in range(6))
-    rows = [(1, "Topic", paras * 2), (2, None, "tiny"), (3, "  ", "   \n  "), (4, "t", None),
-            (5, "Title", "word " * 1700 + ".")]
-    df = spark.createDataFrame(rows, "id long, title string, text string")
-    enc = HashPoolEncoder()
-    got = {r.id: (r.title, r.body) for r in un.build_bodies(df, encoder=enc).collect()}
-    assert got == model.bodies(rows, enc)
-    assert 3 not in got and 4 not in got          # blank and null text dropped
 
+def test_short_texts_take_their_lead(spark):
+    rows = [(1, None, "tiny"), (2, "a\tb", " Two  spaces.\nNext line. "), (3, "  ", "   \n  "), (4, "t", None),
+            (5, "", ""), (6, "cut", "First one. Second one is long.")]
+    assert _bodies(spark, rows, cap=24) == {
+        1: ("", "tiny"), 2: ("a b", "Two spaces. Next line."), 6: ("cut", "First one.")}
 
-def test_budget_stop_not_skip(spark):
-    units = ["a" * 700, "b" * 600, "c" * 100, "d" * 50]
-    scores = [0.9, 0.8, 0.7, 0.1]
-    df = spark.createDataFrame([(units, scores)], "u array<string>, s array<double>")
-    body = df.select(un.select_units(F.col("u"), F.col("s"), 1200)).first()[0]
-    # 700 fits, 600 overflows -> stop: the smaller later units are not taken
-    assert body == "a" * 700
 
+def test_long_text_takes_the_units_like_its_title(spark):
+    filler = [f"Filler paragraph number {i} says nothing at all." for i in range(3)]
+    text = "\n\n".join([filler[0], "Otters swim.", filler[1], "Otters eat fish.", filler[2]])
+    got = _bodies(spark, [(1, "otters swim eat fish", text)], cap=30, long=50)
+    assert got == {1: ("otters swim eat fish", "Otters swim. Otters eat fish.")}
+    # fewer than four units: the lead, however long the text
+    assert _bodies(spark, [(2, "fish", "Only one. Two here. Three fish.")], cap=10, long=20) == {
+        2: ("fish", "Only one. ".strip())}
 
-def test_budget_first_unit_alone_is_capped(spark):
-    units = ["x " * 900, "short one."]
-    df = spark.createDataFrame([(units, [0.9, 0.1])], "u array<string>, s array<double>")
-    body = df.select(un.select_units(F.col("u"), F.col("s"), 1200)).first()[0]
-    assert len(body) <= 1200 and body == ("x " * 900)[:1200]
 
+@pytest.mark.parametrize("units,scores,cap,want", [
+    (["a" * 700, "b" * 600, "c" * 100], [0.9, 0.8, 0.7], 1200, "a" * 700),          # stop, don't skip
+    (["x " * 900, "short one."], [0.9, 0.1], 1200, ("x " * 900)[:1200]),            # the first is cut
+    (["u0 u0", "u1 u1", "u2 u2"], [0.5, 0.5, 0.5], 12, "u0 u0 u1 u1"),              # ties: earlier first
+    (["one.", "two.", "three."], [0.1, 0.9, 0.5], 12, "two. three."),               # document order
+    (["last", "first"], [0.0, 1.0], 5, "first"),
+])
+def test_budget(spark, units, scores, cap, want):
+    assert _select(spark, units, scores, cap) == want
 
-def test_tied_scores_take_lower_position(spark):
-    units = ["u0 u0", "u1 u1", "u2 u2"]
-    df = spark.createDataFrame([(units, [0.5, 0.5, 0.5])], "u array<string>, s array<double>")
-    assert df.select(un.select_units(F.col("u"), F.col("s"), 12)).first()[0] == "u0 u0 u1 u1"
+
+def test_properties_of_documents(spark, sf001):
+    corpus = documents_corpus(spark, sf001)
+    got = {r.id: r for r in un.build_bodies(corpus, encoder=HashPoolEncoder(), keep_route=True).collect()}
+    texts = {r.id: " ".join(r.text.split()) for r in corpus.collect()}
+    assert set(got) == set(texts)
+    routes = [r.extractive for r in got.values()]
+    assert any(routes) and not all(routes)
+    for i, r in got.items():
+        assert 0 < len(r.body) <= 1200
+        if r.extractive:        # every chosen sentence stands in the text, in that order
+            at = 0
+            for piece in r.body.replace("! ", "!|").replace("? ", "?|").replace(". ", ".|").split("|"):
+                found = texts[i].find(piece, at)
+                assert found >= 0
+                at = found
+        else:
+            assert texts[i].startswith(r.body)
+    again = un.build_bodies(corpus.repartition(7), encoder=HashPoolEncoder()).collect()
+    assert {r.id: r.body for r in again} == {i: r.body for i, r in got.items()}
 
 
-def test_window_forms_agree_with_in_row(spark):
+def test_worklist_and_window_forms(spark):
     rows = [(1, 0, "aaa", 0.2), (1, 1, "bb", 0.9), (1, 2, "cccc", 0.9), (1, 3, "d", 0.1),
             (2, 0, "z" * 20, 0.3), (2, 1, "y" * 20, 0.4)]
     df = spark.createDataFrame(rows, "id long, pos int, unit string, score double")
     chosen = un.budget_units(un.rank_units(df), 10)
-    got = {r.id: r.body for r in un.restore_order(chosen, 10).collect()}
-    arr = df.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "unit", "score"))).alias("a"))
-    inrow = {r.id: r.b for r in arr.select(
-        "id", un.select_units(F.transform("a", lambda x: x["unit"]),
-                              F.transform("a", lambda x: x["score"]), 10).alias("b")).collect()}
-    assert got == inrow == {1: "bb cccc", 2: "y" * 10}
+    assert {r.id: r.body for r in un.restore_order(chosen, 10).collect()} == {1: "bb cccc", 2: "y" * 10}
+    corpus = spark.createDataFrame([(1, None, "Aa one. Bb two. Cc three. Dd four."), (2, "t", "short")], SCHEMA)
+    got = sorted(map(tuple, un.extraction_worklist(corpus, long=20).collect()))
+    assert got == [(1, -1, "article"), (1, 0, "Aa one."), (1, 1, "Bb two."), (1, 2, "Cc three."), (1, 3, "Dd four.")]

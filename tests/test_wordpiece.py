@@ -17,21 +17,19 @@ def test_segment_words_literal_vocab(spark):
     assert got["zzz"] == (False, [0])                   # no piece at all (left join keeps it)
 
 
-def test_piece_profile(spark):
+def test_piece_profile_has_every_document(spark):
     vocab = spark.createDataFrame([("▁a", 1), ("▁b", 2)], "token string, token_id long")
-    toks = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "a")],
+    toks = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (2, 0, "a"), (1, 3, "c")],
                                  "id long, pos int, token string")
-    got = {r.id: (r.n_ids, r.n_unk, r.over_context)
-           for r in wp.piece_profile(toks, vocab, n_ctx=4).collect()}
-    assert got == {1: (5, 1, True), 2: (3, 0, False)}
+    docs = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    got = {r.id: (r.n_ids, r.n_unk, r.unk_share, r.over_context)
+           for r in wp.piece_profile(toks, docs, vocab, n_ctx=4).collect()}
+    assert got == {1: (6, 2, 0.5, True), 2: (3, 0, 0.0, False), 3: (2, 0, None, False)}
 
 
-def test_token_join_salted_equals_broadcast(spark, monkeypatch):
+def test_token_ids_with_a_hot_word(spark):
     vocab = spark.createDataFrame([("▁a", 1), ("▁b", 2)], "token string, token_id long")
-    # one hot word holding two thirds of all token rows
     toks = spark.createDataFrame([(i, j, "a" if j % 3 else "c") for i in range(40) for j in range(30)],
                                  "id long, pos int, token string")
-    a = sorted(map(tuple, wp.token_ids(toks, vocab).select("id", "pos", "known").collect()))
-    monkeypatch.setattr(wp, "MAX_BROADCAST_WORDS", 0)
-    b = sorted(map(tuple, wp.token_ids(toks, vocab).select("id", "pos", "known").collect()))
-    assert a == b and len(a) == 1200
+    got = wp.token_ids(toks, vocab).collect()
+    assert len(got) == 1200 and all(r.known == (r.token == "a") and r.piece_ids == [1 if r.known else 0] for r in got)
