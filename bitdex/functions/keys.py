@@ -78,6 +78,11 @@ def key_hex(words: list[Column | str]) -> Column:
     return F.lower(F.concat(*[F.lpad(F.hex(_c(w)), 16, "0") for w in words]))
 
 
+def key_bytes(words: list[Column | str]) -> Column:
+    """The key as BINARY, most significant byte first (V7)."""
+    return F.unhex(key_hex(words))
+
+
 def est_cosine(d: Column | str, k: int) -> Column:
     """Cosine implied by a Hamming distance: ``cos(pi * d / k)`` (V9)."""
     return F.cos(F.lit(math.pi) * _c(d) / F.lit(float(k)))

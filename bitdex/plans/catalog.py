@@ -127,6 +127,12 @@ def wordpiece_words(spark, sf):
                       .alias("pieces"))
 
 
+def token_pieces(spark, sf):
+    """Every document token with its word's pieces."""
+    t = wp.token_ids(_doc_tokens(spark, sf), _bench_vocab(spark, sf))
+    return t.select("id", "pos", "token", "known", F.size("piece_ids").alias("n_pieces"))
+
+
 def wordpiece_profile(spark, sf):
     """Over every document and every turn of conversations (id -1 - qid), whether or not it has words."""
     docs = _corpus(spark, sf).select("id", "text").unionByName(
@@ -427,6 +433,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "token_profile": token_profile,
     "corpus_profile": corpus_profile,
     "wordpiece_words": wordpiece_words,
+    "token_pieces": token_pieces,
     "wordpiece_profile": wordpiece_profile,
     "bodies": bodies,
     "records": records,
@@ -472,6 +479,7 @@ ORACLE: dict[str, str] = {
     "token_profile": oq.token_profile_sql(),
     "corpus_profile": oq.corpus_profile_sql(),
     "wordpiece_words": oq.wordpiece_words_sql(),
+    "token_pieces": oq.token_pieces_sql(),
     "wordpiece_profile": oq.wordpiece_profile_sql(),
     "bodies": oq.bodies_sql(),
     "records": oq.records_sql(),

@@ -534,6 +534,11 @@ SELECT word, known, len(piece_ids) AS n_pieces,
        array_to_string(list_transform(piece_ids, lambda x: x::VARCHAR), ' ') AS pieces FROM seg2"""
 
 
+def token_pieces_sql() -> str:
+    return f"""WITH {_wordpiece_ctes()}
+SELECT d.id, d.pos, d.token, s.known, len(s.piece_ids) AS n_pieces FROM dtok d JOIN seg2 s ON d.token = s.word"""
+
+
 def wordpiece_profile_sql() -> str:
     everything = (f"SELECT id, text FROM corpus UNION ALL SELECT -1 - qid AS id, line AS text FROM ({CONV_QUERIES})")
     return f"""WITH {_wordpiece_ctes(everything)},

@@ -8,7 +8,7 @@ from contextlib import redirect_stdout
 
 sys.path.insert(0, "/root/repo")
 
-from bitdex.operators import index as ix, search as sr  # noqa: E402
+from bitdex.operators import index as ix, search as sr, units as un  # noqa: E402
 from bitdex.plans import catalog as C                    # noqa: E402
 from bitdex.session import local_session                 # noqa: E402
 
@@ -35,15 +35,16 @@ def main(sf="/root/testdata/sf0.01"):
     index, params = ix.build_index(C._bodies(spark, sf), C._encoder(), C.K,
                                    projection="pca")
     qk = ix.encode_queries(C._bench_queries(spark, sf), params, C._encoder())
-    batches = sr.query_batches(qk, params.k)
     jobs = {
         "bodies (C1)": C.bodies(spark, sf),
-        "index projection (C3: encode + project + pack)": ix.build_index(
-            C._bodies(spark, sf), C._encoder(), C.K, params=params, cut=False)[0],
+        "index projection (C3: encode + project + pack)": ix._keys(
+            C._bodies(spark, sf), "body", C._encoder(), params, "auto", ["id", "title"]),
         "search (C5: scan partial top-k + window merge + title join)":
-            sr.resolve_hits(sr.knn(index, batches, params.k, 5), index, params.k, 5 * len(batches[0])),
+            sr.resolve_hits(sr.knn(index, qk, params.k, 5), index, params.k),
         "stats (C6: scan partial histogram + grouped merge)":
-            sr.distance_histogram(index, batches, params.k),
+            sr.distance_histogram(index, qk, params.k),
+        "table-form scoring (J1: one scan, one encoder pass)": un.extraction_worklist(C._corpus(spark, sf)),
+        "text units (P6)": C.text_units(spark, sf),
         "token profile (F9)": C.token_profile(spark, sf),
         "word pieces (F8)": C.wordpiece_words(spark, sf),
         "covariance (A2)": C.covariance(spark, sf),
