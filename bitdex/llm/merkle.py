@@ -87,8 +87,9 @@ def changed(a: Column, b: Column) -> Column:
 
 
 def neighbours(docs: DataFrame, id: str, key: str, n: str) -> DataFrame:
-    """(key, previous key, its n) for each distinct (id, key) in ascending order of
-    id (nulls first), then key; before the first comes the last.
+    """(i, k, same, prev): each distinct (id, key), how many rows have it, and (i, k, n) of the
+    one before in ascending order of id (nulls first), then key; before the first comes
+    the last.
 
     Only ids travel. They are dealt out by range, so no task sees more than its
     range, and one row for each range settles the borders.
@@ -100,15 +101,14 @@ def neighbours(docs: DataFrame, id: str, key: str, n: str) -> DataFrame:
     ids = cut_lineage(ids.repartitionByRange(parts, F.col("i").asc_nulls_first(), "k")
                       .withColumn("range", F.spark_partition_id()), "neighbours")
     edge = (ids.groupBy("range")
-            .agg(F.max_by(F.struct("k", "n"), F.struct(F.col("i").isNotNull(), "i", "k")).alias("last")))
+            .agg(F.max_by(F.struct("i", "k", "n"), F.struct(F.col("i").isNotNull(), "i", "k")).alias("last")))
     order = Window.orderBy("range")                      # one row for each range
     edge = edge.select("range", F.lag("last").over(order).alias("before"),
                        F.last("last").over(order.rowsBetween(Window.unboundedPreceding,
                                                              Window.unboundedFollowing)).alias("final"))
     within = Window.partitionBy("range").orderBy(F.col("i").asc_nulls_first(), "k")
-    prev = F.coalesce(F.lag(F.struct("k", "n")).over(within), "before", "final")
-    return (ids.join(F.broadcast(edge), "range").withColumn("prev", prev)
-            .select("k", "same", F.col("prev.k").alias("prev_k"), F.col("prev.n").alias("prev_n")))
+    prev = F.coalesce(F.lag(F.struct("i", "k", "n")).over(within), "before", "final")
+    return ids.join(F.broadcast(edge), "range").select("i", "k", "same", prev.alias("prev"))
 
 
 def edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -122,17 +122,21 @@ def edits(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """
     rows = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     rows = rows.withColumn("k", row_key("doc_id", "text"))
-    near = neighbours(rows.withColumn("n", F.length("text")), "doc_id", "k", "n")
-    near = cut_lineage(near, "neighbours")
+    near = cut_lineage(neighbours(rows.withColumn("n", F.length("text")), "doc_id", "k", "n"), "neighbours")
     repeated = not near.filter("same > 1").isEmpty()
-    starts = (rows.join(near, "k")
-              .select(F.col("prev_k").alias("k"),
-                      F.expr("substring(text, 1, cast(floor(prev_n / 2) AS int))").alias("start"),
-                      leaves(tree(F.col("text"))).alias("next_leaves")))
+
+    def joined(other):
+        """Both joins read the texts dealt out by the same columns, so they travel once."""
+        return rows.join(other, (rows.k == other.at_k) & rows.doc_id.eqNullSafe(other.at_i))
+
+    starts = joined(near.select(F.col("i").alias("at_i"), F.col("k").alias("at_k"), "prev")).select(
+        F.col("prev.i").alias("at_i"), F.col("prev.k").alias("at_k"),
+        F.expr("substring(text, 1, cast(floor(prev.n / 2) AS int))").alias("start"),
+        leaves(tree(F.col("text"))).alias("next_leaves"))
     if repeated:
-        starts = starts.dropDuplicates(["k"])
-    own = rows.withColumn("n_chars", F.length("text").cast("long"))
-    both = own.join(starts, "k").withColumn(
+        starts = starts.dropDuplicates(["at_i", "at_k"])
+    both = joined(starts).withColumn("n_chars", F.length("text").cast("long"))
+    both = both.withColumn(
         "edited", F.concat(F.expr("substring(text, 1, cast(n_chars - floor(n_chars / 2) AS int))"), "start"))
     both = both.withColumn("tree", tree(F.col("text"))).withColumn("edited_tree", tree(F.col("edited")))
     both = both.withColumn("leaves", leaves(F.col("tree")))
