@@ -10,8 +10,9 @@ all links, and pivots divide the regions that are large:
 2. *Shared shingles.* The first ``SCAN`` of each set in hash order are counted over
    the whole corpus. A set that shares too few of them with any other set has no
    link. Common passages alone don't carry a set over that line.
-3. *Regions.* Of what is left, two linked sets share one of their a - need(a) + 1
-   smallest hashes (prefix principle). Connected sets of that relation form a region.
+3. *Regions.* What is left is counted again, whole. Two linked sets share one of the
+   a - need(a) + 1 hashes of each that fewest sets have (prefix principle, rarest first).
+   Connected sets of that relation form a region.
    Regions of up to ``REGION`` sets are joined whole, by one matrix product.
 4. *Pivots.* In a larger region each set gets its distances to ~``PIVOTS`` pivots
    (seeded by hash), goes to the Voronoi cell of the nearest, and links to those
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ from .words import Powers, prefix_sums, span_hashes, window_hashes, word_hashes
 SHINGLE = 5
 PERCENT = 75            # link if 100 * common >= PERCENT * union
 SCAN = 0.4              # share of a set's hashes that the corpus-wide count sees
-REGION = 64             # sets of a region that is joined whole
+REGION = 256            # sets of a region that is joined whole
 BLOCK = 128             # sets of a block of a larger region
 PIVOTS = 32
 RADIUS = 1 - PERCENT / 100
@@ -172,29 +174,101 @@ def _counts(pairs) -> pa.RecordBatch:
                                       names=["sid", "credit"])
 
 
-def _full(k: int):
-    """(sid, set as bytes) of the chosen texts."""
+PACK = 512          # sets in a pack
+
+
+def _packs(k: int):
+    """Chosen texts as packs of sets: (pack, sids, ns, u), the sets one after another."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
+        powers, made, ready = Powers(), 0, []
+        task = TaskContext.get().partitionId()
+
+        def pack() -> pa.RecordBatch:
+            ids = np.array([set_id(u) for u in ready], np.int64)
+            row = ((task << 32) + made, ids.tobytes(), np.array([len(u) for u in ready], np.int32).tobytes(),
+                   b"".join(u.tobytes() for u in ready))
+            return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["pack", "sids", "ns", "u"])
+
         for batch in batches:
-            sets = [u for u in shingle_sets(batch.column(1), powers, k)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([set_id(u) for u in sets], pa.int64()),
-                 pa.array([len(u) for u in sets], pa.int32()),
-                 pa.array([u.tobytes() for u in sets], pa.binary())], names=["sid", "n", "u"])
+            for u in shingle_sets(batch.column(1), powers, k):
+                ready.append(u)
+                if len(ready) == PACK:
+                    yield pack()
+                    made, ready = made + 1, []
+        if ready:
+            yield pack()
     return run
 
 
-def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(sid, hash) of the a - need(a) + 1 smallest hashes of each set."""
+def _open(batch: pa.RecordBatch):
+    """(pack, sids, ns, hashes) of each pack."""
+    for pack, sids, ns, u in zip(*(batch.column(c).to_pylist() for c in ("pack", "sids", "ns", "u"))):
+        yield pack, np.frombuffer(sids, np.int64), np.frombuffer(ns, np.int32), np.frombuffer(u, np.uint64)
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sid = batch.column("sid").to_numpy()
-        sets = [np.frombuffer(u, np.uint64) for u in batch.column("u").to_pylist()]
-        sets = [u[:len(u) - need(len(u)) + 1] for u in sets]
-        if sets:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(sid, [len(u) for u in sets]), pa.int64()),
-                 pa.array(np.concatenate(sets).view(np.int64))], names=["sid", "h"])
+        for _, sids, ns, u in _open(batch):
+            sets = [x.tobytes() for x in np.split(u, np.cumsum(ns)[:-1])]
+            yield pa.RecordBatch.from_arrays([pa.array(sids), pa.array(sets, pa.binary())], names=["sid", "u"])
+
+
+def _dealt(u: np.ndarray, parts: int):
+    """(distinct hashes ordered by part, how often each occurs, where each part begins)."""
+    h, n = np.unique(u, return_counts=True)
+    part = (h & np.uint64(parts - 1)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    return h[order], n[order], np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def _ask(parts: int):
+    """(part, pack, hashes, counts): each pack's distinct hashes, with how often it has them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pack, _, _, u in _open(batch):
+                h, n, cuts = _dealt(u, parts)
+                rows = [(p, pack, h[cuts[p]:cuts[p + 1]].tobytes(), n[cuts[p]:cuts[p + 1]].astype(np.int32).tobytes())
+                        for p in np.flatnonzero(np.diff(cuts)).tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
+                    zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "pack", "h", "n"])
+    return run
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pack, part, counts): how many sets of the corpus have each hash a pack asked about."""
+    asked: dict[int, list] = {}
+    for batch in batches:
+        for part, pack, h, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            asked.setdefault(part, []).append((pack, np.frombuffer(h, np.uint64), np.frombuffer(n, np.int32)))
+    for part in list(asked):
+        packs, hs, ns = zip(*asked.pop(part))
+        _, where = np.unique(np.concatenate(hs), return_inverse=True)
+        total = np.bincount(where, np.concatenate(ns))[where].astype(np.int32)
+        counts = [x.tobytes() for x in np.split(total, np.cumsum([len(h) for h in hs])[:-1])]
+        yield pa.RecordBatch.from_arrays([pa.array(packs, pa.int64()), pa.array([part] * len(packs), pa.int32()),
+                                          pa.array(counts, pa.binary())], names=["pack", "part", "counts"])
+
+
+def _prefixes(parts: int):
+    """(sid, h): of each set, of the a - need(a) + 1 hashes that fewest sets have, those that another
+    set has too. A linked pair shares one of them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            answers = batch.column("answers").to_pylist()
+            for (_, sids, ns, u), got in zip(_open(batch), answers):
+                h, _, _ = _dealt(u, parts)
+                total = np.concatenate([np.frombuffer(x["counts"], np.int32)
+                                        for x in sorted(got, key=lambda x: x["part"])])
+                order = np.argsort(h)
+                often = total[order][np.searchsorted(h, u, sorter=order)]
+                out = []
+                for sid, a, b in zip(sids, np.cumsum(ns) - ns, np.cumsum(ns)):
+                    x, c = u[a:b], often[a:b]
+                    first = np.lexsort((x, c))[:len(x) - need(len(x)) + 1]
+                    first = first[c[first] > 1]
+                    out.append((np.full(len(first), sid), x[first].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], names=["sid", "h"])
+    return run
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None) -> np.ndarray:
@@ -384,12 +458,17 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     scan = F.least(F.col("n"), F.greatest(miss + 1, F.ceil(F.col("n") * share)))
     chosen = cut_lineage(classes.join(credit, "sid").filter(F.col("credit") >= scan - miss)
                          .select("rk"), "chosen")
-    sets = cut_lineage(by_key(rows.select("rk", "text"), F.col("rk"), chosen, "left_semi").mapInArrow(_full(k), "sid long, n int, u binary")
-                       .dropDuplicates(["sid"]), "chosen-sets")
-
-    heads = sets.mapInArrow(_prefixes, "sid long, h long")
-    least = heads.groupBy("h").agg(F.min("sid").alias("a"), F.max("sid").alias("_b")).filter("a <> _b")
-    near = heads.join(least.select("h", "a"), "h").filter("sid <> a").select("a", F.col("sid").alias("b")).distinct()
+    packs = cut_lineage(by_key(rows.select("rk", "text"), F.col("rk"), chosen, "left_semi").mapInArrow(
+        _packs(k), "pack long, sids binary, ns binary, u binary"), "packs")
+    sets = packs.mapInArrow(_unpack, "sid long, u binary").dropDuplicates(["sid"])
+    answers = (packs.mapInArrow(_ask(parts), "part int, pack long, h binary, n binary")
+               .repartition(int(tasks), "part").mapInArrow(_answer, "pack long, part int, counts binary")
+               .groupBy("pack").agg(F.collect_list(F.struct("part", "counts")).alias("answers")))
+    heads = cut_lineage(packs.join(answers, "pack").mapInArrow(_prefixes(parts), "sid long, h long").distinct(),
+                        "heads")
+    least = cut_lineage(heads.groupBy("h").agg(F.min("sid").alias("a"), F.max("sid").alias("_b"))
+                        .filter("a <> _b").select("h", "a"), "least")
+    near = heads.join(least, "h").filter("sid <> a").select("a", F.col("sid").alias("b")).distinct()
     region_of = components(near)
     sized = cut_lineage(region_of.groupBy(F.col("label").alias("region")).agg(F.count("*").alias("size")), "regions")
     placed = sets.join(region_of.select(F.col("node").alias("sid"), F.col("label").alias("region")), "sid")
