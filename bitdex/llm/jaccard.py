@@ -18,7 +18,7 @@ all links, and pivots divide the regions that are large:
    (seeded by hash), goes to the Voronoi cell of the nearest, and links to those
    within the radius 0.25. What is connected through pivots needs no more looks at its
    pairs: only sets outside the region's largest component (*outer* sets) are still
-   compared. While they are many, more pivots are drawn among them.
+   compared. While they are many and pivots take them away, more are drawn among them.
 5. *Windows.* An outer set is copied to the blocks of a cell whose distances to the
    cell's pivot lie within 0.25 of its own: elsewhere the triangle inequality rules out
    a link. There it is compared exactly.
@@ -51,6 +51,7 @@ SCAN = 0.4              # share of a set's hashes that the corpus-wide count see
 REGION = 256            # sets of a region that is joined whole
 BLOCK = 128             # sets of a block of a larger region
 PIVOTS = 32
+OUTER = 4096            # outer sets of a region from which more pivots are tried
 RADIUS = 1 - PERCENT / 100
 
 
@@ -362,7 +363,7 @@ def _draw(rows: DataFrame, counts: DataFrame, wanted: int, seed: int) -> DataFra
             .filter(place * F.col("n_rows") < F.lit(float(wanted))).drop("n_rows"))
 
 
-def _large_regions(sets: DataFrame, regions: DataFrame, pivots: int, block: int) -> DataFrame:
+def _large_regions(sets: DataFrame, regions: DataFrame, pivots: int, block: int, many_outer: int) -> DataFrame:
     """Links that connect the sets of large regions. ``sets``: (region, sid, u);
     ``regions``: (region, size)."""
     def spread(df):      # block numbers of a region, by hash
@@ -383,7 +384,7 @@ def _large_regions(sets: DataFrame, regions: DataFrame, pivots: int, block: int)
                .agg(F.min_by(F.struct("probe", "d"), F.struct("d", "probe")).alias("p"))
                .select("region", "sid", F.col("p.probe").alias("cell"), F.col("p.d").alias("dist")))
     links = seen.filter("linked AND sid <> probe").select(F.col("sid").alias("a"), F.col("probe").alias("b"))
-    level = 0
+    level, before = 0, None
     while True:
         label = components(links) if not links.isEmpty() else None
         where = sets.select("region", "sid", "blocks")
@@ -394,10 +395,15 @@ def _large_regions(sets: DataFrame, regions: DataFrame, pivots: int, block: int)
                 .groupBy("region").agg(F.max_by("label", F.struct("c", "label")).alias("main")))
         outer = cut_lineage(where.join(main, "region").filter("label <> main")
                             .select("region", "sid").join(probed, "sid", "left_anti"), "outer")
-        left = outer.groupBy("region").agg(F.count("*").alias("n_rows"))
+        left = cut_lineage(outer.groupBy("region").agg(F.count("*").alias("n_rows")), "left")
         level += 1
         wanted = pivots * 2 ** level
-        many = left.filter(F.col("n_rows") > 2 * wanted)
+        # go on where many are left and the last pivots took away a fifth of them, beside themselves
+        many = left.filter(F.col("n_rows") > max(many_outer, 2 * wanted))
+        if before is not None:
+            many = many.join(before.withColumnRenamed("n_rows", "was"), "region").filter(
+                F.col("n_rows") <= 0.8 * F.col("was") - wanted / 2).select("region", "n_rows")
+        before = left
         if many.isEmpty():
             break
         more = _draw(outer, many, wanted, 11 + level)
@@ -429,7 +435,7 @@ def _large_regions(sets: DataFrame, regions: DataFrame, pivots: int, block: int)
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = SHINGLE,
                     share: float = SCAN, region: int = REGION, block: int = BLOCK,
-                    pivots: int = PIVOTS) -> DataFrame:
+                    pivots: int = PIVOTS, outer: int = OUTER) -> DataFrame:
     """(doc_id, rk, n_shingles, component_id, n_same) of each row of ``docs``.
 
     ``component_id`` is the smallest id reachable by links (nulls count as greater
@@ -479,7 +485,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     if not large.isEmpty():
         links = links.unionByName(_large_regions(
             placed.join(large.select("region"), "region", "left_semi").select("region", "sid", "u"),
-            large, pivots, block))
+            large, pivots, block, outer))
     label = components(links)
     classes = classes.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "label", F.coalesce("label", "sid"))

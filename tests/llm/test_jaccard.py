@@ -61,7 +61,7 @@ def test_large_region_with_pivots_and_windows(spark):
     rows += [(2000 + i, shared + " " + " ".join(f"u{i}x{j}" for j in range(rnd.randrange(8, 60)))) for i in range(80)]
     rows += [(3000 + i, " ".join(rows[i][1].split()[:110])) for i in range(40)]
     want = brute(rows)
-    assert run(spark, rows, region=16, block=8, pivots=3) == want
+    assert run(spark, rows, region=16, block=8, pivots=3, outer=5) == want
     assert run(spark, rows) == want
 
 
