@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import row_key, table
 from .urls import host_of
 
@@ -36,6 +37,7 @@ TAG = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*+)>", re.S)
 ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 NAME_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
+ABOUT = re.compile(r"(?:has|with|no|without|is)[-_]", re.I)      # "has-sidebar" isn't a sidebar
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noembed noframes xmp".split())
@@ -55,12 +57,13 @@ DROP = frozenset(
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu "
                        "menubar toolbar form status".split())
 DROP_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot banner banners "
+    "ad ads adv advert adverts advertisement advertisements advertising adsense adbox adslot adbanner adcontainer "
+    "adwrapper dfp taboola outbrain banner banners "
     "sponsor sponsored sponsors promo promos promotion promoted navigation nav navbar navi menu menus submenu "
     "breadcrumb breadcrumbs sidebar sidebars aside widget widgets related recommended recommendations share "
     "sharing social newsletter subscribe subscription signup signin login register cookie cookies consent "
     "gdpr notice notices notification notifications alert alerts popup popups modal modals overlay toast comment "
-    "comments commentlist disqus respond discussion reply replies reactions footer foot footnav header masthead "
+    "comments commentlist disqus respond discussion reply replies responses reactions footer foot footnav header masthead "
     "topbar toolbar skip search searchbox pagination pager paging copyright legal disclaimer paywall announcement "
     "announcements form forms feedback rating ratings".split())
 SOFT = frozenset("header banner foot form forms related legal discussion".split())   # not if they hold a heading
@@ -77,11 +80,12 @@ class Node:
             got = {}
             for m in ATTR.finditer(attrs):
                 got.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-            self.names = frozenset(x.lower() for key in ("class", "id")
-                                   for x in NAME_PART.findall(got.get(key, "")))
+            self.names = frozenset(x.lower() for key in ("class", "id") for name in got.get(key, "").split()
+                                   if not ABOUT.match(name) for x in NAME_PART.findall(name))
             self.role = got.get("role", "").lower()
             bare = re.sub(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", "=", attrs).lower().split()
-            self.hidden = "hidden" in bare or got.get("aria-hidden", "").lower() == "true"
+            self.hidden = "hidden" in bare or got.get("aria-hidden", "").lower() == "true" \
+                or "display:none" in got.get("style", "").lower().replace(" ", "")
 
 
 def parse(page: str) -> Node:
@@ -315,7 +319,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(rk, subtree) of each page's subtrees that recur on ``min_pages`` different pages of
     its host. ``pages``: (rk, host, html)."""
-    found = pages.mapInArrow(_subtrees, "rk long, host string, subtree long, main long")
+    found = cut_lineage(pages.mapInArrow(_subtrees, "rk long, host string, subtree long, main long"), "subtrees")
     often = (found.select("host", "subtree", "main").distinct().groupBy("host", "subtree")
              .agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("host", "subtree"))
     return found.select("rk", "host", "subtree").join(often, ["host", "subtree"]).select("rk", "subtree")

@@ -29,6 +29,7 @@ def test_broken_markup():
     assert one("<div><article><p>in</p><ul><li>x<li>y</ul></article></div><div>out</div>") == ["in", "x", "y"]
     assert one("<body><main><p>m</p><nav>n</nav></main>") == ["m"]
     assert one("<script>never ends <p>x</p>") == []
+    assert one("<div class='content has-sidebar'><p>a</p><div class='postSidebar'>b</div><p style='display: none'>c</p></div>") == ["a"]
     assert one("<div>" * 3000 + "deep" + "</div>" * 3000) == ["deep"]
 
 
