@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, jaccard, langid, licenses, merkle, mixing, substrings, urls, warc
+from . import decontaminate, html, jaccard, langid, licenses, merkle, mixing, oracle, substrings, urls, warc
 
 QUERIES = {f.__name__: f for f in (
     html.op1_main_text,
@@ -16,4 +16,7 @@ QUERIES = {f.__name__: f for f in (
     jaccard.op9_jaccard_join,
     langid.op10_language_id,
 )}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op3_substring_dedup": oracle.SUBSTRING_DEDUP,
+    "op9_jaccard_join": oracle.JACCARD_JOIN,
+}
