@@ -80,9 +80,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame, name: str | None = None) -> DataFrame:
     """Materialise ``df`` as parquet under the shared checkpoint folder and
     read it back: a reliable lineage cut that survives executor loss (unlike
-    a local checkpoint) and that later stages can scan with pruning."""
+    a local checkpoint) and that later stages can scan with pruning. All tables of an
+    application lie in one folder, ``bitdex-<application id>``, which may go when it ends."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
-    path = os.path.join(base, f"{name or 'stage'}-{uuid.uuid4().hex}")
+    path = os.path.join(base, f"bitdex-{spark.sparkContext.applicationId}",
+                        f"{name or 'stage'}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
