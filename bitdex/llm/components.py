@@ -1,5 +1,6 @@
-"""Connected components by contraction: every node moves to its smallest neighbour,
-edges between the places are what is left. Tables only, no graph on the driver."""
+"""Connected components by contraction: every node moves to the neighbour that comes first in
+an order shuffled anew each time (so that no numbering of the nodes makes long chains), edges
+between the places are what is left. Tables only, no graph on the driver."""
 
 from __future__ import annotations
 
@@ -11,14 +12,19 @@ from ..session import cut_lineage
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, label) of every node of ``edges``; equal labels: connected. The label is
-    one of the nodes (the smallest that contraction meets). Loops and repeated edges
-    are legal, and a node that has only a loop is labelled too; nulls are not."""
-    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
+    one of the nodes. Loops and repeated edges are legal, and a node that has only a
+    loop is labelled too; nulls are not."""
+    # written first: both directions must come from one evaluation of the edges
+    pairs = cut_lineage(edges.select(F.col(a).alias("u"), F.col(b).alias("v")), "pairs")
     both = cut_lineage(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
                        .distinct(), "edges")
-    where = None
+    where, level = None, 0
     while True:
-        step = cut_lineage(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("to")), "step")
+        level += 1
+        first = F.min(F.struct(F.xxhash64(F.lit(level), "v").alias("h"), "v"))
+        step = both.groupBy("u").agg(first.alias("m")).select("u", F.when(
+            F.col("m.h") < F.xxhash64(F.lit(level), "u"), F.col("m.v")).otherwise(F.col("u")).alias("to"))
+        step = cut_lineage(step, "step")
         if where is None:
             where = step.select(F.col("u").alias("node"), F.col("to").alias("label"))
         else:
