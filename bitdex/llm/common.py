@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +43,27 @@ def by_key(docs: DataFrame, key: Column, keys: DataFrame, how: str) -> DataFrame
         keys = F.broadcast(keys)
     return docs.withColumn("_by_key", key).join(keys, "_by_key", how).select(
         *[F.col(f"`{c}`") for c in docs.columns])
+
+
+BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20            # of an Arrow batch between the JVM and a Python worker (or one row)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+                schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` with batches of at most ``BATCH_BYTES`` (a lower setting of the
+    session stays), after which the worker gives its freed memory back: workers wait for the next
+    task beside the executor's heap."""
+    conf = df.sparkSession.conf
+    if int(conf.get(BATCH_KEY).rstrip("b")) > BATCH_BYTES:
+        conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return df.mapInArrow(tidy, schema)

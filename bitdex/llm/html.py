@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import row_key, table
+from .common import map_batches, row_key, table
 from .urls import host_of
 
 MIN_PAGES = 5
@@ -319,7 +319,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(rk, subtree) of each page's subtrees that recur on ``min_pages`` different pages of
     its host. ``pages``: (rk, host, html)."""
-    found = cut_lineage(pages.mapInArrow(_subtrees, "rk long, host string, subtree long, main long"), "subtrees")
+    found = cut_lineage(pages.transform(map_batches, _subtrees, "rk long, host string, subtree long, main long"), "subtrees")
     often = (found.select("host", "subtree", "main").distinct().groupBy("host", "subtree")
              .agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("host", "subtree"))
     return found.select("rk", "host", "subtree").join(often, ["host", "subtree"]).select("rk", "subtree")
@@ -338,7 +338,7 @@ def main_texts(pages: DataFrame, id: str = "page_id", url: str = "url", html: st
     kinds = dict(rows.dtypes)
     known = (site_templates(rows.select("rk", host_of(F.col("url")).alias("host"), "html"), min_pages)
              .groupBy("rk").agg(F.collect_set("subtree").alias("templates")))
-    return rows.join(known, "rk", "left").select("page_id", "url", "html", "templates").mapInArrow(
+    return rows.join(known, "rk", "left").select("page_id", "url", "html", "templates").transform(map_batches,
         _texts, f"page_id {kinds['page_id']}, url string, text string, n_chars long, n_blocks long, "
                 "n_templates long")
 

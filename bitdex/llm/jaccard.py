@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import by_key, row_key, shuffle_partitions, table
+from .common import by_key, map_batches, row_key, shuffle_partitions, table
 from .components import components
 from .words import Powers, prefix_sums, span_hashes, window_hashes, word_hashes
 
@@ -94,19 +94,32 @@ def _describe(k: int):
     return run
 
 
+SLICE = 1_000_000       # hashes of the sets that are dealt out together
+
+
+def _slices(batches: Iterator[pa.RecordBatch], powers: Powers, k: int) -> Iterator[dict[int, np.ndarray]]:
+    """The different sets of some texts, as many as a slice holds."""
+    sets, size = {}, 0
+    for batch in batches:
+        for u in shingle_sets(batch.column(1), powers, k):
+            if len(u):
+                key = set_id(u)
+                size += 0 if key in sets else len(u)
+                sets.setdefault(key, u)
+                if size >= SLICE:
+                    yield sets
+                    sets, size = {}, 0
+    if sets:
+        yield sets
+
+
 def _scatter(k: int, parts: int, share: float):
     """The first hashes of each set, dealt out to ``parts`` by value: rows
     (part, hashes, set ids, hashes of each). A hash that several sets of the batch
     have is sent once, under set id 0, and credited to its sets here (part -1)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
-        for batch in batches:
-            sets = {}
-            for u in shingle_sets(batch.column(1), powers, k):
-                if len(u):
-                    sets.setdefault(set_id(u), u)
-            if not sets:
-                continue
+        for sets in _slices(batches, powers, k):
             ids = np.fromiter(sets, np.int64, len(sets))
             sizes = np.array([len(u) for u in sets.values()])
             seen = scanned(sizes, share)
@@ -311,8 +324,8 @@ def _whole_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             n = np.array([len(u) for u in sets])
             _, linked = jaccards(overlaps(sets), n, n)
             i, j = np.nonzero(np.triu(linked, 1))
-            a.append(sid[i])
-            b.append(sid[j])
+            a.append(np.minimum(sid[i], sid[j]))        # whatever order the members come in
+            b.append(np.maximum(sid[i], sid[j]))
         if a:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.concatenate(x), pa.int64()) for x in (a, b)], names=["a", "b"])
@@ -353,7 +366,7 @@ def _compare(blocks: DataFrame, probes: DataFrame, all_pairs: bool = False) -> D
         return df.groupBy("region", "block").agg(F.collect_list(F.struct("sid", "u")).alias(name))
     return (packed(blocks, "members").join(packed(probes, "probes"), ["region", "block"])
             .select("region", "members", "probes")
-            .mapInArrow(_against_probes(all_pairs), "region long, sid long, probe long, d double, linked boolean"))
+            .transform(map_batches, _against_probes(all_pairs), "region long, sid long, probe long, d double, linked boolean"))
 
 
 def _draw(rows: DataFrame, counts: DataFrame, wanted: int, seed: int) -> DataFrame:
@@ -448,7 +461,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     rows = docs.select(row_key(id, text).alias("rk"), F.col(text).cast("binary").alias("text"),
                        F.col(id).alias("doc_id"))
     kind = dict(rows.dtypes)["doc_id"]
-    known = cut_lineage(rows.select("rk", "text", "doc_id").mapInArrow(
+    known = cut_lineage(rows.select("rk", "text", "doc_id").transform(map_batches,
         _describe(k), f"doc_id {kind}, rk long, sid long, n int"), "sets")
     classes = cut_lineage(known.filter("n > 0").groupBy("sid", "n").agg(
         F.min("doc_id").alias("least"), F.min("rk").alias("rk"), F.count("*").alias("same")), "classes")
@@ -456,21 +469,21 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     total = classes.agg(F.sum(F.ceil(F.col("n") * share))).first()[0] or 0
     tasks = max(shuffle_partitions(spark), total // 4_000_000 + 1)
     parts = 1 << (4 * int(tasks) - 1).bit_length()
-    credit = (rows.select("rk", "text").mapInArrow(
+    credit = (rows.select("rk", "text").transform(map_batches,
         _scatter(k, parts, share), "part int, hashes binary, sids binary, ns binary")
         .repartition(int(tasks), F.when(F.col("part") < 0, F.rand(7)).otherwise(F.col("part")))
-        .mapInArrow(_credit, "sid long, credit long").groupBy("sid").agg(F.sum("credit").alias("credit")))
+        .transform(map_batches, _credit, "sid long, credit long").groupBy("sid").agg(F.sum("credit").alias("credit")))
     miss = F.col("n") - F.ceil(F.col("n") * PERCENT / 100)
     scan = F.least(F.col("n"), F.greatest(miss + 1, F.ceil(F.col("n") * share)))
     chosen = cut_lineage(classes.join(credit, "sid").filter(F.col("credit") >= scan - miss)
                          .select("rk"), "chosen")
-    packs = cut_lineage(by_key(rows.select("rk", "text"), F.col("rk"), chosen, "left_semi").mapInArrow(
+    packs = cut_lineage(by_key(rows.select("rk", "text"), F.col("rk"), chosen, "left_semi").transform(map_batches,
         _packs(k), "pack long, sids binary, ns binary, u binary"), "packs")
-    sets = packs.mapInArrow(_unpack, "sid long, u binary").dropDuplicates(["sid"])
-    answers = (packs.mapInArrow(_ask(parts), "part int, pack long, h binary, n binary")
-               .repartition(int(tasks), "part").mapInArrow(_answer, "pack long, part int, counts binary")
+    sets = packs.transform(map_batches, _unpack, "sid long, u binary").dropDuplicates(["sid"])
+    answers = (packs.transform(map_batches, _ask(parts), "part int, pack long, h binary, n binary")
+               .repartition(int(tasks), "part").transform(map_batches, _answer, "pack long, part int, counts binary")
                .groupBy("pack").agg(F.collect_list(F.struct("part", "counts")).alias("answers")))
-    heads = cut_lineage(packs.join(answers, "pack").mapInArrow(_prefixes(parts), "sid long, h long").distinct(),
+    heads = cut_lineage(packs.join(answers, "pack").transform(map_batches, _prefixes(parts), "sid long, h long").distinct(),
                         "heads")
     least = cut_lineage(heads.groupBy("h").agg(F.min("sid").alias("a"), F.max("sid").alias("_b"))
                         .filter("a <> _b").select("h", "a"), "least")
@@ -480,7 +493,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     placed = sets.join(region_of.select(F.col("node").alias("sid"), F.col("label").alias("region")), "sid")
     small = placed.join(sized.filter(F.col("size") <= region), "region")
     links = (small.groupBy("region").agg(F.collect_list(F.struct("sid", "u")).alias("members"))
-             .select("members").mapInArrow(_whole_regions, "a long, b long"))
+             .select("members").transform(map_batches, _whole_regions, "a long, b long"))
     large = sized.filter(F.col("size") > region)
     if not large.isEmpty():
         links = links.unionByName(_large_regions(

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import row_key, table
+from .common import map_batches, row_key, table
 
 BUCKETS = 4096
 TEMPER = 0.3            # share of a text's log-likelihood that counts
@@ -135,7 +135,7 @@ def suffix_of(host: Column) -> Column:
 def train(rows: DataFrame) -> tuple[list[str], np.ndarray, dict[str, int]]:
     """(languages, log weights by language and bucket with the background last, rows by language)
     from all ``rows`` (_text as bytes, declared). The counts have a fixed size."""
-    counts = rows.select("_text", "declared").mapInArrow(_count, "lang string, bucket int, n long")
+    counts = rows.select("_text", "declared").transform(map_batches, _count, "lang string, bucket int, n long")
     counts = cut_lineage(counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
     top = (counts.filter("bucket = -1").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect())
     n_rows = {r["lang"]: r["n"] for r in top}
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", declared:
     langs, weights, n_rows = train(rows)
     names = [*langs, UND]
     kind = dict(rows.dtypes)["doc_id"]
-    scored = cut_lineage(rows.mapInArrow(
+    scored = cut_lineage(rows.transform(map_batches,
         _score(weights), f"doc_id {kind}, rk long, declared string, host string, suffix string, "
                          "like array<double>, letters long"), "likelihoods")
     every = F.array(*[F.lit(x) for x in names])

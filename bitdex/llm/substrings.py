@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import row_key, table
+from .common import map_batches, row_key, table
 from .words import Powers, mix, prefix_sums, span_hashes, window_hashes, word_hashes
 
 K = 35          # words of an edge: shorter repeats stay
@@ -146,7 +146,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """Repeated spans of texts: (rk, first, end), words ``first`` to ``end - 1``
     of the row whose key is ``rk``. ``docs``: (rk, text as bytes)."""
-    pieces = docs.mapInArrow(_emit_pieces(k, m),
+    pieces = docs.transform(map_batches, _emit_pieces(k, m),
                              "mini long, piece long, rk long, first int, end int")
     # written, so that the join below reads both sides anew and a hot minimizer can be split
     minis = cut_lineage(
@@ -159,13 +159,14 @@ def repeated_spans(docs: DataFrame, k: int = K, m: int = M) -> DataFrame:
 
     # Branching minimizers: how often each different piece occurs, and one of its occurrences.
     mixed = found.filter(~F.col("whole")).withColumn("_at", F.struct("rk", "first"))
-    kinds = mixed.groupBy("mini", "piece").agg(F.count("*").alias("n"), F.min("_at").alias("_one"))
+    kinds = cut_lineage(
+        mixed.groupBy("mini", "piece").agg(F.count("*").alias("n"), F.min("_at").alias("_one")), "kinds")
     mixed = mixed.join(kinds, ["mini", "piece"])
     again = mixed.filter("n >= 2").select("rk", "first", "end")
     check = (mixed.filter((F.col("n") == 1) | (F.col("_at") == F.col("_one")))
              .groupBy("rk").agg(F.collect_set(F.struct("first", "end", "mini", "n")).alias("_todo")))
     edges = (docs.join(check, "rk").select("rk", "text", "_todo")
-             .mapInArrow(_emit_edges(k), "mini long, edge long, rk long, at int, n long"))
+             .transform(map_batches, _emit_edges(k), "mini long, edge long, rk long, at int, n long"))
     often = edges.groupBy("mini", "edge").agg(F.sum("n").alias("_n")).filter("_n >= 2")
     parts = (edges.filter("n = 1").join(often.select("mini", "edge"), ["mini", "edge"], "left_semi")
              .select("rk", F.col("at").alias("first"), (F.col("at") + k).alias("end")))
@@ -197,7 +198,7 @@ def cut_repeats(docs: DataFrame, text: str = "text", id: str = "doc_id",
     schema = ", ".join([f"{a} {kinds[c]}" for a, c in others]
                        + ["_n_words long", "_n_removed long", "_n_spans long", "_sha string",
                           "_kept binary"])
-    out = joined.mapInArrow(_cut, schema)
+    out = joined.transform(map_batches, _cut, schema)
     back = {c: F.col(a).alias(c) for a, c in others} | {text: F.col("_kept").cast("string").alias(text)}
     return out.select(*[back[c] for c in names],
                       *["_n_words", "_n_removed", "_n_spans", "_sha"])

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import lower_ascii, table
+from .common import lower_ascii, map_batches, table
 
 #: Fixed rules: host, path, verdict.
 RULES = (
@@ -122,7 +122,7 @@ def segment(labels: DataFrame, model: DataFrame) -> DataFrame:
             .withColumn("word", F.col("run").substr(F.col("s") + 1, F.col("l"))))
     known = (subs.join(model, "word").groupBy("run")
              .agg(F.collect_list(F.struct("s", "l", "n")).alias("pieces")))
-    return labels.join(known, "run", "left").select("run", "pieces").mapInArrow(
+    return labels.join(known, "run", "left").select("run", "pieces").transform(map_batches,
         _cut(total), "run string, words array<string>")
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import map_batches, table
 
 DATE = "2024-01-01T00:00:00Z"       # of responses whose table has no date
 END = "\r\n\r\n"
@@ -130,7 +130,7 @@ def derivatives(responses: DataFrame, id: str | None = None) -> DataFrame:
     cols = [F.col(c).cast("string").alias(c) for c in ("response_id", "target_uri", "date", "http_head", "payload")]
     lead = [F.col(id).alias("_id")] if id else []
     kind = dict(responses.dtypes)[id] if id else ""
-    out = responses.select(*lead, *cols).mapInArrow(_derive, (f"_id {kind}, " if id else "") + FIELDS)
+    out = responses.select(*lead, *cols).transform(map_batches, _derive, (f"_id {kind}, " if id else "") + FIELDS)
     return out.withColumnRenamed("_id", id) if id else out
 
 
