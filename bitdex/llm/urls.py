@@ -1,14 +1,16 @@
 """URL filter: rules first, then naive Bayes over words that a Viterbi search cuts host
 names and paths into.
 
-1. A unigram model counts words in page titles and in URLs, over all pages.
+1. A unigram model counts words of page titles and texts, over all pages. URLs don't count:
+   their runs of letters are what is to be cut. For the same reason a page's own host labels
+   and whatever looks like an address don't count in its text.
 2. Each distinct host label or path run of letters is cut into its most probable words
    (unigram Viterbi). The substrings of a label meet the model through a join, so the
    model may be of any size.
 3. Multinomial naive Bayes: word counts by verdict over all URLs that a rule decides
    (distant labels), plus a few prior counts for words that are known to be bad or good;
    it scores the words of host and path of every URL. Words that the rules themselves
-   name (com, en ...) are no evidence, as they made the labels. Both classes have the same
+   name (com, en ...) are no evidence, as they made the labels, and they stay whole. Both classes have the same
    prior; a URL is blocked from log-odds of ``BLOCK_FROM`` up.
 """
 
@@ -69,11 +71,13 @@ def runs(text: Column) -> Column:
 
 
 def unigrams(pages: DataFrame, url: str, html: str) -> DataFrame:
-    """(word, n): words of titles and runs of letters of URLs, over all pages."""
-    title = F.regexp_extract(html, r"(?is)<title[^>]*>([^<]*)", 1)
-    words = pages.select(F.explode(F.concat(
-        F.coalesce(runs(title), F.array().cast("array<string>")), F.coalesce(runs(F.col(url)), F.array().cast("array<string>")))).alias("word"))
-    return (words.filter((F.col("word") != "#") & (F.length("word") <= LONGEST))
+    """(word, n): words of titles and texts, over all pages, without addresses and without the
+    labels of the page's own host (a host's name on its own pages doesn't make it a word)."""
+    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
+    bare = F.regexp_replace(bare, r"<[^>]*>|&#?\w{1,32};", " ")
+    bare = F.regexp_replace(bare, r"(?<!\S)\S*?(?:://|@|\p{L}\.\p{L})\S*", " ")
+    words = pages.select(runs(host_of(F.col(url))).alias("own"), F.explode(runs(bare)).alias("word"))
+    return (words.filter((F.col("word") != "#") & (F.length("word") <= LONGEST) & ~F.array_contains("own", F.col("word")))
             .groupBy("word").agg(F.count("*").alias("n")))
 
 
@@ -145,7 +149,8 @@ def verdicts(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
     parts = (seen.select(F.col("host").alias("text"), F.lit("host").alias("kind")).distinct()
              .unionByName(seen.select(F.col("shape").alias("text"), F.lit("path").alias("kind")).distinct()))
     pieces = parts.select("text", "kind", F.posexplode(runs(F.col("text"))).alias("i", "run"))
-    cut = segment(pieces.filter(F.col("run") != "#").select("run").distinct(), model)
+    named = sorted({w for h, p, _ in rules for w in (h + p).replace("/", ".").split(".") if w})
+    cut = segment(pieces.filter((F.col("run") != "#") & ~F.col("run").isin(named)).select("run").distinct(), model)
     words = cut_lineage(pieces.join(cut, "run", "left").select(
         "text", "kind", "i", F.posexplode(F.coalesce("words", F.array("run"))).alias("j", "word")), "url-words")
 
@@ -163,7 +168,6 @@ def verdicts(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
              F.sum(F.when(F.col("by_rule") == "allow", F.col("n")).otherwise(0.0)).alias("allow")), "url-counts")
     t = counts.agg(F.sum("block").alias("b"), F.sum("allow").alias("a"), F.count("*").alias("v")).first()
     b, a, v = float(t["b"] or 0), float(t["a"] or 0), float(t["v"])
-    named = sorted({w for h, p, _ in rules for w in (h + p).replace("/", ".").split(".") if w})
     odds = counts.filter(~F.col("word").isin(named)).select("word", (F.log((F.col("block") + SMOOTH) / (b + SMOOTH * v))
                                   - F.log((F.col("allow") + SMOOTH) / (a + SMOOTH * v))).alias("w"))
     scored = cut_lineage(words.join(odds, "word", "left").groupBy("text", "kind").agg(

@@ -57,3 +57,14 @@ def test_pages_table(spark, sf001):
     assert all(rows[r.page_id].split("://")[1].startswith(r.host + r.path) for r in got)
     bad = [r for r in got if r.rule is None and r.verdict == "block"]
     assert all(set(r.host_words.split()) & set(urls.BAD) for r in bad)
+
+
+def test_hot_hosts_are_cut(spark):
+    """A label stays no word however many pages stand on its host, name it or give its address."""
+    title = "<title>cheap pills and blue garden news for the town</title>"
+    own = "<title>CheapPills</title><style>cheappills{}</style><p>cheappills at home"
+    found = [("http://a.example.org/x", title)] * 100 + [("http://cheappills.example.org/de/9", own)] * 300 + [
+        ("http://bluegarden.example.org/de/9", "<p>see http://cheappills.example.org and cheappills.example.org")] * 300
+    got = run(spark, found)
+    assert {(r.host_words, r.verdict) for r in got[100:400]} == {("cheap pills example org", "block")}
+    assert {(r.host_words, r.verdict) for r in got[400:]} == {("blue garden example org", "allow")}
