@@ -128,3 +128,23 @@ def test_broken_bundles(spark, sf001, tmp_path):
     shutil.rmtree(root / "bundle" / "v=2" / "index")              # complete, but broken
     with pytest.raises(Exception, match="v=2"):
         store.load_index(spark, str(root))
+
+
+def test_stored_search_answers_from_what_was_packed(spark, sf001, monkeypatch):
+    """The query's answer is that of the index itself, over the loose and packed copies of all its
+    rows; rows lost in writing or packing show in it."""
+    from bitdex.plans import catalog
+    roots = []
+    folder = catalog._run_folder
+    monkeypatch.setattr(catalog, "_run_folder", lambda s: roots.append(folder(s)) or roots[-1])
+
+    def answer():
+        return sorted((tuple(r) for r in catalog.stored_search(spark, sf001).collect()), key=str)
+
+    want = sorted((tuple(r) for r in catalog.benchmark_search(spark, sf001).collect()), key=str)
+    assert answer() == want
+    n = spark.read.parquet(f"{roots[-1]}/index").count()
+    assert n > 100 and [spark.read.parquet(f"{roots[-1]}/bundle/v={v}/index").count() for v in (1, 2)] == [n, n]
+    write = store.write_index
+    monkeypatch.setattr(store, "write_index", lambda index, *rest: write(index.limit(3), *rest))
+    assert answer() != want
