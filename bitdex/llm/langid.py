@@ -18,7 +18,7 @@ Four kinds of evidence about a text's language, multiplied as odds:
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +37,18 @@ KAPPA = 20.0            # rows that a prior weighs against a host's or suffix's
 UND = "und"
 UND_PRIOR = 0.01
 BACKGROUND = 0.1        # share of the background in every language's trigrams
-MAX_LANGUAGES = 64      # the declared languages with most rows
 
 _CLASS = np.full(256, 32, np.uint8)
 _CLASS[97:123] = np.arange(97, 123)
 _CLASS[65:91] = np.arange(97, 123)
 _CLASS[128:] = np.arange(128, 256)
 CHUNK = 1 << 20        # bytes of text worked on at a time (or one text)
+CELLS = 1 << 21        # likelihoods worked on at a time (or those of one text)
+LANGUAGES = 1024       # languages whose counts are fetched at a time
 
 
-def _trigrams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, letters of each row, row and bucket of each trigram) for chunks of texts."""
+def _trigrams(column: pa.Array, rows: int | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, letters of each row, row and bucket of each trigram) for chunks of texts, of at most ``rows``."""
     column = pc.fill_null(column, b"")
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
     every = column.buffers()[2]
@@ -55,6 +56,7 @@ def _trigrams(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
     row = 0
     while row < len(column):
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + CHUNK, "right")) - 1)
+        end = min(end, row + rows) if rows else end
         cut = offsets[row:end + 1].astype(np.int64) - offsets[row]
         data = _CLASS[every[offsets[row]:offsets[end]]].astype(np.uint32)
         own = np.repeat(np.arange(end - row), np.diff(cut))
@@ -99,20 +101,16 @@ def _score(weights: np.ndarray):
     """Log-likelihood of each language and of the background, tempered and relative to the best."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            likes, seen = [], []
-            for _, letters, own, bucket in _trigrams(batch.column("_text")):
-                seen.append(letters)
-                likes.append(np.stack([np.bincount(own, w[bucket], len(letters)) for w in weights], 1))
-            like = np.concatenate(likes) * TEMPER if likes else np.zeros((0, len(weights)))
-            like = np.maximum(like - like.max(axis=1, keepdims=True), -MOST) if len(like) else like
-            n = np.concatenate(seen) if seen else np.zeros(0, np.int64)
-            flat = pa.array(like.ravel())
             keep = [i for i, name in enumerate(batch.schema.names) if name != "_text"]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(i) for i in keep]
-                + [pa.ListArray.from_arrays(pa.array(np.arange(0, like.size + 1, len(weights)), pa.int32()), flat),
-                   pa.array(n.astype(np.int64))],
-                names=[batch.schema.names[i] for i in keep] + ["like", "letters"])
+            for first, letters, own, bucket in _trigrams(batch.column("_text"), max(1, CELLS // len(weights))):
+                like = np.stack([np.bincount(own, w[bucket], len(letters)) for w in weights], 1) * TEMPER
+                like = np.maximum(like - like.max(axis=1, keepdims=True), -MOST)
+                flat = pa.array(like.ravel())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i).slice(first, len(letters)) for i in keep]
+                    + [pa.ListArray.from_arrays(pa.array(np.arange(0, like.size + 1, len(weights)), pa.int32()), flat),
+                       pa.array(letters.astype(np.int64))],
+                    names=[batch.schema.names[i] for i in keep] + ["like", "letters"])
     return run
 
 
@@ -134,19 +132,30 @@ def suffix_of(host: Column) -> Column:
 
 def train(rows: DataFrame) -> tuple[list[str], np.ndarray, dict[str, int]]:
     """(languages, log weights by language and bucket with the background last, rows by language)
-    from all ``rows`` (_text as bytes, declared). The counts have a fixed size."""
+    from all ``rows`` (_text as bytes, declared). Every declared language is learnt: codes of two or
+    three letters, at ``BUCKETS`` counts each."""
     counts = rows.select("_text", "declared").transform(map_batches, _count, "lang string, bucket int, n long")
     counts = cut_lineage(counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
-    top = (counts.filter("bucket = -1").orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect())
-    n_rows = {r["lang"]: r["n"] for r in top}
+    n_rows = {r["lang"]: r["n"] for r in counts.filter("bucket = -1").collect()}
     langs = sorted(n_rows)
     table_ = np.full((len(langs) + 1, BUCKETS), 0.5)
-    if langs:
-        for r in counts.filter(F.col("bucket") >= 0).filter(F.col("lang").isin(langs)).collect():
-            table_[langs.index(r["lang"]), r["bucket"]] += r["n"]
+    for a in range(0, len(langs), LANGUAGES):
+        some = counts.filter(F.col("bucket") >= 0).filter(F.col("lang").between(langs[a], langs[a:a + LANGUAGES][-1]))
+        got = some.select("lang", "bucket", "n").toArrow().combine_chunks()
+        if got.num_rows:
+            name = pc.dictionary_encode(got.column("lang")).combine_chunks()
+            at = np.searchsorted(langs, name.dictionary.to_pylist())
+            table_[at[name.indices.to_numpy()], got.column("bucket").to_numpy()] += got.column("n").to_numpy()
     table_[-1] = 1.0
-    shares = table_ / table_.sum(axis=1, keepdims=True)
-    return langs, np.log((1 - BACKGROUND) * shares + BACKGROUND / BUCKETS), n_rows
+    table_ /= table_.sum(axis=1, keepdims=True)
+    table_ *= 1 - BACKGROUND
+    table_ += BACKGROUND / BUCKETS
+    return langs, np.log(table_, out=table_), n_rows
+
+
+def _array(values: Sequence, kind: str) -> Column:
+    """An array as one literal, however many values."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def _normal(logs: Column) -> Column:
@@ -178,9 +187,9 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", declared:
     scored = cut_lineage(rows.transform(map_batches,
         _score(weights), f"doc_id {kind}, rk long, declared string, host string, suffix string, "
                          "like array<double>, letters long"), "likelihoods")
-    every = F.array(*[F.lit(x) for x in names])
-    base = F.array(*[F.lit(math.log((1 - UND_PRIOR) / max(1, len(langs))) if x != UND else math.log(UND_PRIOR))
-                     for x in names])
+    every = _array(names, "string")
+    base = _array([math.log((1 - UND_PRIOR) / max(1, len(langs))) if x != UND else math.log(UND_PRIOR)
+                   for x in names], "double")
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)          # noqa: E731
     # shares of languages by text alone, summed over groups
     soft = scored.filter("letters > 0").select(
@@ -192,19 +201,18 @@ def identify(docs: DataFrame, id: str = "doc_id", text: str = "text", declared:
 
     def shares(*keys):
         """(sums of each group in an array ``own``, how to smooth them towards a column)."""
-        wide = sums.groupBy(*keys).agg(*[F.sum(F.when(F.col("i") == i, F.col("p")).otherwise(0.0)).alias(f"p{i}")
-                                         for i in range(len(names))])
-        own = F.array(*[F.col(f"p{i}") for i in range(len(names))])
-        n = sum((F.col(f"p{i}") for i in range(len(names))), F.lit(0.0))
-        return wide.withColumn("own", own).withColumn("n", n), lambda p: F.zip_with(
+        wide = sums.groupBy(*keys, "i").agg(F.sum("p").alias("p")).groupBy(*keys).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]).alias("own"))
+        n = F.aggregate("own", F.lit(0.0), lambda a, y: a + y)
+        return wide.withColumn("n", n), lambda p: F.zip_with(
             F.col("own"), p, lambda x, y: (x + KAPPA * y) / (F.col("n") + KAPPA))
 
     suffixes, smooth = shares("suffix")
-    suffixes = suffixes.select("suffix", smooth(F.array(*[F.lit(x) for x in corpus])).alias("above"))
+    suffixes = suffixes.select("suffix", smooth(_array(corpus, "double")).alias("above"))
     hosts, smooth = shares("host", "suffix")
     hosts = cut_lineage(hosts.join(suffixes, "suffix").select("host", "suffix", smooth(F.col("above")).alias("prior")),
                         "priors")
-    prior = F.coalesce(F.transform("prior", lambda p: F.log(p)), F.array(*[F.lit(math.log(x)) for x in corpus]))
+    prior = F.coalesce(F.transform("prior", lambda p: F.log(p)), _array([math.log(x) for x in corpus], "double"))
     wrong = math.log((1 - TRUST) / max(1, len(names) - 1))
     says = F.when(F.col("declared").isNull(), F.transform(every, lambda x: F.lit(0.0))).otherwise(
         F.transform(every, lambda x: F.when(x == F.col("declared"), math.log(TRUST)).otherwise(wrong)))

@@ -64,3 +64,23 @@ def test_pages(spark, sf001):
     got = {r.doc_id: r for r in langid.identify_pages(pages).collect()}
     rows = pages.select("page_id", langid.markup_code(F.col("html")).alias("lang")).collect()
     assert sum(got[r.page_id].predicted == r.lang for r in rows) >= 0.95 * len(rows)
+
+
+def test_every_declared_language_is_learnt(spark, monkeypatch):
+    """More languages than 64, each with words of its own; the rarest is found, also in small steps."""
+    rnd = random.Random(3)
+    codes = [a + b for a in "abcdefgh" for b in "mnopqrstuv"]
+    words = {c: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for c in codes}
+    rows = [(i, " ".join(rnd.choice(words[c]) for _ in range(40)), c if i < 80 * 3 else None, f"h{c}.x.{c}", 0)
+            for i, c in enumerate(codes * 4) if i < 80 or c != "hv" or i >= 80 * 3]
+    df = frame(spark, rows)
+
+    def found():
+        out = langid.identify(df, declared=F.col("d"), host=F.col("h"), suffix=langid.suffix_of(F.col("h")))
+        return sorted((r.doc_id, r.predicted, r.kept, r.posterior) for r in out.collect())
+
+    got = found()
+    assert [x[:3] for x in got] == [(r[0], codes[r[0] % 80], True) for r in sorted(rows)]
+    monkeypatch.setattr(langid, "LANGUAGES", 7)
+    monkeypatch.setattr(langid, "CELLS", 200)
+    assert [x[:3] for x in found()] == [x[:3] for x in got]
