@@ -9,7 +9,8 @@ all links, and pivots divide the regions that are large:
    ``need(a) = ceil(0.75 a)`` shingles, so a set may miss at most a - need(a).
 2. *Shared shingles.* The first ``SCAN`` of each set in hash order are counted over
    the whole corpus. A set that shares too few of them with any other set has no
-   link. Common passages alone don't carry a set over that line.
+   link: fewer than ``least_credit``, whatever size the other has and wherever in hash order
+   the shingles lie that only one of the two has. Common passages alone don't carry a set over that line.
 3. *Regions.* What is left is counted again, whole. Two linked sets share one of the
    a - need(a) + 1 hashes of each that fewest sets have (prefix principle, rarest first).
    Connected sets of that relation form a region.
@@ -156,6 +157,23 @@ def scanned(n, share: float):
     return np.minimum(n, np.maximum(n - need(n) + 1, np.ceil(share * n).astype(np.int64)))
 
 
+def least_credit(n: int, share: float) -> int:
+    """The fewest common hashes that both scans see of a set of n and any set it links to: where
+    both sets' own hashes come first. At least 1."""
+    b = np.arange(need(n), 100 * n // PERCENT + 1)
+    common = -(-PERCENT * (n + b) // (100 + PERCENT))
+    return int((np.minimum(scanned(np.int64(n), share) - n, scanned(b, share) - b) + common).min())
+
+
+def _least_credits(share: float):
+    """(n, enough) of each size."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            least = [least_credit(n, share) for n in batch.column("n").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("n"), pa.array(least, pa.int64())], names=["n", "enough"])
+    return run
+
+
 def _credit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Set id -> how many of its hashes another set has too, of the parts in this task."""
     parts: dict[int, list] = {}
@@ -473,9 +491,8 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
         _scatter(k, parts, share), "part int, hashes binary, sids binary, ns binary")
         .repartition(int(tasks), F.when(F.col("part") < 0, F.rand(7)).otherwise(F.col("part")))
         .transform(map_batches, _credit, "sid long, credit long").groupBy("sid").agg(F.sum("credit").alias("credit")))
-    miss = F.col("n") - F.ceil(F.col("n") * PERCENT / 100)
-    scan = F.least(F.col("n"), F.greatest(miss + 1, F.ceil(F.col("n") * share)))
-    chosen = cut_lineage(classes.join(credit, "sid").filter(F.col("credit") >= scan - miss)
+    sizes = classes.select("n").distinct().transform(map_batches, _least_credits(share), "n int, enough long")
+    chosen = cut_lineage(classes.join(credit, "sid").join(F.broadcast(sizes), "n").filter("credit >= enough")
                          .select("rk"), "chosen")
     packs = cut_lineage(by_key(rows.select("rk", "text"), F.col("rk"), chosen, "left_semi").transform(map_batches,
         _packs(k), "pack long, sids binary, ns binary, u binary"), "packs")

@@ -106,3 +106,28 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert set(got) == set(up)
     assert len({(got[x], top(x)) for x in up}) == len({top(x) for x in up}) == len(set(got.values()))
+
+
+def test_small_sets_link_wherever_their_own_shingle_falls(spark):
+    """7- and 8-word texts with 3 common shingles of 4, the odd one at any place of the hash order."""
+    rnd = random.Random(5)
+    rows = []
+    for i in range(200):
+        w = [f"p{rnd.randrange(10**6)}" for _ in range(8)]
+        rows += [(10 * i, " ".join(w)), (10 * i + 1, " ".join(w[1:] if i % 2 else w[:-1]))]
+    want = brute(rows)
+    assert all(least == i - i % 10 for i, _, least in want)
+    assert run(spark, rows) == want
+
+
+def test_least_credit_is_the_worst_case():
+    """Against every pair of linked sizes with the odd hashes first, counted rank by rank."""
+    for share in (0.4, 0.1, 1.0):
+        for a in range(1, 60):
+            least = []
+            for b in range(1, 90):
+                for common in range(1, min(a, b) + 1):
+                    if 100 * common >= 75 * (a + b - common):
+                        seen = [max(0, int(jaccard.scanned(np.int64(n), share)) - (n - common)) for n in (a, b)]
+                        least.append(min(*seen, common))
+            assert jaccard.least_credit(a, share) == min(least) >= 1
