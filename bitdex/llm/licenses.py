@@ -2,7 +2,8 @@
 
 Text is lower-cased (A-Z) and cut into words of letters, digits and characters
 beyond ASCII; rules are regular expressions over those words joined by blanks.
-A rule is tried only on texts that hold one of its keywords. Every match is an
+A rule is tried only on texts that hold one of its keywords, of which every text it matches
+has one. Every match is an
 interval of words with the rule's priority; an interval that lies inside one of
 higher priority, or inside a longer one of the same, is suppressed. What is left gives the labels.
 
@@ -34,7 +35,8 @@ BASE = (
 class Rule(NamedTuple):
     label: str
     priority: int           # of 100; also the confidence
-    gates: tuple[str, ...]  # one of these words must be there
+    gates: tuple[str, ...]  # one of these words must be there, for every alternative of the pattern; "gpl*":
+                            # the word, or one that begins with it (a version may be glued to a name)
     pattern: str            # over blank-separated words
     base: bool = False
 
@@ -42,32 +44,32 @@ class Rule(NamedTuple):
 # name: (label, keywords, ways to write the name, versions). A version "2.0" is
 # written "2 0" or, where it ends in 0, "2".
 VERSIONED = (
-    ("gpl", ("gnu", "gpl", "gplv1", "gplv2", "gplv3"), "(?:gnu )?(?:general public licen[cs]e|gpl)", ("1.0", "2.0", "3.0")),
-    ("lgpl", ("lesser", "library", "lgpl", "lgplv2", "lgplv3"), "(?:gnu )?(?:(?:lesser|library) general public licen[cs]e|lgpl)", ("2.0", "2.1", "3.0")),
-    ("agpl", ("affero", "agpl", "agplv3"), "(?:gnu )?(?:affero general public licen[cs]e|agpl)", ("1.0", "3.0")),
-    ("gfdl", ("documentation", "gfdl"), "(?:gnu )?(?:free documentation licen[cs]e|gfdl)", ("1.1", "1.2", "1.3")),
-    ("apache", ("apache",), "apache(?: software)?(?: licen[cs]e)?", ("1.0", "1.1", "2.0")),
-    ("mpl", ("mozilla", "mpl"), "(?:mozilla public licen[cs]e|mpl)", ("1.0", "1.1", "2.0")),
-    ("epl", ("eclipse", "epl"), "(?:eclipse public licen[cs]e|epl)", ("1.0", "2.0")),
-    ("cddl", ("cddl", "development"), "(?:common development and distribution licen[cs]e|cddl)", ("1.0", "1.1")),
-    ("cpl", ("common", "cpl"), "(?:common public licen[cs]e|cpl)", ("1.0",)),
-    ("eupl", ("eupl", "european"), "(?:european union public licen[cs]e|eupl)", ("1.0", "1.1", "1.2")),
-    ("osl", ("osl", "open"), "(?:open software licen[cs]e|osl)", ("1.0", "2.0", "2.1", "3.0")),
-    ("afl", ("academic", "afl"), "(?:academic free licen[cs]e|afl)", ("1.2", "2.0", "2.1", "3.0")),
+    ("gpl", ("general", "gpl*"), "(?:gnu )?(?:general public licen[cs]e|gpl)", ("1.0", "2.0", "3.0")),
+    ("lgpl", ("lesser", "library", "lgpl*"), "(?:gnu )?(?:(?:lesser|library) general public licen[cs]e|lgpl)", ("2.0", "2.1", "3.0")),
+    ("agpl", ("affero", "agpl*"), "(?:gnu )?(?:affero general public licen[cs]e|agpl)", ("1.0", "3.0")),
+    ("gfdl", ("documentation", "gfdl*"), "(?:gnu )?(?:free documentation licen[cs]e|gfdl)", ("1.1", "1.2", "1.3")),
+    ("apache", ("apache*",), "apache(?: software)?(?: licen[cs]e)?", ("1.0", "1.1", "2.0")),
+    ("mpl", ("mozilla", "mpl*"), "(?:mozilla public licen[cs]e|mpl)", ("1.0", "1.1", "2.0")),
+    ("epl", ("eclipse", "epl*"), "(?:eclipse public licen[cs]e|epl)", ("1.0", "2.0")),
+    ("cddl", ("cddl*", "development"), "(?:common development and distribution licen[cs]e|cddl)", ("1.0", "1.1")),
+    ("cpl", ("common", "cpl*"), "(?:common public licen[cs]e|cpl)", ("1.0",)),
+    ("eupl", ("eupl*", "european"), "(?:european union public licen[cs]e|eupl)", ("1.0", "1.1", "1.2")),
+    ("osl", ("osl*", "open"), "(?:open software licen[cs]e|osl)", ("1.0", "2.0", "2.1", "3.0")),
+    ("afl", ("academic", "afl*"), "(?:academic free licen[cs]e|afl)", ("1.2", "2.0", "2.1", "3.0")),
     ("artistic", ("artistic",), "artistic licen[cs]e", ("1.0", "2.0")),
-    ("bsl", ("boost", "bsl"), "(?:boost software licen[cs]e|bsl)", ("1.0",)),
-    ("zpl", ("zope", "zpl"), "(?:zope public licen[cs]e|zpl)", ("1.1", "2.0", "2.1")),
-    ("lppl", ("latex", "lppl"), "(?:latex project public licen[cs]e|lppl)", ("1.0", "1.2", "1.3")),
-    ("ofl", ("sil", "ofl"), "(?:sil )?(?:open font licen[cs]e|ofl)", ("1.0", "1.1")),
+    ("bsl", ("boost", "bsl*"), "(?:boost software licen[cs]e|bsl)", ("1.0",)),
+    ("zpl", ("zope", "zpl*"), "(?:zope public licen[cs]e|zpl)", ("1.1", "2.0", "2.1")),
+    ("lppl", ("latex", "lppl*"), "(?:latex project public licen[cs]e|lppl)", ("1.0", "1.2", "1.3")),
+    ("ofl", ("font", "ofl*"), "(?:sil )?(?:open font licen[cs]e|ofl)", ("1.0", "1.1")),
     ("python", ("python", "psf"), "(?:python(?: software foundation)?|psf) licen[cs]e", ("2.0",)),
     ("php", ("php",), "php licen[cs]e", ("3.0", "3.01")),
-    ("ecl", ("educational", "ecl"), "(?:educational community licen[cs]e|ecl)", ("1.0", "2.0")),
+    ("ecl", ("educational", "ecl*"), "(?:educational community licen[cs]e|ecl)", ("1.0", "2.0")),
     ("mulan", ("mulan",), "mulan (?:psl|permissive software licen[cs]e)", ("1.0", "2.0")),
-    ("cecill", ("cecill",), "cecill(?: licen[cs]e)?", ("1.0", "1.1", "2.0", "2.1")),
-    ("odbl", ("odbl", "database"), "(?:open database licen[cs]e|odbl)", ("1.0",)),
+    ("cecill", ("cecill*",), "cecill(?: licen[cs]e)?", ("1.0", "1.1", "2.0", "2.1")),
+    ("odbl", ("odbl*", "database"), "(?:open database licen[cs]e|odbl)", ("1.0",)),
     ("openssl", ("openssl",), "openssl licen[cs]e", ("1.0", "3.0")),
-    ("sspl", ("sspl", "server"), "(?:server side public licen[cs]e|sspl)", ("1.0",)),
-    ("busl", ("business", "busl"), "(?:business source licen[cs]e|busl)", ("1.1",)),
+    ("sspl", ("sspl*", "server"), "(?:server side public licen[cs]e|sspl)", ("1.0",)),
+    ("busl", ("business", "busl*"), "(?:business source licen[cs]e|busl)", ("1.1",)),
 )
 CREATIVE = (      # label part, words of the long form
     ("by", "attribution"),
@@ -85,7 +87,7 @@ SINGLE = (        # label, keywords, pattern, priority
     ("mit-0", ("attribution",), "mit no attribution(?: licen[cs]e)?", 80),
     ("isc", ("isc",), "isc licen[cs]e", 60),
     ("isc", ("hereby",), "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 90),
-    ("bsd-2-clause", ("bsd",), "(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd|freebsd)(?: licen[cs]e)?", 70),
+    ("bsd-2-clause", ("bsd", "freebsd"), "(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd|freebsd)(?: licen[cs]e)?", 70),
     ("bsd-3-clause", ("bsd",), "(?:modified bsd|new bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)(?: licen[cs]e)?", 70),
     ("bsd-4-clause", ("bsd",), "(?:original bsd|old bsd|bsd 4 clause|4 clause bsd|four clause bsd)(?: licen[cs]e)?", 70),
     ("bsd", ("bsd",), "bsd(?: style)? licen[cs]e", 50),
@@ -93,7 +95,7 @@ SINGLE = (        # label, keywords, pattern, priority
     ("0bsd", ("bsd", "0bsd"), "(?:zero clause bsd|bsd zero clause|0bsd)(?: licen[cs]e)?", 75),
     ("zlib", ("zlib",), "zlib(?: libpng)? licen[cs]e", 60),
     ("zlib", ("warranty",), "this software is provided as is without any express or implied warranty", 65),
-    ("libpng", ("libpng",), "(?:png reference library|libpng) licen[cs]e", 60),
+    ("libpng", ("libpng", "png"), "(?:png reference library|libpng) licen[cs]e", 60),
     ("unlicense", ("unlicense", "unencumbered"), "(?:the unlicense|free and unencumbered software released into the public domain)", 85),
     ("wtfpl", ("wtfpl", "fuck"), "(?:wtfpl|do what the fuck you want to public licen[cs]e)", 80),
     ("cc0-1.0", ("cc0", "zero"), "(?:cc0(?: 1 0)?(?: universal)?|creative commons zero(?: v?1 0)?(?: universal)?)", 80),
@@ -139,7 +141,7 @@ def signature_rules() -> tuple[Rule, ...]:
             out.append(Rule(f"{label}-{v}-or-later", 85, gates,
                             f"{name}{which} (?:of the licen[cs]e )?or (?:at your option )?any later(?: version)?"))
             out.append(Rule(f"{label}-{v}-only", 85, gates, f"{name}{which} only"))
-            out.append(Rule(f"{label}-{v}", 95, gates + ("spdx",),
+            out.append(Rule(f"{label}-{v}", 95, ("spdx",),
                             f"spdx licen[cs]e identifier {label} {_number(v)}"))
     for part, words in CREATIVE:
         short = part.replace("-", " ")
@@ -163,7 +165,7 @@ RULES = signature_rules()
 def _literal(rules: Sequence[Rule]) -> Column:
     return F.array(*[F.struct(
         F.lit(i).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"),
-        F.array(*[F.lit(g) for g in r.gates]).alias("gates"),
+        F.array(*[F.lit(g.rstrip("*")) for g in r.gates]).alias("gates"),
         F.lit(f" (?:{r.pattern})(?= )").alias("pattern"), F.lit(r.base).alias("base"))
         for i, r in enumerate(rules)])
 
@@ -193,14 +195,18 @@ def scan(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) ->
     Null and empty texts have no words and no matches; every row is scanned for
     itself, so repeated rows and null ids are alike.
     """
-    gates = sorted({g for r in rules for g in r.gates})
+    gates = sorted({g.rstrip("*") for r in rules for g in r.gates})
+    names = sorted({g[:-1] for r in rules for g in r.gates if g.endswith("*")})
     table_of_rules = _literal(rules)
     out = docs.withColumn("_norm", F.concat(
         F.lit(" "), F.trim(F.regexp_replace(lower_ascii(F.coalesce(F.col(text), F.lit(""))), NOT_WORD, " ")),
         F.lit(" ")))
     out = out.withColumn("_words", F.split(F.trim("_norm"), " "))
     out = out.withColumn("_n_words", F.when(F.col("_norm") == "  ", 0).otherwise(F.size("_words")).cast("long"))
-    out = out.withColumn("_gates", F.array_intersect("_words", F.array(*[F.lit(g) for g in gates])))
+    held = F.col("_words")
+    if names:       # what words of the text begin with
+        held = F.concat(held, F.regexp_extract_all("_norm", F.lit(f" ({'|'.join(names)})[^ ]"), F.lit(1)))
+    out = out.withColumn("_gates", F.array_intersect(held, F.array(*[F.lit(g) for g in gates])))
     found = F.flatten(F.transform(
         F.filter(table_of_rules, lambda r: F.arrays_overlap(r["gates"], F.col("_gates"))),
         lambda r: F.transform(_matches(F.col("_norm"), r), lambda x: F.struct(

@@ -1,3 +1,4 @@
+import random
 import re
 
 from bitdex.llm import licenses
@@ -65,3 +66,38 @@ def test_long_null_repeated_and_extra_columns(spark):
     assert len(out) == 4 and [r for r in out if r[0] is None][0][2] == 1
     assert [r for r in out if r[1] > 80000][0][3] == 80000
     assert licenses.report(df.limit(0)).collect() == []
+
+
+def sample(parsed, rnd):
+    """A text that the parsed pattern matches (lookaheads aside)."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            out += "x" if str(arg[0][0]) == "NEGATE" else chr(rnd.choice(arg)[1])
+        elif op == "NOT_LITERAL":
+            out += "x"
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            low, high, part = arg
+            out += "".join(sample(part, rnd) for _ in range(rnd.randint(low, min(high, low + 1))))
+        elif op == "SUBPATTERN":
+            out += sample(arg[3], rnd)
+        elif op == "BRANCH":
+            out += sample(rnd.choice(arg[1]), rnd)
+        else:
+            assert op == "ASSERT_NOT", op
+    return out
+
+
+def test_gates_are_necessary(spark):
+    """Texts made of every rule's alternatives get what the rules find without gates."""
+    rnd = random.Random(6)
+    texts = ["FreeBSD License", "Open Font License", "PNG Reference Library License", "general public license version 3",
+             "MPLv2", "EPLv2", "CDDLv1", "EUPLv1", "GPL3", "LGPL2.1", "AGPL3 only", "apache2", "CeCILLv2.1", "gplversion 2"]
+    assert all(brute(t)[5] for t in texts)
+    texts += sorted({sample(re._parser.parse(r.pattern), rnd) for r in licenses.RULES for _ in range(12)})
+    assert got(spark, texts) == [brute(t) for t in texts]
+    names = {g[:-1] for r in licenses.RULES for g in r.gates if g.endswith("*")}
+    assert not [(a, b) for a in names for b in names if a != b and a.startswith(b)]
