@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, jaccard, langid, licenses, merkle, mixing, oracle, substrings, urls, warc
+from . import (decontaminate, html, jaccard, langid, licenses, merkle, mixing, oracle, substrings,
+               topk, urls, warc)
 
 QUERIES = {f.__name__: f for f in (
     html.op1_main_text,
@@ -15,8 +16,10 @@ QUERIES = {f.__name__: f for f in (
     merkle.op8_fingerprints,
     jaccard.op9_jaccard_join,
     langid.op10_language_id,
+    topk.op12_topk,
 )}
 ORACLE: dict[str, str] = {
     "op3_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op9_jaccard_join": oracle.JACCARD_JOIN,
+    "op12_topk": oracle.TOP_PRODUCTS,
 }
