@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import (decontaminate, html, jaccard, langid, licenses, merkle, mixing, oracle, substrings,
+from . import (alignment, decontaminate, html, jaccard, langid, licenses, merkle, mixing, oracle, substrings,
                topk, urls, warc)
 
 QUERIES = {f.__name__: f for f in (
@@ -17,6 +17,7 @@ QUERIES = {f.__name__: f for f in (
     jaccard.op9_jaccard_join,
     langid.op10_language_id,
     topk.op12_topk,
+    alignment.op13_alignment,
 )}
 ORACLE: dict[str, str] = {
     "op3_substring_dedup": oracle.SUBSTRING_DEDUP,
