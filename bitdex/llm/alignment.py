@@ -14,8 +14,9 @@ character other than a space and one that surely isn't white space (A splits the
 piece of B holds a space mark after another character, which is checked). At such places a
 text falls into *units*, which are encoded alone, and once for each batch however often they occur.
 
-1. texts up to ``chunk`` bytes: a task takes an Arrow batch (*pack*) of them, encodes its
-   distinct units, and composes each document of its units' fragments, which are closed;
+1. texts up to ``chunk`` bytes: a task takes ``PACK_BYTES`` (a *pack*) of them at a time, encodes its
+   distinct units (those of earlier packs are remembered, up to ``REMEMBERED``), and composes each
+   document of its units' fragments, which are closed;
 2. longer texts are cut into byte ranges anywhere. A range travels with the units that overlap
    its ends, so that any task can encode it; the fragments are written and composed in rounds
    of ``FAN`` neighbours, which closes the groups across the cuts. Digests read the parts in order;
@@ -24,9 +25,8 @@ text falls into *units*, which are encoded alone, and once for each batch howeve
 4. the counts return to each pack by a join (its distinct pairs, not its documents' links) and
    are summed over units, then documents.
 
-The vocabularies travel as the bytes of the two files (a broadcast of fixed size). A pack is
-at most an Arrow batch; only a unit longer than a range is held whole by a task. Units are told
-apart by 64-bit hashes within a pack.
+The vocabularies travel as the bytes of the two files (a broadcast of fixed size). Only a unit
+longer than a range makes a task hold more than a pack. Units are told apart by 64-bit hashes within a task.
 """
 
 from __future__ import annotations
@@ -37,11 +37,13 @@ import itertools
 import json
 import math
 import os
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,11 +55,16 @@ from .words import _hash_words
 TOKENIZERS = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CHUNK = 1 << 16              # bytes of a byte range; longer texts are cut
+PACK_BYTES = 1 << 20         # of the texts of a pack
+REMEMBERED = 1 << 19         # units whose tokens a worker keeps (some 20 MB)
 FAN = 8                      # neighbouring fragments composed in a round
 SPACE_MARK = "▁"
 # Fixed value: the split pattern of byte-level BPE files without one of their own.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+# Characters on which all versions of Unicode agree: both ways of encoding by A take them alike.
+_SETTLED = re.compile("[\x00-\u024F]*").fullmatch
+
 # bytes that surely begin a character other than white space
 _SURE = np.zeros(256, bool)
 _SURE[0x21:0x7F] = True
@@ -130,16 +137,18 @@ class Tokenizers:
                            for i, p in enumerate(names)])
         self.n_b = n
         top = max(n, len(self.a.length))
-        text = [str(i).encode() for i in range(top)]
-        self.digits = Spelling(text)
+        self.digits = Spelling([str(i).encode() for i in range(top)])
+        self.hashes = np.zeros(0, np.uint64)              # of the units remembered, in order
+        none = np.zeros(0, np.int32)
+        self.spelled = Spelled(none.astype(bool), none, none.astype(np.int64), none, none.astype(np.int64))
 
     def encode_a(self, units: list[bytes]) -> list[list[int]]:
         texts = [u.decode("utf-8", "replace") for u in units]
-        out: list = [None] * len(units)
-        for i, (u, t) in enumerate(zip(units, texts)):
-            if self.ranks is not None and u.isascii():
-                out[i] = self.ranks.encode_ordinary(t)
-        rest = [i for i, x in enumerate(out) if x is None]
+        if self.ranks is None:
+            rest, out = list(range(len(units))), [[]] * len(units)
+        else:
+            out = [self.ranks.encode_ordinary(t) if _SETTLED(t) else None for t in texts]
+            rest = [i for i, x in enumerate(out) if x is None]
         for i, x in zip(rest, self.whole.encode_batch([texts[i] for i in rest], add_special_tokens=False)):
             out[i] = x.ids
         return out
@@ -148,26 +157,60 @@ class Tokenizers:
         """B adds the space that every unit begins with."""
         return self.pieces.encode([u[1:].decode("utf-8", "replace") for u in units], num_threads=1)
 
-    def encode(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[Tokens, np.ndarray]:
-        """Tokens of the units data[start:start + length], with ends counted over all units, and
-        which units both spell. The others have no tokens and no bytes."""
+    def spell(self, data: np.ndarray, start: np.ndarray, length: np.ndarray) -> "Spelled":
+        """Tokens of the units data[start:start + length]; units that A or B doesn't spell have none."""
         units = [data[s:s + n].tobytes() for s, n in zip(start.tolist(), length.tolist())]
         fine, got = np.ones(len(units), bool), []
         for lists, spelling in ((self.encode_a(units), self.a), (self.encode_b(units), self.b)):
             n = np.fromiter(map(len, lists), np.int64, len(lists))
-            ids = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(n.sum()))
+            ids = np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(n.sum()))
             unit = np.repeat(np.arange(len(units)), n)
             same = np.bincount(unit, spelling.length[ids], len(units)).astype(np.int64) == length
             ok = same[unit]
             u = np.repeat(np.flatnonzero(same), length[same])
             same[u[spelling.bytes(ids[ok]) != gather(data, start[same], length[same])]] = False
             fine &= same
-            got.append((ids, unit))
-        ends = []
-        for (ids, unit), spelling in zip(got, (self.a, self.b)):
-            ids = ids[fine[unit]]
-            ends += [ids, np.cumsum(spelling.length[ids])]
-        return Tokens(*ends), fine
+            got.append((ids, n))
+        for i, (ids, n) in enumerate(got):
+            got[i] = (ids[np.repeat(fine, n)], np.where(fine, n, 0))
+        return Spelled(fine, *got[0], *got[1])
+
+    def encode(self, data: np.ndarray, start: np.ndarray, length: np.ndarray, hashes: np.ndarray
+               ) -> tuple[Tokens, np.ndarray]:
+        """Tokens of units with their ``hashes`` (rising), with ends counted over all units, and which
+        units both spell. The others have no tokens and no bytes."""
+        known = np.searchsorted(self.hashes, hashes)
+        there = known < len(self.hashes)
+        there[there] = self.hashes[known[there]] == hashes[there]
+        if not there.all():
+            new = ~there
+            found = self.spell(data, start[new], length[new])
+            if len(self.hashes) + len(found.fine) > REMEMBERED:
+                keep = known[there]                       # of the units kept so far, those of this call
+                self.hashes, self.spelled = self.hashes[keep], self.spelled.take(keep)
+            both = np.concatenate([self.hashes, hashes[new]])
+            order = np.argsort(both)
+            self.hashes, self.spelled = both[order], self.spelled.extended(found).take(order)
+            known = np.searchsorted(self.hashes, hashes)
+        x = self.spelled.take(known)
+        return Tokens(x.a, np.cumsum(self.a.length[x.a]), x.b, np.cumsum(self.b.length[x.b])), x.fine
+
+
+class Spelled(NamedTuple):
+    """Units: whether both tokenizers spell them, ids of all and how many each has."""
+    fine: np.ndarray
+    a: np.ndarray
+    n_a: np.ndarray
+    b: np.ndarray
+    n_b: np.ndarray
+
+    def take(self, units: np.ndarray) -> "Spelled":
+        def part(ids, n):
+            return gather(ids, (np.cumsum(n) - n)[units], n[units]), n[units]
+        return Spelled(self.fine[units], *part(self.a, self.n_a), *part(self.b, self.n_b))
+
+    def extended(self, more: "Spelled") -> "Spelled":
+        return Spelled(*(np.concatenate(x) for x in zip(self, more)))
 
 
 _LOADED: dict = {}
@@ -198,9 +241,16 @@ class Groups(NamedTuple):
     times: np.ndarray
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(different values in order, how often) of whole numbers."""
+    x = np.sort(x)
+    first = np.flatnonzero(np.diff(x, prepend=x[:1] - 1))
+    return x[first], np.diff(np.append(first, len(x)))
+
+
 def _by_id(group: np.ndarray, ids: np.ndarray, top: int):
     """Distinct ids of each group: (group, id, times)."""
-    key, times = np.unique(group * top + ids, return_counts=True)
+    key, times = distinct(group * top + ids)
     return key // top, key % top, times
 
 
@@ -320,8 +370,10 @@ def encoded(window: bytes, tok: Tokenizers) -> Tokens | None:
     data = np.zeros(len(window) + 8, np.uint8)
     data[:-8] = np.frombuffer(window, np.uint8)
     start = unit_starts(data[:-8], np.zeros(1, np.int64))
-    t, fine = tok.encode(data, start, np.diff(np.append(start, len(window))))
-    return t if fine.all() else None
+    found = tok.spell(data, start, np.diff(np.append(start, len(window))))
+    if not found.fine.all():
+        return None
+    return Tokens(found.a, np.cumsum(tok.a.length[found.a]), found.b, np.cumsum(tok.b.length[found.b]))
 
 
 OPEN = "row long, at int, first int, head_a array<int>, head_b array<int>, tail_a array<int>, tail_b array<int>"
@@ -446,8 +498,13 @@ def pack(texts: list[bytes | None], tok: Tokenizers) -> dict:
     start = unit_starts(data[:-8], (np.cumsum(size) - size)[full])
     length = np.diff(np.append(start, size.sum()))
     doc = np.searchsorted(np.cumsum(size), start, "right")
-    _, one, unit = np.unique(_hash_words(data, start, length), return_index=True, return_inverse=True)
-    t, fine = tok.encode(data, start[one], length[one])
+    hashes = _hash_words(data, start, length)
+    order = np.argsort(hashes)
+    new = np.diff(hashes[order], prepend=~hashes[order[:1]]) != 0
+    one = order[new]
+    unit = np.empty(len(order), np.int64)
+    unit[order] = np.cumsum(new) - 1
+    t, fine = tok.encode(data, start[one], length[one], hashes[one])
     bad = np.zeros(len(texts), bool)
     bad[doc[~fine[unit]]] = True
     keep = ~bad[doc]
@@ -473,12 +530,12 @@ def pack(texts: list[bytes | None], tok: Tokenizers) -> dict:
     pair, link = np.unique(g.pair, return_inverse=True)
     unit_end = np.searchsorted(of[g.group], np.arange(n), "right")
     # distinct (document, pair): of its distinct units first
-    seen = np.unique(doc * n + unit)
+    seen, _ = distinct(doc * n + unit)
     at, u = seen // max(n, 1), seen % max(n, 1)
     begin = np.concatenate([[0], unit_end[:-1]]) if n else unit_end
     many = (unit_end - begin)[u]
     held = gather(link, begin[u], many)
-    held = np.unique(np.repeat(at, many) * max(len(pair), 1) + held)
+    held, _ = distinct(np.repeat(at, many) * max(len(pair), 1) + held)
     docs = np.bincount(held % max(len(pair), 1), minlength=len(pair))
     return {k: _per(v[unit], doc_end) for k, v in figures.items()} | {
         "sha": sha, "doc_end": doc_end, "unit": unit, "unit_end": unit_end, "link": link, "times": g.times,
@@ -490,11 +547,17 @@ def _packs(shared):
         tok = _load(shared)
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            found = pack(batch.column(1).to_pylist(), tok) | {"pack": number}
-            ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(0))
-            out = _batch([found], PACK)
-            yield pa.RecordBatch.from_arrays([*out.columns, ids], names=[*out.schema.names, "ids"])
-            number += 1
+            upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                full = (upto[at - 1] if at else 0) + PACK_BYTES
+                part = batch.slice(at, max(1, int(np.searchsorted(upto, full, "right")) - at))
+                at += part.num_rows
+                found = pack(part.column(1).to_pylist(), tok) | {"pack": number}
+                ids = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column(0))
+                out = _batch([found], PACK)
+                yield pa.RecordBatch.from_arrays([*out.columns, ids], names=[*out.schema.names, "ids"])
+                number += 1
     return run
 
 
