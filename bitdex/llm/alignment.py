@@ -478,8 +478,17 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- packs -----------------------------------------------------------------------
 
 PACK = ("pack long, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, "
-        "doc_end array<int>, unit array<int>, unit_end array<int>, link array<int>, times array<long>, "
-        "pair array<long>, docs array<int>")
+        "pair array<long>, docs array<int>, doc_n binary, unit binary, unit_n binary, link binary, often binary, times binary")
+
+
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 up, in as few bytes each as the largest needs: one value to the table, not a list."""
+    kind = np.min_scalar_type(int(x.max(initial=0)))
+    return kind.char.encode() + x.astype(kind).tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(x[1:], x[:1].decode()).astype(np.int64)
 
 
 def _per(values: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -537,9 +546,10 @@ def pack(texts: list[bytes | None], tok: Tokenizers) -> dict:
     held = gather(link, begin[u], many)
     held, _ = distinct(np.repeat(at, many) * max(len(pair), 1) + held)
     docs = np.bincount(held % max(len(pair), 1), minlength=len(pair))
+    often = np.flatnonzero(g.times > 1)                    # most links of a unit occur once in it
     return {k: _per(v[unit], doc_end) for k, v in figures.items()} | {
-        "sha": sha, "doc_end": doc_end, "unit": unit, "unit_end": unit_end, "link": link, "times": g.times,
-        "pair": pair, "docs": docs}
+        "sha": sha, "pair": pair, "docs": docs, "doc_n": packed(np.diff(doc_end, prepend=0)), "unit": packed(unit),
+        "unit_n": packed(unit_end - begin), "link": packed(link), "often": packed(often), "times": packed(g.times[often])}
 
 
 def _packs(shared):
@@ -568,16 +578,18 @@ def _score_packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def of(name):
                 x = batch.column(batch.schema.get_field_index(name))
                 return x.values.slice(x.offsets[i].as_py(), x.offsets[i + 1].as_py() - x.offsets[i].as_py())
-            got = {k: of(k).to_numpy(zero_copy_only=False) for k in
-                   ("unit", "unit_end", "doc_end", "link", "times", "pair")}
-            found = of("found")
-            places = np.searchsorted(got["pair"], found.field("pair").to_numpy(zero_copy_only=False))
+            got = {k: unpacked(batch.column(batch.schema.get_field_index(k))[i].as_py()) for k in
+                   ("doc_n", "unit", "unit_n", "link", "often", "times")}
+            times = np.ones(len(got["link"]), np.int64)
+            times[got["often"]] = got["times"]
+            pair, found = of("pair").to_numpy(zero_copy_only=False), of("found")
+            places = np.searchsorted(pair, found.field("pair").to_numpy(zero_copy_only=False))
             sums = []
             for name in ("best", "count"):
-                value = np.zeros(len(got["pair"]), np.int64)
+                value = np.zeros(len(pair), np.int64)
                 value[places] = found.field(name).to_numpy(zero_copy_only=False)
-                per_unit = _per(value[got["link"]] * got["times"], got["unit_end"])
-                sums.append(_per(per_unit[got["unit"]], got["doc_end"]))
+                per_unit = _per(value[got["link"]] * times, np.cumsum(got["unit_n"]))
+                sums.append(_per(per_unit[got["unit"]], np.cumsum(got["doc_n"])))
             yield pa.RecordBatch.from_arrays(
                 [of("ids"), *(of(k) for k in ("n_a", "n_b", "n_groups", "n_links")),
                  *(pa.array(x) for x in sums), of("sha")],
@@ -657,8 +669,8 @@ def align(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizers: s
         F.collect_list(F.struct("pair", "count", "best")).alias("found"))
     empty = F.array().cast("array<struct<pair:bigint,count:bigint,best:bigint>>")
     short = (packs.join(found, "pack", "left").withColumn("found", F.coalesce("found", empty))
-             .select("ids", "n_a", "n_b", "n_groups", "n_links", "sha", "doc_end", "unit", "unit_end", "link",
-                     "times", "pair", "found")
+             .select("ids", "n_a", "n_b", "n_groups", "n_links", "sha", "pair", "doc_n", "unit", "unit_n", "link",
+                     "often", "times", "found")
              .transform(map_batches, _score_packs, f"id {kind}, {RESULT}"))
 
     sums = links.join(scored, "pair").groupBy("row").agg(
