@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (alignment, decontaminate, html, jaccard, langid, licenses, merkle, mixing, oracle, substrings,
-               topk, urls, warc)
+from . import (alignment, decontaminate, html, jaccard, langid, licenses, merkle, mixing, oracle, phrases,
+               substrings, topk, urls, warc)
 
 QUERIES = {f.__name__: f for f in (
     html.op1_main_text,
@@ -16,11 +16,13 @@ QUERIES = {f.__name__: f for f in (
     merkle.op8_fingerprints,
     jaccard.op9_jaccard_join,
     langid.op10_language_id,
+    phrases.op11_collocations,
     topk.op12_topk,
     alignment.op13_alignment,
 )}
 ORACLE: dict[str, str] = {
     "op3_substring_dedup": oracle.SUBSTRING_DEDUP,
     "op9_jaccard_join": oracle.JACCARD_JOIN,
+    "op11_collocations": oracle.COLLOCATIONS,
     "op12_topk": oracle.TOP_PRODUCTS,
 }

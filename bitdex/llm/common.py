@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import ctypes
+import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 SPACE = r"[\x20\x09-\x0D]+"          # what separates words
 WORD = r"[^\x20\x09-\x0D]+"          # a word
 
@@ -45,6 +49,15 @@ def by_key(docs: DataFrame, key: Column, keys: DataFrame, how: str) -> DataFrame
         *[F.col(f"`{c}`") for c in docs.columns])
 
 
+def cut_by(df: DataFrame, name: str, *columns: str) -> DataFrame:
+    """``df`` written in folders by ``columns`` (reading one value reads one folder), and read back."""
+    spark = df.sparkSession
+    path = os.path.join(ensure_checkpoint_dir(spark), f"bitdex-{spark.sparkContext.applicationId}",
+                        f"{name}-{uuid.uuid4().hex}")
+    df.write.partitionBy(*columns).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)          # also where no row was written
+
+
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20            # of an Arrow batch between the JVM and a Python worker (or one row)
 

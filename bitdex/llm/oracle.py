@@ -43,3 +43,21 @@ s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS
     FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5"""
+
+
+COLLOCATIONS = f"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+f AS (SELECT lang, m, ws[i:i + m - 1] AS ph, count(*) AS a FROM w, range(1, 4) x(m), range(1, len(ws) - m + 2) y(i)
+      GROUP BY ALL),
+c AS (SELECT * FROM f WHERE m > 1 AND a >= 10),
+cut AS (SELECT c.*, k, l.a AS l, r.a AS r, (1000000 * c.a::HUGEINT * c.a) // (l.a::HUGEINT * r.a) AS score
+    FROM c, range(1, 3) z(k) JOIN f l ON l.lang = c.lang AND l.ph = c.ph[1:k] JOIN f r ON r.lang = c.lang AND r.ph = c.ph[k + 1:]
+    WHERE k < c.m),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1),
+sub AS (SELECT lang, ph[s:s + 1] AS ph, a FROM c, range(1, 3) v(s) WHERE m = 3),
+free AS (SELECT b.* FROM best b WHERE NOT EXISTS (SELECT 1 FROM sub WHERE sub.lang = b.lang AND sub.ph = b.ph AND 100 * sub.a >= 50 * b.a)),
+top AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ph, ' ')) AS rank,
+    array_to_string(ph, ' ') AS phrase, a, l, r, score FROM free),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang)
+SELECT top.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM top JOIN n ON n.lang = top.lang WHERE rank <= 2000"""
