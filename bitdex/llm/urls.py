@@ -3,20 +3,28 @@ names and paths into.
 
 1. A unigram model counts words of page titles and texts, over all pages. URLs don't count:
    their runs of letters are what is to be cut. For the same reason a page's own host labels
-   and whatever looks like an address don't count in its text.
+   and whatever looks like an address don't count in its text. A word of the model has at least
+   ``SHORTEST`` letters and ``SEEN`` occurrences, so that chance fragments are none; the listed words
+   (below) and those of the rules are in it with a share of ``LISTED`` at least.
 2. Each distinct host label or path run of letters is cut into its most probable words
-   (unigram Viterbi). The substrings of a label meet the model through a join, so the
-   model may be of any size.
-3. Multinomial naive Bayes: word counts by verdict over all URLs that a rule decides
-   (distant labels), plus a few prior counts for words that are known to be bad or good;
-   it scores the words of host and path of every URL. Words that the rules themselves
-   name (com, en ...) are no evidence, as they made the labels, and they stay whole. Both classes have the same
-   prior; a URL is blocked from log-odds of ``BLOCK_FROM`` up.
+   (unigram Viterbi). A stretch that the model doesn't know costs a word that was never seen, and
+   ``LETTER`` for each letter: an unknown name stays whole, unless known words explain it better. The
+   substrings of a label meet the model through a join, so the model may be of any size.
+3. Multinomial naive Bayes scores the words of host and path of every URL. Its counts: a few
+   listed words that are known to be bad or good (``PRIOR`` each), and words of hosts and their paths
+   where rules decide *every* URL of the host, and alike (distant labels; a host counts once). A rule
+   about some paths of all hosts under a name says nothing of one of those hosts. The
+   pseudo-counts of a word are in proportion to the classes, so a word without evidence weighs
+   nothing. Words that the rules themselves name (com, en ...) are no evidence, as they made the
+   labels, and stay whole; codes of one or two letters are none either. A URL is blocked from
+   log-odds of ``BLOCK_FROM`` up.
 """
 
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,14 +42,18 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Prior counts of words, by verdict.
+#: Listed words, by verdict.
 BAD = ("casino", "poker", "pills", "cheap", "viagra", "spam", "porn", "xxx", "sex", "loan", "loans", "crack",
-       "warez", "torrent", "malware", "phishing", "scam", "bet", "betting", "farm", "clicks", "adult", "replica")
-GOOD = ("news", "blog", "docs", "wiki", "university", "school", "library", "science", "health", "history",
-        "journal", "museum", "research", "help", "support", "article", "press", "archive")
-PRIOR = 20.0
-LONGEST = 24          # letters of a word of the model
-SMOOTH = 1.0
+       "warez", "torrent", "malware", "phishing", "scam", "bet", "bets", "betting", "farm", "clicks", "adult",
+       "replica", "ads", "track", "tracker", "tracking")
+GOOD = ("news", "docs", "wiki", "university", "school", "library", "science", "health", "history",
+        "journal", "museum", "research", "article", "archive")
+PRIOR = 100.0         # counts of a listed word
+SHORTEST = 3          # letters of a word that is not listed
+SEEN = 2              # its occurrences
+LISTED = 1e-4         # least share of a listed word among all
+LETTER = 2.0          # price of a letter that no word covers
+SMOOTH = 5.0          # pseudo-counts of a word
 BLOCK_FROM = 2.0
 
 
@@ -70,40 +82,75 @@ def runs(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(F.lower(text), r"\p{N}+", "#"), F.lit(r"\p{L}+|#"), F.lit(0))
 
 
-def unigrams(pages: DataFrame, url: str, html: str) -> DataFrame:
+_LETTERS = re.compile(r"[^\W\d_]+")
+_HIDDEN = re.compile(r"(?is)<(?:script\b.*?</script\s*>|style\b.*?</style\s*>|[^>]*>)|&#?\w{1,32};")
+_ADDRESS = re.compile(r"\S*(?:://|@|[^\W\d_]\.[^\W\d_])\S*")
+
+
+def text_words(html: str) -> list[str]:
+    """Words of a page's title and text, lower-cased, without addresses."""
+    bare = _HIDDEN.sub(" ", html)
+    if "://" in bare or "@" in bare or "." in bare:
+        bare = " ".join(w for w in bare.split() if not _ADDRESS.fullmatch(w))
+    return _LETTERS.findall(bare.lower())
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) of a batch of pages (host, html). A page's own labels don't count on it."""
+    for batch in batches:
+        total: Counter = Counter()
+        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            words = text_words(html or "")
+            total.update(words)
+            for own in set(_LETTERS.findall(host)):
+                if n := words.count(own):
+                    total[own] -= n
+        total = +total
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())],
+                                         names=["word", "n"])
+
+
+def unigrams(pages: DataFrame, url: str, html: str, listed: list[str]) -> DataFrame:
     """(word, n): words of titles and texts, over all pages, without addresses and without the
-    labels of the page's own host (a host's name on its own pages doesn't make it a word)."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " ")
-    bare = F.regexp_replace(bare, r"<[^>]*>|&#?\w{1,32};", " ")
-    bare = F.regexp_replace(bare, r"(?<!\S)\S*?(?:://|@|\p{L}\.\p{L})\S*", " ")
-    words = pages.select(runs(host_of(F.col(url))).alias("own"), F.explode(runs(bare)).alias("word"))
-    return (words.filter((F.col("word") != "#") & (F.length("word") <= LONGEST) & ~F.array_contains("own", F.col("word")))
-            .groupBy("word").agg(F.count("*").alias("n")))
+    labels of the page's own host (a host's name on its own pages doesn't make it a word); the
+    ``listed`` ones with ``LISTED`` of all at least."""
+    spark = pages.sparkSession
+    counts = cut_lineage(
+        pages.select(F.lower(host_of(F.col(url))).alias("host"), F.col(html).alias("html"))
+        .transform(map_batches, _count_words, "word string, n long")
+        .groupBy("word").agg(F.sum("n").alias("n")), "words")
+    least = max(1, math.ceil(LISTED * (counts.agg(F.sum("n")).first()[0] or 0)))
+    given = spark.createDataFrame([(w, least) for w in sorted(set(listed))], "word string, least long")
+    own = counts.filter((F.length("word") >= SHORTEST) & (F.col("n") >= SEEN))
+    return own.join(F.broadcast(given), "word", "left_anti").unionByName(
+        given.join(counts, "word", "left").select("word", F.greatest("least", F.coalesce("n", F.lit(0))).alias("n")))
 
 
 def viterbi(label: str, pieces: list[tuple[int, int, int]], total: float) -> list[str]:
-    """Most probable cut of ``label``; ``pieces``: (start, length, count) of known words.
-    A letter no word covers costs as much as a word seen once and half a letter more."""
-    unseen = math.log(total) + 2.0
+    """Most probable cut of ``label``; ``pieces``: (start, length, count) of known words. A stretch
+    without a word costs as much as a word seen once, and ``LETTER`` for each letter."""
+    unseen = math.log(total)
     known: dict[int, list[tuple[int, float]]] = {}
     for start, length, n in pieces:
         known.setdefault(start, []).append((length, math.log(total) - math.log(n)))
-    best, back = [0.0] + [math.inf] * len(label), [0] * (len(label) + 1)
-    for i in range(len(label)):
-        for length, cost in [(1, unseen), *known.get(i, ())]:
+    n = len(label)
+    best, back = [0.0] + [math.inf] * n, [0] * (n + 1)      # cuts that end a word here
+    open_, since = [math.inf] * (n + 1), [0] * (n + 1)      # cuts that are in an unknown stretch here
+    for i in range(n):
+        if open_[i] < best[i]:
+            best[i], back[i] = open_[i], since[i]
+        for length, cost in known.get(i, ()):
             if best[i] + cost < best[i + length]:
                 best[i + length], back[i + length] = best[i] + cost, i
-    out, i = [], len(label)
+        begun, on = best[i] + unseen + LETTER, open_[i] + LETTER
+        open_[i + 1], since[i + 1] = (begun, i) if begun < on else (on, since[i])
+    if open_[n] < best[n]:
+        back[n] = since[n]
+    out, i = [], n
     while i:
         out.append(label[back[i]:i])
         i = back[i]
-    merged: list[str] = []          # neighbouring single letters are one unknown word
-    for word in reversed(out):
-        if merged and len(word) == 1 and merged[-1].startswith("?"):
-            merged[-1] += word
-        else:
-            merged.append("?" + word if len(word) == 1 else word)
-    return [w.lstrip("?") for w in merged]
+    return out[::-1]
 
 
 def _cut(total: float):
@@ -118,10 +165,11 @@ def _cut(total: float):
 
 def segment(labels: DataFrame, model: DataFrame) -> DataFrame:
     """(run, words) of each distinct ``run``, cut by the unigram ``model`` (word, n)."""
-    total = float((model.agg(F.sum("n")).first()[0] or 0) + 1)
+    size = model.agg(F.sum("n").alias("n"), F.max(F.length("word")).alias("longest")).first()
+    total, longest = float((size.n or 0) + 1), size.longest or 1
     at = F.sequence(F.lit(0), F.length("run") - 1)
     starts = labels.select("run", F.explode(at).alias("s"))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("run") - F.col("s")))
+    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("run") - F.col("s")))
     subs = (starts.select("run", "s", F.explode(lengths).alias("l"))
             .withColumn("word", F.col("run").substr(F.col("s") + 1, F.col("l"))))
     known = (subs.join(model, "word").groupBy("run")
@@ -143,33 +191,38 @@ def verdicts(pages: DataFrame, id: str = "page_id", url: str = "url", html: str
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumn("rule", rule).withColumn("by_rule", verdict)
     rows = rows.withColumn("shape", F.array_join(runs(F.col("path")), " "))
-    seen = cut_lineage(rows.groupBy("host", "shape", "by_rule").agg(F.count("*").alias("n")), "urls")
+    seen = cut_lineage(rows.select("host", "shape", "by_rule").distinct(), "urls")
 
-    model = cut_lineage(unigrams(pages, url, html), "unigrams")
+    named = sorted({w for h, p, _ in rules for w in (h + p).replace("/", ".").split(".") if w})
+    model = cut_lineage(unigrams(pages, url, html, [*BAD, *GOOD, *named]), "unigrams")
     parts = (seen.select(F.col("host").alias("text"), F.lit("host").alias("kind")).distinct()
              .unionByName(seen.select(F.col("shape").alias("text"), F.lit("path").alias("kind")).distinct()))
     pieces = parts.select("text", "kind", F.posexplode(runs(F.col("text"))).alias("i", "run"))
-    named = sorted({w for h, p, _ in rules for w in (h + p).replace("/", ".").split(".") if w})
     cut = segment(pieces.filter((F.col("run") != "#") & ~F.col("run").isin(named)).select("run").distinct(), model)
     words = cut_lineage(pieces.join(cut, "run", "left").select(
         "text", "kind", "i", F.posexplode(F.coalesce("words", F.array("run"))).alias("j", "word")), "url-words")
 
-    # word counts by verdict: URLs that agree in host and path shape travel as one row
-    judged = seen.filter("by_rule IS NOT NULL")
-    def counted(kind, column):
-        return (judged.groupBy(F.col(column).alias("text"), "by_rule").agg(F.sum("n").alias("n"))
-                .join(words.filter(F.col("kind") == kind).select("text", "word"), "text")
-                .select("word", "by_rule", "n"))
+    # word counts by verdict, from hosts of which rules decide every URL alike
+    sure = (seen.filter("host <> ''").groupBy("host").agg(
+        F.count_if(F.col("by_rule").isNull()).alias("open"), F.min("by_rule").alias("lo"), F.max("by_rule").alias("hi"))
+        .filter("open = 0 AND lo = hi").select("host", F.col("lo").alias("sure")))
+    sure = cut_lineage(sure, "sure-hosts")
+    evidence = F.length("word") >= SHORTEST
+    of_host = sure.join(words.filter((F.col("kind") == "host") & evidence).select(F.col("text").alias("host"), "word"), "host")
+    shapes = seen.join(sure, "host").select("host", "sure", "shape").distinct()
+    of_path = shapes.join(words.filter((F.col("kind") == "path") & evidence).select(F.col("text").alias("shape"), "word"), "shape")
     prior = pages.sparkSession.createDataFrame(
-        [(w, "block", PRIOR) for w in BAD] + [(w, "allow", PRIOR) for w in GOOD], "word string, by_rule string, n double")
+        [(w, "block", PRIOR) for w in BAD] + [(w, "allow", PRIOR) for w in GOOD], "word string, sure string, n double")
     counts = cut_lineage(
-        counted("host", "host").unionByName(counted("path", "shape")).unionByName(prior).groupBy("word")
-        .agg(F.sum(F.when(F.col("by_rule") == "block", F.col("n")).otherwise(0.0)).alias("block"),
-             F.sum(F.when(F.col("by_rule") == "allow", F.col("n")).otherwise(0.0)).alias("allow")), "url-counts")
-    t = counts.agg(F.sum("block").alias("b"), F.sum("allow").alias("a"), F.count("*").alias("v")).first()
-    b, a, v = float(t["b"] or 0), float(t["a"] or 0), float(t["v"])
-    odds = counts.filter(~F.col("word").isin(named)).select("word", (F.log((F.col("block") + SMOOTH) / (b + SMOOTH * v))
-                                  - F.log((F.col("allow") + SMOOTH) / (a + SMOOTH * v))).alias("w"))
+        of_host.select("host", "sure", "word").unionByName(of_path.select("host", "sure", "word")).distinct()
+        .select("word", "sure", F.lit(1.0).alias("n")).unionByName(prior).groupBy("word")
+        .agg(F.sum(F.when(F.col("sure") == "block", F.col("n")).otherwise(0.0)).alias("block"),
+             F.sum(F.when(F.col("sure") == "allow", F.col("n")).otherwise(0.0)).alias("allow")), "url-counts")
+    t = counts.agg(F.sum("block").alias("b"), F.sum("allow").alias("a")).first()      # the listed words are in both
+    share = float(t["b"]) / float(t["b"] + t["a"])
+    odds = counts.filter(~F.col("word").isin(named)).select("word", (
+        F.log((F.col("block") + SMOOTH * share) / (F.col("allow") + SMOOTH * (1 - share)))
+        - math.log(share / (1 - share))).alias("w"))
     scored = cut_lineage(words.join(odds, "word", "left").groupBy("text", "kind").agg(
         F.sum(F.coalesce("w", F.lit(0.0))).alias("w"),
         F.array_sort(F.collect_list(F.struct("i", "j", "word"))).alias("cut")), "url-scores")
