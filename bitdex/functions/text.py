@@ -38,6 +38,7 @@ MIN_UNITS = 4
 # Tokenizer classes (ASCII): space is " \t\n\v\f\r"; punctuation is every
 # printable non-alphanumeric ASCII character (33-47, 58-64, 91-96, 123-126).
 PUNCT_CLASS = r"[!-/:-@\[-`{-~]"
+PUNCT = "".join(chr(c) for c in (*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)))
 # Folding exceptions to the NFD rule below: letters with no canonical
 # decomposition that still fold to an ASCII base.
 FOLD_EXCEPTIONS = {"\u0131": "i", "\u013f": "l", "\u0140": "l", "\u017f": "s"}
@@ -93,6 +94,8 @@ def fold_table() -> tuple[str, str]:
 _FOLD_FROM, _FOLD_TO = fold_table()
 _WORD = "[^" + PUNCT_CLASS[1:-1] + r" \t\n\x0b\f\r]+"
 TOKEN_PATTERN = f"({PUNCT_CLASS}|{_WORD})"
+# A word is ended by white space or by a punctuation mark, which comes with it.
+FLUSH_PATTERN = f"({_WORD[:-1]}*{PUNCT_CLASS}|{_WORD})"
 
 
 def _c(col: Column | str) -> Column:
@@ -217,3 +220,9 @@ def basic_tokens(col: Column | str) -> Column:
 def tokenize(col: Column | str) -> Column:
     """``basic_tokens(fold_text(col))``."""
     return basic_tokens(fold_text(col))
+
+
+def flushes(col: Column | str) -> Column:
+    """Tokens of already folded text as they are flushed together: a word, a punctuation mark, or a word
+    with the mark right after it."""
+    return F.regexp_extract_all(_c(col), F.lit(FLUSH_PATTERN), 1)

@@ -5,7 +5,7 @@ projection on all of them -- mean and covariance are sums, so the fit needs one
 pass and ``dim x dim`` numbers whatever the number of rows -- and projects and
 sign-packs them in one Arrow pass. The result is the ``index`` table
 ``(row, ord, id, title, w0..)``: keys and slug columns in the same row, so they
-can never misalign, and a ``row`` number that tells rows of one id apart.
+can never misalign, and a dense ``row`` number that tells rows of one id apart.
 """
 
 from __future__ import annotations
@@ -17,20 +17,36 @@ from pyspark.sql import types as T
 from ..functions import keys as kx
 from ..session import cut_lineage
 from . import encode as enc
+from . import ordinals as od
 from . import pca as pc
 from . import search as sr
 
 DEFAULT_K = 256
 
 
+ADDRESS = ["file", "position"]       # of a corpus row, where the corpus was read with it
+
+
 def with_ord(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """Stored ordinal for tie-breaks: the id itself when it is integral
-    (corpus order), else a monotonically increasing id fixed at build time."""
-    if "ord" in df.columns:
+    """Stored ordinal for tie-breaks: the id itself when it is integral, unless there is
+    one already or rows have an address (then corpus order decides). Without any of these rows
+    are ordered by id and title, see ``number_rows``."""
+    if "ord" in df.columns or set(ADDRESS) <= set(df.columns):
         return df
     if isinstance(df.schema[id_col].dataType, (T.LongType, T.IntegerType, T.ShortType)):
         return df.withColumn("ord", F.col(id_col).cast("long"))
-    return df.withColumn("ord", F.monotonically_increasing_id())
+    return df
+
+
+def number_rows(index: DataFrame, k: int) -> DataFrame:
+    """(row, ord, id, title, w0..) written: ``row`` is 0..n-1 by ``ord`` (or address, or neither), then
+    id, title and key, so it is the same however the corpus is split; ``ord`` is the row where there is none."""
+    words = kx.word_cols(k)
+    lead = ADDRESS if set(ADDRESS) <= set(index.columns) else ["ord"] if "ord" in index.columns else []
+    rows = od.dense_ordinal(index, [*lead, "id", "title", *words])
+    if "ord" not in rows.columns:
+        rows = rows.withColumn("ord", F.col("row"))
+    return cut_lineage(rows.select("row", "ord", "id", "title", *words), "index")
 
 
 def fit_params(vectors: DataFrame, k: int = DEFAULT_K, projection: str = "pca",
@@ -56,16 +72,16 @@ def build_index(bodies: DataFrame, encoder=None, k: int = DEFAULT_K,
     joined for titles. A lost executor only re-runs a part of one stage.
     """
     encoder = encoder or enc.HashPoolEncoder()
-    rows = enc.spread(with_ord(bodies).select("ord", "id", "title", text), min_partitions)
-    keep = ["ord", "id", "title"]
+    bodies = with_ord(bodies)
+    keep = [c for c in ("ord", *ADDRESS, "id", "title") if c in bodies.columns]
+    rows = enc.spread(bodies.select(*keep, text), min_partitions)
     if params is None:
         vecs = cut_lineage(enc.embed(rows, text, "vec", encoder, mode).drop(text), "vectors")
         params = fit_params(vecs, k, projection)
         index = pc.project_keys(vecs, params, "vec", keep=keep)
     else:
         index = _keys(rows, text, encoder, params, mode, keep)
-    index = index.withColumn("row", F.monotonically_increasing_id())
-    return cut_lineage(index.select("row", *keep, *kx.word_cols(params.k)), "index"), params
+    return number_rows(index, params.k), params
 
 
 def _keys(rows: DataFrame, text: str, encoder, params: pc.PcaParams, mode: str,
@@ -140,4 +156,4 @@ def identity_params(vectors: DataFrame, k: int, vec: str = "vec") -> pc.PcaParam
 
 
 __all__ = ["build_index", "encode_queries", "search", "search_one", "stats", "fit_params",
-           "accepted_queries", "rejected_queries", "with_ord", "key_table", "identity_params"]
+           "accepted_queries", "rejected_queries", "with_ord", "number_rows", "key_table", "identity_params"]

@@ -10,7 +10,7 @@
 * ``pca_fit``: ``pyspark.ml.feature.PCA`` (distributed covariance, small
   local eigendecomposition), fitted on all rows. Eigenvector signs are made
   canonical (largest-magnitude entry positive) so stored keys are reproducible.
-* ``fit_sample``: a sample drawn once, for callers that ask for one.
+* ``fit_sample``: a sample of exact size, for callers that ask for one.
 * ``project_keys``: centre with *our* mean (Spark's ``PCAModel.transform``
   does not centre), project, and pack the signs, in one Arrow pass with the
   ``dim x k`` parameters broadcast once per executor.
@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import keys as kx
+from . import ordinals as od
 
 # Fixed value: PCA needs two rows.
 MIN_FIT_ROWS = 2
-DEFAULT_SEED = 42
 # Tasks that make partial Gram matrices, and the groups they are added in first.
 MAX_PARTIALS = 4096
 MERGE = 64
@@ -158,14 +158,18 @@ def require_rows(df: DataFrame, n: int = MIN_FIT_ROWS) -> None:
         raise ValueError(f"need >= {n} rows to fit PCA; got {got}")
 
 
-def fit_sample(df: DataFrame, cap: int, seed: int = DEFAULT_SEED) -> DataFrame:
-    """All rows when there are at most ``cap``; else about ``cap`` rows drawn
-    uniformly with replacement (R1): each row as often as a Poisson draw says, so
-    the size varies by about the square root of ``cap``."""
-    n = df.count()
-    if n <= cap:
+def fit_sample(df: DataFrame, cap: int, order: list[str] | None = None, seed: int = od.DRAW_SEED
+               ) -> DataFrame:
+    """All rows when there are at most ``cap``; else exactly ``cap`` rows drawn uniformly with
+    replacement (R1), the same for every partitioning. Draws are ordinals: those of the column
+    ``row`` if there is one, else places in the order of the columns ``order`` (all, by default)."""
+    if df.count() <= cap:
         return df
-    return df.sample(withReplacement=True, fraction=cap / n, seed=seed)
+    if order is None and "row" in df.columns:
+        return od.sample_exact(df, cap, seed)
+    numbered = od.dense_ordinal(df.withColumnRenamed("row", "_row"), [
+        "_row" if c == "row" else c for c in order or df.columns])
+    return od.sample_exact(numbered, cap, seed).drop("row").withColumnRenamed("_row", "row")
 
 
 # -- A3 / A4 -----------------------------------------------------------------

@@ -5,21 +5,29 @@ front, taking at each position the longest piece found in the vocabulary;
 if some position has no piece at all, the **whole word** becomes one
 ``[UNK]`` id.
 
-Plan (all DataFrame operations):
+Plan: distinct words only (a corpus repeats words heavily). The vocabulary becomes a
+trie in four arrays, which is broadcast, and all words of an Arrow batch
+walk it together, one character a step: no row for a substring, no shuffle but
+that of the distinct words. The trie's size is checked first (the characters of the vocabulary bound
+its nodes); a vocabulary beyond ``TRIE_CHARS`` stays a table, and substrings meet it by a join:
 
-1. distinct words only (a corpus repeats words heavily);
-2. every (word, start, length) substring with ``length <= max piece
+1. every (word, start, length) substring with ``length <= max piece
    length`` -- an exact bound, longer substrings cannot match -- equi-joined
-   to the vocabulary (the optimizer broadcasts it where its bytes allow it);
-3. the longest match per (word, start), gathered per word (at most one
+   to the vocabulary;
+2. the longest match per (word, start), gathered per word (at most one
    entry per character of that word) and walked with ``aggregate``;
-4. words without a whole walk come out as ``[UNK]``; profiles count the words of
-   each document first, so a word that fills the corpus joins one row for each
-   document, and a left join from the documents keeps those without words.
+3. words without a whole walk come out as ``[UNK]``.
+
+Profiles count the words of each document first, so a word that fills the corpus joins one
+row for each document, and a left join from the documents keeps those without words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +38,131 @@ from ..session import cut_lineage
 WORD_PREFIX = "▁"
 DEFAULT_UNK_ID = 0
 
+TRIE_CHARS = 4_000_000       # characters of a vocabulary that is broadcast: 20 bytes each at most
+FEW = 64                     # words that go on one by one
+POINT_BITS = 21              # of a code point
+
+
+class Trie:
+    """A vocabulary as arrays: an edge is a node and a code point, in order; a node may end a piece."""
+
+    def __init__(self, tokens: list[str], ids: np.ndarray):
+        points, offsets = code_points(tokens)
+        length = np.diff(offsets)
+        node = np.zeros(len(tokens), np.int64)                 # of each token so far
+        keys, children, n_nodes = [], [], 1
+        for at in range(int(length.max(initial=0))):           # all tokens grow by one character
+            left = np.flatnonzero(length > at)
+            key, child = np.unique(node[left] << POINT_BITS | points[offsets[left] + at], return_inverse=True)
+            keys.append(key)
+            children.append(n_nodes + np.arange(len(key)))
+            node[left] = n_nodes + child
+            n_nodes += len(key)
+        self.keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        children = np.concatenate(children) if keys else np.zeros(0, np.int64)
+        order = np.argsort(self.keys)
+        self.keys, self.children = self.keys[order], children[order].astype(np.int32)
+        self.ends = np.zeros(n_nodes, bool)
+        self.ids = np.full(n_nodes, np.iinfo(np.int64).min)
+        whole = length > 0                                     # an empty piece matches nothing
+        self.ends[node[whole]] = True
+        np.maximum.at(self.ids, node[whole], ids[whole])       # one piece with two ids: the larger
+
+    def step(self, node: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(child, whether there is one) of each node and code point."""
+        if not len(self.keys):
+            return node, np.zeros(len(node), bool)
+        key = node.astype(np.int64) << POINT_BITS | point
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return self.children[at], self.keys[at] == key
+
+    def walk(self, words: list[str]) -> list[list[int] | None]:
+        """Ids of the pieces of each word, longest first from the front; None where some place has none."""
+        points, offsets = code_points(words)
+        out: list = [[] for _ in words]
+        word = np.arange(len(words))
+        at, end = offsets[:-1].copy(), offsets[1:]
+        node = np.zeros(len(words), np.int32)
+        stop, found = np.full(len(words), -1), np.zeros(len(words), np.int64)    # longest piece so far
+        word = word[at < end]
+        for i in np.flatnonzero(at == end):
+            out[i] = None
+        while len(word) > FEW:
+            inside = at[word] < end[word]
+            child, there = self.step(node[word], points[np.minimum(at[word], len(points) - 1)])
+            there &= inside
+            on = word[there]
+            node[on] = child[there]
+            at[on] += 1
+            piece = on[self.ends[node[on]]]
+            stop[piece], found[piece] = at[piece], self.ids[node[piece]]
+            for i in (stuck := word[~there]):
+                if stop[i] < 0:
+                    out[i] = None
+                else:
+                    out[i].append(int(found[i]))
+            at[stuck], node[stuck] = stop[stuck], 0
+            over = stuck[(stop[stuck] < 0) | (stop[stuck] == end[stuck])]
+            stop[stuck] = -1
+            if len(over):
+                word = word[~np.isin(word, over)]
+        for i in word:
+            out[i] = self._alone(points[offsets[i]:end[i]].tolist(), at[i] - offsets[i], int(node[i]),
+                                 int(stop[i] - offsets[i]) if stop[i] >= 0 else -1, int(found[i]), out[i])
+        return out
+
+    def _alone(self, points: list[int], at: int, node: int, stop: int, found: int, ids: list) -> list | None:
+        """The rest of one word's walk."""
+        if not hasattr(self, "edges"):
+            self.edges = dict(zip(self.keys.tolist(), self.children.tolist()))
+        while True:
+            child = self.edges.get(node << POINT_BITS | points[at]) if at < len(points) else None
+            if child is not None:
+                node, at = child, at + 1
+                if self.ends[node]:
+                    stop, found = at, int(self.ids[node])
+                continue
+            if stop < 0:
+                return None
+            ids.append(found)
+            if stop == len(points):
+                return ids
+            at, node, stop = stop, 0, -1
+
+
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, and where each begins (and the last one ends)."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    return points, np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+
 
 def segment_words(words: DataFrame, vocab: DataFrame, word: str = "word",
-                  unk_id: int = DEFAULT_UNK_ID) -> DataFrame:
-    """(word, known, piece_ids) for each distinct word (F8)."""
-    vocab = cut_lineage(vocab.select("token", "token_id"), "vocabulary")
+                  unk_id: int = DEFAULT_UNK_ID, trie_chars: int = TRIE_CHARS) -> DataFrame:
+    """(word, known, piece_ids) for each distinct word (F8). Null words are unknown."""
+    vocab = cut_lineage(vocab.select("token", F.col("token_id").cast("bigint").alias("token_id"))
+                        .filter("token IS NOT NULL AND token_id IS NOT NULL"), "vocabulary")
+    size = vocab.agg(F.sum(F.length("token"))).first()[0] or 0
+    if size > trie_chars:
+        return _segment_by_join(words, vocab, word, unk_id)
+    got = vocab.toArrow()
+    trie = words.sparkSession.sparkContext.broadcast(
+        Trie(got["token"].to_pylist(), got["token_id"].to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            ids = trie.value.walk([WORD_PREFIX + t if t is not None else "" for t in texts])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([x is not None for x in ids]),
+                 pa.array([[unk_id] if x is None else x for x in ids], pa.list_(pa.int64()))],
+                names=["word", "known", "piece_ids"])
+
+    distinct = words.select(F.col(word).alias("word")).distinct()
+    return distinct.mapInArrow(run, "word string, known boolean, piece_ids array<bigint>")
+
+
+def _segment_by_join(words: DataFrame, vocab: DataFrame, word: str, unk_id: int) -> DataFrame:
+    """``segment_words`` against a vocabulary of any size, a written table."""
     max_len = int(vocab.agg(F.max(F.length("token"))).first()[0] or 0)
     v = vocab.select(F.col("token").alias("piece"), F.col("token_id").cast("bigint").alias("tid"))
     # written once: the substrings and the final left join both read it
@@ -105,6 +233,45 @@ def piece_profile(tokens: DataFrame, ids: DataFrame, vocab: DataFrame, n_ctx: in
     return out.withColumn("over_context", F.col("n_ids") > n_ctx)
 
 
+def limited_ids(docs: DataFrame, vocab: DataFrame, n_ctx: int = 512, first_id: int = 1, last_id: int = 2,
+                unk_id: int = DEFAULT_UNK_ID, id: str = "id", text: str = "text") -> DataFrame:
+    """(id, ids, whole) of each text: the ids that a model of ``n_ctx`` positions reads.
+
+    ``first_id``, the pieces, ``last_id``. Words are taken while there is room for one more id beside the
+    last: a word (with the punctuation mark right after it) whose turn comes is taken with all
+    its pieces, so the list may overshoot; it is then cut to ``n_ctx`` and has lost its last id
+    (``whole`` is false where anything was left out). A text without tokens has the two framing
+    ids; null and empty texts too.
+
+    Each turn takes an id at least, so only the first ``n_ctx`` turns of a text are looked at: however long
+    it is, a row carries no more, and the words of a text meet again in one bounded list."""
+    turns = F.slice(tx.flushes(tx.fold_text(text)), 1, n_ctx)
+    rows = cut_lineage(docs.select(F.col(id).alias("id"), F.monotonically_increasing_id().alias("_row"),
+                                   turns.alias("turns"), (F.size(tx.flushes(tx.fold_text(text))) > n_ctx).alias("more")),
+                       "turns")
+    tokens = (rows.select("_row", F.posexplode("turns").alias("turn", "_t"))
+              .select("_row", "turn", F.posexplode(tx.basic_tokens("_t")).alias("place", "token")))
+    tokens = cut_lineage(tokens, "turn-tokens")
+    seg = segment_words(tokens.select(F.col("token").alias("word")), vocab, "word", unk_id)
+    pieces = tokens.join(seg.select(F.col("word").alias("token"), "piece_ids"), "token").groupBy("_row").agg(
+        F.array_sort(F.collect_list(F.struct("turn", "place", "piece_ids"))).alias("_p"))
+    start = F.struct(F.lit(-1).alias("turn"), F.lit(True).alias("taken"),
+                     F.array(F.lit(first_id).cast("bigint")).alias("ids"), F.lit(True).alias("whole"))
+
+    def take(acc, x):
+        taken = F.when(x["turn"] == acc["turn"], acc["taken"]).otherwise(F.size(acc["ids"]) < n_ctx - 1)
+        return F.struct(x["turn"].alias("turn"), taken.alias("taken"),
+                        F.when(taken, F.concat(acc["ids"], x["piece_ids"])).otherwise(acc["ids"]).alias("ids"),
+                        (acc["whole"] & taken).alias("whole"))
+
+    empty = F.array().cast("array<struct<turn:int,place:int,piece_ids:array<bigint>>>")
+    walked = rows.join(pieces, "_row", "left").select(
+        "id", "more", F.aggregate(F.coalesce("_p", empty), start, take).alias("r"))
+    ids = F.concat("r.ids", F.array(F.lit(last_id).cast("bigint")))
+    return walked.select("id", F.slice(ids, 1, n_ctx).alias("ids"),
+                         (F.col("r.whole") & ~F.coalesce("more", F.lit(False)) & (F.size("r.ids") < n_ctx)).alias("whole"))
+
+
 def vocab_from_text(texts: DataFrame, text: str = "text") -> DataFrame:
     """A vocabulary table from a text column: every distinct basic token as
     a word-initial piece, every distinct character as a bare and as a

@@ -20,6 +20,8 @@ from ..functions import keys as kx
 from ..functions import text as tx
 from ..operators import encode as enc
 from ..operators import index as ix
+from ..operators import multi_index as mi
+from ..operators import ordinals as od
 from ..operators import pca as pc
 from ..operators import search as sr
 from ..operators import tokens as tk
@@ -36,6 +38,7 @@ EK = 64
 PK = 4              # components of the PCA queries that SQL computes too
 TOP = 5
 CONTEXT = 510       # tokens of a model context without its two framing tokens
+N_CTX = 512         # positions of a model context
 # CPU-heavy steps spread small inputs over the session's default
 # parallelism (None); large inputs keep their scan partitioning.
 MIN_PARTITIONS = None
@@ -45,8 +48,8 @@ def _encoder() -> enc.HashPoolEncoder:
     return enc.HashPoolEncoder(DIM)
 
 
-def _corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return cs.documents_corpus(spark, sf)
+def _corpus(spark: SparkSession, sf: str, address: bool = False) -> DataFrame:
+    return cs.documents_corpus(spark, sf, address)
 
 
 def _bodies(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,6 +144,14 @@ def wordpiece_profile(spark, sf):
     return wp.piece_profile(tokens, docs, _bench_vocab(spark, sf))
 
 
+def token_ids_limited(spark, sf):
+    """The ids that a model of 512 positions reads of every document, framed and cut."""
+    docs = enc.spread(_corpus(spark, sf).filter(tx.non_empty("text")))
+    got = wp.limited_ids(docs, _bench_vocab(spark, sf), N_CTX)
+    return got.select("id", F.size("ids").alias("n_ids"), "whole",
+                      F.array_join(F.transform("ids", lambda x: x.cast("string")), " ").alias("ids"))
+
+
 # -- bodies -----------------------------------------------------------------------
 
 def bodies(spark, sf):
@@ -216,6 +227,34 @@ def fit_sample(spark, sf):
     return pc.fit_sample(rows, rows.count())
 
 
+def _dense_rows(spark, sf):
+    docs = _corpus(spark, sf, address=True).select("file", "position", "id")
+    return od.dense_ordinal(docs, ["file", "position"]).select("row", "id")
+
+
+def dense_rows(spark, sf):
+    """Every document under its number 0..n-1 in corpus order (file, position)."""
+    return _dense_rows(spark, sf)
+
+
+def sampled_rows(spark, sf):
+    """Half as many draws as there are documents, with replacement."""
+    rows = cut_lineage(_dense_rows(spark, sf), "rows")
+    return pc.fit_sample(rows, rows.count() // 2)
+
+
+def fit_guard(spark, sf):
+    """What a fit says of one row and of all (R2)."""
+    e = _emb(spark, sf).select("vec_id", "embedding")
+    said = []
+    for name, rows in (("one row", e.orderBy("vec_id").limit(1)), ("all rows", e)):
+        try:
+            said.append((name, f"fitted on {pc.pca_fit(rows, PK, 'embedding').n_fit}"))
+        except ValueError as error:
+            said.append((name, str(error)))
+    return spark.createDataFrame(said, "input string, outcome string")
+
+
 def _bench_queries(spark, sf):
     return cs.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
@@ -249,6 +288,35 @@ def benchmark_stats(spark, sf):
     return ix.stats(_bench_queries(spark, sf), index, params, _encoder())
 
 
+def histogram_order(spark, sf):
+    """The rows of ``benchmark_stats`` under their place in it."""
+    return od.numbered(benchmark_stats(spark, sf), "place").select("place", "qid", "bin", "count")
+
+
+def knn_indexed(spark, sf):
+    """``benchmark_search`` through the stored block index: written, packed, loaded; queries that its
+    levels don't settle go to the scan (J3, C5)."""
+    root = _run_folder(spark)
+    st.rebuild(spark, *_identity_index(spark, sf), root)
+    st.pack_blocks(spark, root)
+    index, params = st.load_index(spark, root)
+    qkeys = ix.encode_queries(_bench_queries(spark, sf), params, _encoder())
+    hits, _ = mi.knn_indexed(index, st.load_blocks(spark, root), qkeys, TOP)
+    return sr.resolve_hits(hits, index, K)
+
+
+def nearest_bodies(spark, sf):
+    """Every body's own key looked up in the block index: the key at distance 0 of lowest ordinal,
+    which the first level settles without a scan (J3)."""
+    root = _run_folder(spark)
+    index, _ = _identity_index(spark, sf)
+    blocks = mi.write_buckets(index, K, root)
+    asked = index.select(F.col("id").alias("qid"), *kx.word_cols(K))
+    hits, _ = mi.knn_indexed(index, blocks, asked, 1, share=1.0)
+    found = index.select("row", F.col("id").alias("nearest"))
+    return hits.join(found, "row").select(F.col("qid").alias("id"), "nearest", "dist")
+
+
 def _run_folder(spark) -> str:
     """A new folder of the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark)}/stored-{uuid.uuid4().hex}"
@@ -434,6 +502,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "wordpiece_words": wordpiece_words,
     "token_pieces": token_pieces,
     "wordpiece_profile": wordpiece_profile,
+    "token_ids_limited": token_ids_limited,
     "bodies": bodies,
     "records": records,
     "doc_token_sums": doc_token_sums,
@@ -445,11 +514,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "doc_keys": doc_keys,
     "index_count": index_count,
     "fit_sample": fit_sample,
+    "dense_rows": dense_rows,
+    "sampled_rows": sampled_rows,
+    "fit_guard": fit_guard,
     "query_texts": query_texts,
     "benchmark_search": benchmark_search,
     "conversation_search": conversation_search,
     "benchmark_stats": benchmark_stats,
+    "histogram_order": histogram_order,
     "stored_search": stored_search,
+    "knn_indexed": knn_indexed,
+    "nearest_bodies": nearest_bodies,
     "search_one": search_one,
     "search_edge": search_edge,
     "stats_edge": stats_edge,
@@ -480,6 +555,7 @@ ORACLE: dict[str, str] = {
     "wordpiece_words": oq.wordpiece_words_sql(),
     "token_pieces": oq.token_pieces_sql(),
     "wordpiece_profile": oq.wordpiece_profile_sql(),
+    "token_ids_limited": oq.token_ids_limited_sql(),
     "bodies": oq.bodies_sql(),
     "records": oq.records_sql(),
     "doc_token_sums": oq.doc_token_sums_sql(),
@@ -488,11 +564,17 @@ ORACLE: dict[str, str] = {
     "doc_keys": oq.doc_keys_sql(),
     "index_count": oq.index_count_sql(),
     "fit_sample": oq.fit_sample_sql(),
+    "dense_rows": oq.dense_rows_sql(),
+    "sampled_rows": oq.sampled_rows_sql(),
+    "fit_guard": oq.fit_guard_sql(),
     "query_texts": oq.query_texts_sql(),
     "benchmark_search": oq.search_sql(oq.BENCH_QUERIES),
     "conversation_search": oq.search_sql(oq.CONV_QUERIES),
     "benchmark_stats": oq.stats_sql(oq.BENCH_QUERIES),
+    "histogram_order": oq.histogram_order_sql(),
     "stored_search": oq.search_sql(oq.BENCH_QUERIES),
+    "knn_indexed": oq.search_sql(oq.BENCH_QUERIES),
+    "nearest_bodies": oq.nearest_bodies_sql(),
     "search_one": oq.search_sql(oq.ONE_QUERIES),
     "search_edge": oq.search_edge_sql(),
     "stats_edge": oq.stats_edge_sql(),

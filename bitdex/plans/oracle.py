@@ -498,6 +498,38 @@ def fit_sample_sql() -> str:
     return f"WITH {bodies_ctes()} SELECT id FROM bodies"
 
 
+DENSE = "dense AS (SELECT doc_id AS id, row_number() OVER () - 1 AS row FROM documents)"
+
+
+def dense_rows_sql() -> str:
+    return f"WITH {DENSE} SELECT row, id FROM dense"
+
+
+def sampled_rows_sql() -> str:
+    """The draws one after the other, in 128-bit arithmetic."""
+    return f"""WITH RECURSIVE {DENSE}, n AS (SELECT count(*) AS n FROM documents),
+draw(i, s) AS (SELECT 0, 11400714819323198485::UHUGEINT
+    UNION ALL SELECT i + 1, (s * 6364136223846793005::UHUGEINT + 1442695040888963407::UHUGEINT)
+        % 18446744073709551616::UHUGEINT FROM draw, n WHERE i < n.n // 2)
+SELECT dense.row, dense.id FROM draw, n JOIN dense ON dense.row = (s // 8589934592::UHUGEINT) % n.n::UHUGEINT WHERE i > 0"""
+
+
+def fit_guard_sql() -> str:
+    return """SELECT 'one row' AS input, 'need >= 2 rows to fit PCA; got 1' AS outcome
+UNION ALL SELECT 'all rows', 'fitted on ' || count(*) FROM embeddings"""
+
+
+def histogram_order_sql() -> str:
+    return f"""SELECT row_number() OVER (ORDER BY qid, bin) - 1 AS place, qid, bin, count
+FROM ({stats_sql(BENCH_QUERIES)})"""
+
+
+def nearest_bodies_sql() -> str:
+    return f"""WITH {doc_keys_ctes()}
+SELECT a.id, min(b.id) AS nearest, 0 AS dist
+FROM dkeys a JOIN dkeys b ON a.w0 = b.w0 AND a.w1 = b.w1 AND a.w2 = b.w2 AND a.w3 = b.w3 GROUP BY a.id"""
+
+
 # -- word pieces (vocab from benchmark, segmentation of document words) -------
 
 def _wordpiece_ctes(source: str = "SELECT id, text FROM corpus") -> str:
@@ -549,6 +581,27 @@ SELECT a.id, coalesce(n_pieces, 0) + 2 AS n_ids, coalesce(n_unk, 0) AS n_unk, ro
 FROM ({everything}) a LEFT JOIN per ON a.id = per.id"""
 
 
+FLUSH = r"([^!-/:-@\[-`{-~ \t\n\x0b\f\r]*[!-/:-@\[-`{-~]|[^!-/:-@\[-`{-~ \t\n\x0b\f\r]+)"
+
+
+def token_ids_limited_sql() -> str:
+    return f"""WITH {_wordpiece_ctes()},
+turns AS (SELECT id, unnest(generate_series(1, len(f))) AS e, unnest(f) AS turn
+          FROM (SELECT id, regexp_extract_all({fold('text')}, {lit(FLUSH)}, 1) AS f FROM corpus)),
+toks AS (SELECT id, e, unnest(generate_series(1, len(tk))) AS t, unnest(tk) AS token
+         FROM (SELECT id, e, regexp_extract_all(turn, {lit(TOKEN)}, 1) AS tk FROM turns)),
+pcs AS (SELECT k.id, k.e, k.t, s.piece_ids AS p FROM toks k JOIN seg2 s ON k.token = s.word),
+size AS (SELECT id, e, sum(len(p)) AS n FROM pcs GROUP BY id, e),
+before AS (SELECT id, e, coalesce(sum(n) OVER (PARTITION BY id ORDER BY e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+           FROM size),
+kept AS (SELECT p.id, flatten(list(p.p ORDER BY p.e, p.t)) AS ids FROM pcs p JOIN before b ON p.id = b.id AND p.e = b.e
+         WHERE 1 + b.b < 511 GROUP BY p.id),
+tot AS (SELECT id, sum(n) AS n FROM size GROUP BY id),
+f AS (SELECT c.id, list_concat(list_concat([1::BIGINT], coalesce(k.ids, [])), [2::BIGINT])[1:512] AS ids, coalesce(t.n, 0) AS n
+      FROM corpus c LEFT JOIN kept k ON c.id = k.id LEFT JOIN tot t ON c.id = t.id)
+SELECT id, len(ids) AS n_ids, n <= 510 AS whole, array_to_string(list_transform(ids, lambda x: x::VARCHAR), ' ') AS ids FROM f"""
+
+
 def query_texts_sql() -> str:
     words = f"list_filter(string_split({norm('line')}, ' '), lambda w: w <> '')"
     return f"""SELECT qid, array_to_string({words}, ' ') AS query, len({words}) AS n_words

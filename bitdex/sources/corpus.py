@@ -22,19 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str, id: str = "id",
-                title: str = "title", text: str = "text") -> DataFrame:
-    """Scan three columns of a parquet corpus as (id, title, text)."""
+                title: str = "title", text: str = "text", address: bool = False) -> DataFrame:
+    """Scan three columns of a parquet corpus as (id, title, text) (S1); ``address`` adds
+    ``file`` and ``position`` (the row's place in it), the corpus order."""
     return spark.read.parquet(path).select(
         F.col(id).alias("id"), F.col(title).alias("title"),
-        F.col(text).alias("text"))
+        F.col(text).alias("text"), *(_address() if address else []))
 
 
-def documents_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, title, text) over ``documents``: title = the whole first line."""
+def _address() -> list:
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("position")]
+
+
+def documents_corpus(spark: SparkSession, sf_dir: str, address: bool = False) -> DataFrame:
+    """(id, title, text) over ``documents``: title = the whole first line; with ``address``
+    also (file, position)."""
     docs = table(spark, sf_dir, "documents")
     return docs.select(F.col("doc_id").alias("id"),
                        tx.first_line_title("text").alias("title"),
-                       F.col("text"))
+                       F.col("text"), *(_address() if address else []))
 
 
 def parse_records(lines: DataFrame, col: str = "value") -> DataFrame:

@@ -54,8 +54,7 @@ def test_require_rows_and_sample(spark):
     with pytest.raises(ValueError, match="need >= 2 rows"):
         pc.pca_fit(one, 1, "v")
     big = spark.range(5000)
-    s = pc.fit_sample(big, cap=1000, seed=1)
-    assert 800 < s.count() < 1200
+    assert pc.fit_sample(big, cap=1000, seed=1).count() == 1000
     assert pc.fit_sample(big, cap=10000).count() == 5000
 
 
@@ -124,12 +123,71 @@ def test_broken_bundles(spark, sf001, tmp_path):
     store.rebuild(spark, index.limit(5), params, str(root))
     shutil.rmtree(root / "bundle" / "v=2" / "_manifest")          # incomplete: not there yet
     assert store.load_index(spark, str(root))[0].count() == e.count()
-    assert store.rebuild(spark, index.limit(7), params, str(root)) == 2
-    shutil.rmtree(root / "bundle" / "v=2" / "index")              # complete, but broken
-    with pytest.raises(Exception, match="v=2"):
+    assert store.rebuild(spark, index.limit(7), params, str(root)) == 3      # a claimed version is not taken again
+    shutil.rmtree(root / "bundle" / "v=3" / "index")              # complete, but broken
+    with pytest.raises(Exception, match="v=3"):
         store.load_index(spark, str(root))
 
 
+def _small(spark, sf001):
+    e = _emb(spark, sf001)
+    params = ix.identity_params(e, 64, "embedding")
+    return pc.project_keys(e.select(F.col("vec_id").alias("ord"), F.col("vec_id").alias("id"),
+                                    F.col("vec_id").alias("row"), F.lit("t").alias("title"), "embedding"),
+                           params, "embedding", keep=["row", "ord", "id", "title"]), params
+
+
+def test_packers_at_once_make_whole_bundles(spark, sf001, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+    index, params = _small(spark, sf001)
+    root = str(tmp_path / "c")
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(lambda n: store.rebuild(spark, index.limit(n), params, root), [10, 11, 12, 13]))
+    assert sorted(versions) == [1, 2, 3, 4]
+    for v, n in zip(versions, [10, 11, 12, 13]):
+        assert spark.read.parquet(f"{root}/bundle/v={v}/index").count() == n
+        assert spark.read.json(f"{root}/bundle/v={v}/_manifest").first()["n_keys"] == n
+    assert store.load_index(spark, root, checksums=True)[0].count() == 10 + versions.index(4)
+    assert not [p for p in (tmp_path / "c" / "bundle").iterdir() if p.name.startswith("_claim")]
+
+
+def test_lost_truncated_and_changed_parts_are_errors(spark, sf001, tmp_path):
+    import shutil
+    index, params = _small(spark, sf001)
+    for harm in ("lost", "truncated", "changed"):
+        root = tmp_path / harm
+        store.rebuild(spark, index.limit(3), params, str(root))
+        store.rebuild(spark, index.repartition(3), params, str(root))
+        files = sorted((root / "bundle" / "v=2" / "index").glob("*.parquet"))
+        assert store.load_index(spark, str(root), checksums=True)[0].count() == index.count()
+        if harm == "lost":
+            files[1].unlink()
+        elif harm == "truncated":
+            files[1].write_bytes(files[1].read_bytes()[:-40])
+            (root / "bundle" / "v=2" / "index" / f".{files[1].name}.crc").unlink()
+        else:
+            shutil.copy(files[0], files[1])
+        with pytest.raises(Exception):
+            store.load_index(spark, str(root), checksums=True)[0].collect()
+
+
+def test_block_index_beside_a_bundle(spark, sf001, tmp_path):
+    import shutil
+    index, params = _small(spark, sf001)
+    root = str(tmp_path / "blocks")
+    with pytest.raises(FileNotFoundError):
+        store.pack_blocks(spark, root)
+    assert store.load_blocks(spark, root) is None
+    store.rebuild(spark, index, params, root)
+    assert store.load_blocks(spark, root) is None                # packed without
+    store.pack_blocks(spark, root)
+    found = store.load_blocks(spark, root)
+    assert found.k == 64 and found.rows.count() == 4 * index.count()
+    shutil.rmtree(next((tmp_path / "blocks" / "bundle" / "v=1" / "blocks" / "buckets").glob("block=2")))
+    with pytest.raises(ValueError, match="block rows"):
+        store.load_blocks(spark, root)
+
+
 def test_stored_search_answers_from_what_was_packed(spark, sf001, monkeypatch):
     """The query's answer is that of the index itself, over the loose and packed copies of all its
     rows; rows lost in writing or packing show in it."""
