@@ -4,12 +4,17 @@
 2. Spark counts, for each host and hash, on how many *different* pages the subtree
    stands: copies of a page (same main text) count once, so a copied article is not
    a template, while a menu, footer or advert of many articles is.
-3. Subtrees on ``MIN_PAGES`` different pages of the host or more are deleted. Prose
-   (paragraphs, headings, quotes) and anything that holds over half of a page's text
-   is never deleted for recurring: a passage that many articles share stays.
+3. Subtrees on ``MIN_PAGES`` different pages of the host or more, and on ``HOST_SHARE`` of them, are
+   deleted, as long as the page keeps prose of its own (``OWN_PROSE`` characters); a page that
+   would not keeps the ones that hold over half of its text. Prose (paragraphs, headings, quotes) is
+   never deleted for recurring, so a passage that many articles share stays; only lines that
+   stand bare in the body, before or after everything else, go like other templates.
 4. Hosts with few pages give no counts, so elements that say what they are (nav, footer,
-   aside, form, script, class="ad", role="search" ...) go as well.
-5. Of what is left, the article (or main) element is the text; else the whole body.
+   aside, form, script, class="ad", role="search" ...) go as well. A class says so only if all
+   of its parts do ("cookie-notice", not "notice-of-award"), and an ambiguous one ("related",
+   "discussion") only if the element holds no section of text: a heading with more prose than links.
+5. Of what is left, the articles are the text, with the title and lead before the first one
+   where it stands; without articles the main element, else the whole body.
 
 Blocks keep page order and are joined by a blank line; white space inside a block
 becomes one blank; character references are decoded.
@@ -31,6 +36,8 @@ from .common import map_batches, row_key, table
 from .urls import host_of
 
 MIN_PAGES = 5
+HOST_SHARE = 0.01       # of a host's different pages
+OWN_PROSE = 40          # characters
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -66,22 +73,36 @@ DROP_NAMES = frozenset(
     "comments commentlist disqus respond discussion reply replies responses reactions footer foot footnav header masthead "
     "topbar toolbar skip search searchbox pagination pager paging copyright legal disclaimer paywall announcement "
     "announcements form forms feedback rating ratings".split())
-SOFT = frozenset("header banner foot form forms related legal discussion".split())   # not if they hold a heading
+SOFT = frozenset("header banner foot form forms related legal discussion respond responses notice notices disclaimer "
+                 "rating ratings reactions feedback".split())       # not if they hold a section of text
+NEUTRAL = frozenset(
+    "a area article b bar block body bottom box btn button c card col column container content cta d div e el element "
+    "entry f global group h head heading holder i icon id in inline inner item items js l label large layer layout left "
+    "link links list local m main md mini mobile module mt nav-item new o outer p page panel part post posts primary pt "
+    "q r region right row s secondary section set sf side single site slot small sm sticky strip t tab table text the "
+    "thread title top u unit user v view w wide wp wrap wrapper x xl y z".split())       # say nothing either way
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ASIDE_ARTICLES = frozenset("comment comments reply replies ad advert advertisement promo".split())
 
 
 class Node:
-    __slots__ = ("tag", "names", "role", "kids", "up", "hidden", "size", "hash")
+    __slots__ = ("tag", "names", "says", "role", "kids", "up", "hidden", "size", "links", "prose", "hash")
 
     def __init__(self, tag: str, up: "Node | None", attrs: str = "") -> None:
         self.tag, self.up, self.kids = tag, up, []
-        self.names: frozenset = frozenset()
-        self.role, self.hidden, self.size, self.hash = "", False, 0, 0
+        self.names: frozenset = frozenset()          # parts of class and id, for the subtree's hash
+        self.says: frozenset = frozenset()           # those of names that say boilerplate with all their parts
+        self.role, self.hidden = "", False
+        self.size = self.links = self.prose = self.hash = 0
         if attrs:
             got = {}
             for m in ATTR.finditer(attrs):
                 got.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-            self.names = frozenset(x.lower() for key in ("class", "id") for name in got.get(key, "").split()
-                                   if not ABOUT.match(name) for x in NAME_PART.findall(name))
+            named = [[x.lower() for x in NAME_PART.findall(name)] for key in ("class", "id")
+                     for name in got.get(key, "").split() if not ABOUT.match(name)]
+            self.names = frozenset(x for parts in named for x in parts)
+            self.says = frozenset(x for parts in named if all(x in DROP_NAMES or x in NEUTRAL for x in parts)
+                                  for x in parts if x in DROP_NAMES)
             self.role = got.get("role", "").lower()
             bare = re.sub(r"=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", "=", attrs).lower().split()
             self.hidden = "hidden" in bare or got.get("aria-hidden", "").lower() == "true" \
@@ -142,7 +163,8 @@ def parse(page: str) -> Node:
 
 
 def measure(root: Node) -> None:
-    """Subtree hashes and text sizes, children first; no recursion, trees may be deep."""
+    """Subtree hashes and sizes (all text, text of links, prose outside links), children first; no
+    recursion, trees may be deep."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -159,65 +181,96 @@ def measure(root: Node) -> None:
                 else:
                     digest.update(kid.hash.to_bytes(8, "big"))
                     size += kid.size
+                    node.links += kid.links
+                    node.prose += kid.prose
+        if node.tag == "a":
+            node.links = size
+        if node.tag in PROSE:
+            node.prose = size - node.links
         node.hash, node.size = digest.intdigest(), size
 
 
+def _aside(article: Node) -> bool:
+    return bool(article.says & ASIDE_ARTICLES)
+
+
 def _holds(node: Node, tags: frozenset) -> bool:
+    """Whether one of the elements is inside; articles that are comments or adverts don't count."""
     todo = [node]
     while todo:
         x = todo.pop()
-        if x.tag in tags:
+        if x.tag in tags and not (x.tag == "article" and _aside(x)):
             return True
         todo.extend(k for k in x.kids if not isinstance(k, str))
     return False
 
 
+def _section_of_text(node: Node) -> bool:
+    text = sum(x.prose for x in walk(node) if x.tag in PROSE and x.tag not in HEADINGS)
+    return text > node.links and _holds(node, HEADINGS)
+
+
 def says_boilerplate(node: Node) -> bool:
     """Whether the element itself says that it isn't main text."""
     if node.tag in DROP or node.hidden or node.role in DROP_ROLES:
         return True
     if node.tag in ("html", "body", "main"):
         return False
-    inside = node.up
-    while inside is not None and inside.tag not in ("article", "main"):
-        inside = inside.up
     if node.tag == "header":
+        inside = node.up
+        while inside is not None and inside.tag not in ("article", "main"):
+            inside = inside.up
         return inside is None and not _holds(node, frozenset(["article", "main", "h1"]))
-    named = node.names & DROP_NAMES
-    if not named or node.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
+    if not node.says or node.tag in HEADINGS:
         return False
     if node.tag == "article":
-        return bool(named & {"comment", "comments", "reply", "ad", "advert", "advertisement", "promo"})
-    return not _holds(node, frozenset(["article", "main", "h1"] if named <= SOFT else ["article", "main"]))
+        return _aside(node)
+    if _holds(node, frozenset(["article", "main"])):
+        return False
+    return not (node.says <= SOFT and _section_of_text(node))
 
 
-def region(root: Node, gone: set[int]) -> Node:
-    """The main or article element that holds most text, innermost if nested; else all."""
-    best, todo = None, [root]
-    found: list[Node] = []
+def region(root: Node, gone: set[int]) -> list[Node]:
+    """The parts of the main text in page order: articles with what introduces the first one, else the
+    main element that holds most text, else all."""
+    articles: list[Node] = []
+    mains: list[Node] = []
+    todo = [root]
     while todo:
         node = todo.pop()
         if id(node) in gone:
             continue
-        if node.tag in ("article", "main") or node.role in ("main", "article"):
-            found.append(node)
-        todo.extend(k for k in node.kids if not isinstance(k, str))
-    articles = [n for n in found if n.tag == "article" or n.role == "article"]
-    for node in articles or found:
-        if best is None or node.size > best.size:
-            best = node
-    if best is None or best.size == 0:
-        return root
-    up = best.up
-    while up is not None:                   # an article inside an article is a part of it
-        if up in articles:
-            best = up
-        up = up.up
-    return best
-
-
-def blocks(top: Node, gone: set[int]) -> list[str]:
-    """Texts of the blocks in page order, without what is gone."""
+        if (node.tag == "article" or node.role == "article") and node.size:
+            articles.append(node)                # an article inside an article is a part of it
+            continue
+        if (node.tag == "main" or node.role == "main") and node.size:
+            mains.append(node)
+        todo.extend(k for k in reversed(node.kids) if not isinstance(k, str))
+    if articles:
+        return _lead(articles[0], gone) + articles
+    return [max(mains, key=lambda n: n.size)] if mains else [root]
+
+
+def _lead(article: Node, gone: set[int]) -> list[Node]:
+    """Title and lead that stand before an article: prose and headers beside it, and beside what
+    holds it inside a main element."""
+    out: list[Node] = []
+    node, inside = article, article.up
+    while inside is not None and inside.tag not in ("body", "html"):
+        before = inside.kids[:next(i for i, k in enumerate(inside.kids) if k is node)]
+        out = [k for k in before if not isinstance(k, str) and id(k) not in gone
+               and (k.tag in PROSE or k.tag in ("header", "hgroup") or (
+                   k.tag == "div" and _holds(k, HEADINGS) and 2 * k.links < k.size))] + out
+        if inside.tag == "main" or inside.role == "main":
+            return out
+        node, inside = inside, inside.up
+    before = article.up.kids[:next(i for i, k in enumerate(article.up.kids) if k is article)] if article.up else []
+    return [k for k in before if not isinstance(k, str) and id(k) not in gone
+            and (k.tag in HEADINGS or k.tag in ("header", "hgroup") and _holds(k, HEADINGS))]
+
+
+def blocks(tops: list[Node], gone: set[int]) -> list[str]:
+    """Texts of the blocks of some elements in page order, without what is gone."""
     out: list[str] = []
     now: list[str] = []
 
@@ -227,7 +280,7 @@ def blocks(top: Node, gone: set[int]) -> list[str]:
             out.append(text)
         now.clear()
 
-    todo: list = [top]
+    todo: list = [x for top in reversed(tops) for x in (flush, top)]
     while todo:
         x = todo.pop()
         if x is flush:
@@ -256,21 +309,63 @@ def walk(root: Node) -> Iterator[Node]:
         todo.extend(k for k in reversed(node.kids) if not isinstance(k, str))
 
 
+def _bare(root: Node) -> list[Node]:
+    """Prose elements that stand in the body itself."""
+    body = next((k for k in root.kids if not isinstance(k, str) and k.tag == "body"), root)
+    return [k for k in body.kids if not isinstance(k, str) and k.tag in PROSE and k.size]
+
+
+def _edges(root: Node, gone: set[int], templates: frozenset[int]) -> set[int]:
+    """Bare lines that recur, before or after everything that doesn't."""
+    bare = {id(n) for n in _bare(root)}
+    if not bare:
+        return set()
+    body = next((k for k in root.kids if not isinstance(k, str) and k.tag == "body"), root)
+    kids = [k for k in body.kids if (k.strip() if isinstance(k, str) else k.size and id(k) not in gone)]
+    out: set[int] = set()
+    for order in (kids, kids[::-1]):
+        for k in order:
+            if isinstance(k, str) or id(k) not in bare or k.hash not in templates:
+                break
+            out.add(id(k))
+    return out if len(out) < len(kids) else set()
+
+
 def read(page: str, templates: frozenset[int] = frozenset()):
-    """(tree, ids of what is gone, main region, how many subtrees went as templates)."""
+    """(tree, ids of what is gone, parts of the main text, how many subtrees went as templates)."""
     root = parse(page)
     measure(root)
-    said = {id(n): n for n in walk(root) if says_boilerplate(n)}
-    main = region(root, set(said))
-    protected = set()
-    up: Node | None = main
-    while up is not None:
-        protected.add(id(up))
-        up = up.up
-    recurring = {id(n) for n in walk(root) if n.hash in templates and n.tag in CONTAINER
-                 and id(n) not in protected and 2 * n.size <= main.size}
-    deleted = {id(n) for n in walk(root) if n.hash in templates and (id(n) in recurring or id(n) in said)}
-    return root, set(said) | recurring, main, len(deleted)
+    said = {id(n) for n in walk(root) if says_boilerplate(n)}
+    main = region(root, said)
+    protected = {id(n) for n in main}
+    for up in main:
+        while up is not None:
+            protected.add(id(up))
+            up = up.up
+    again = [n for n in walk(root) if n.hash in templates and n.tag in CONTAINER and id(n) not in protected
+             and id(n) not in said] if templates else []
+    recurring = {id(n) for n in again}
+    own = _own_prose(main, said | recurring)
+    size = sum(n.size for n in main)
+    if own < OWN_PROSE:
+        recurring = {id(n) for n in again if 2 * n.size <= size}
+    if templates:
+        recurring |= _edges(root, said | recurring, templates)
+    deleted = sum(n.hash in templates and (id(n) in recurring or id(n) in said) for n in walk(root)) if templates else 0
+    return root, said | recurring, main, deleted
+
+
+def _own_prose(main: list[Node], gone: set[int]) -> int:
+    """Characters of prose outside links in what is left."""
+    total, todo = 0, list(main)
+    while todo:
+        x = todo.pop()
+        if id(x) not in gone:
+            if x.tag in PROSE:
+                total += x.prose
+            else:
+                todo.extend(k for k in x.kids if not isinstance(k, str))
+    return total
 
 
 def signed(h: int) -> int:
@@ -286,7 +381,8 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             root, gone, main, _ = read(page)
             text = xxhash.xxh64_intdigest("\n".join(blocks(main, gone)).encode("utf-8", "replace"))
-            found = {n.hash for n in walk(root) if n.tag in CONTAINER and n.size and n is not main}
+            found = {n.hash for n in walk(root) if n.tag in CONTAINER and n.size and n not in main}
+            found |= {n.hash for n in _bare(root)}
             keys += [key] * len(found)
             hosts += [host] * len(found)
             hashes += [signed(h) for h in found]
@@ -316,12 +412,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=[batch.schema.names[i] for i in keep] + ["text", "n_chars", "n_blocks", "n_templates"])
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = HOST_SHARE) -> DataFrame:
     """(rk, subtree) of each page's subtrees that recur on ``min_pages`` different pages of
-    its host. ``pages``: (rk, host, html)."""
+    its host, and on a ``share`` of them. ``pages``: (rk, host, html)."""
     found = cut_lineage(pages.transform(map_batches, _subtrees, "rk long, host string, subtree long, main long"), "subtrees")
+    hosts = found.select("host", "main").distinct().groupBy("host").agg(F.count("*").alias("pages"))
     often = (found.select("host", "subtree", "main").distinct().groupBy("host", "subtree")
-             .agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("host", "subtree"))
+             .agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).join(hosts, "host")
+             .filter(F.col("n") >= share * F.col("pages")).select("host", "subtree"))
     return found.select("rk", "host", "subtree").join(often, ["host", "subtree"]).select("rk", "subtree")
 
 

@@ -33,6 +33,66 @@ def test_broken_markup():
     assert one("<div>" * 3000 + "deep" + "</div>" * 3000) == ["deep"]
 
 
+def test_reader_comments_go_with_their_heading():
+    assert one("<article><h1>T</h1><p>Text.</p><section class=comments><h3>Comments (2)</h3><p>2 so far</p>"
+               "<article class=comment><p>Nice</p></article><article class='comment reply'>Me too</article></section></article>") == ["T", "Text."]
+    assert one("<body><article><p>Text.</p></article><div id=comments><article class=comment>Nice</article></div>") == ["Text."]
+
+
+def test_title_lead_and_sibling_articles_stay():
+    assert one("<main><h1>Title</h1><p>Lead</p><article><p>Body</p></article></main>") == ["Title", "Lead", "Body"]
+    assert one("<main><header><h1>Title</h1></header><div><p>Lead</p><article><p>Body</p></article></div></main>") == ["Title", "Lead", "Body"]
+    assert one("<body><h1>Title</h1><nav>n</nav><article><p>Body</p></article><div>foot</div>") == ["Title", "Body"]
+    assert one("<body><article><p>A short one</p></article><div>between</div><article><p>A longer second one</p></article>") == \
+        ["A short one", "A longer second one"]
+    assert one("<article><p>Outer</p><article><p>Inner is much longer</p></article></article>") == ["Outer", "Inner is much longer"]
+
+
+def test_a_class_is_a_weak_vote():
+    for name in ("related-work", "discussion", "notice-of-award", "legal-basis", "form-factor", "responses"):
+        assert one(f"<article><p>Start</p><section class='{name}'><h2>Head</h2><p>Some prose, <a>one link</a>.</p></section></article>") == \
+            ["Start", "Head", "Some prose, one link."], name
+    for name in ("related", "cookie-notice", "post-sidebar", "adBox", "newsletter-form", "share buttons"):
+        assert one(f"<article><p>Start</p><div class='{name}'><h2>More</h2><ul><li><a>One thing</a><li><a>Two things</a></ul></div></article>") == \
+            ["Start"], name
+
+
+def host_of_pages(foot, lead=""):
+    own = ["A short text of page number {}, which is its own.", "Another one is on page {}, and it differs as well."]
+    return [(i, f"http://h.example/{i}", "<html><body>" + lead + "<div id='c'>" + "".join(f"<p>{p.format(i)}</p>" for p in own)
+             + "<p>A passage that all share.</p></div>" + foot + "</body></html>") for i in range(7)]
+
+
+def test_long_feet_and_bare_lines_are_templates(spark):
+    long = "<div class='x1'>" + "<a>Imprint and all that belongs to it</a> Every page has this long foot. " * 20 + "</div>"
+    bare = "<p>Call us now</p>"
+    for foot, lead in ((long, ""), (bare, ""), (long + bare, bare), ("", bare)):
+        rows = host_of_pages(foot, lead)
+        df = spark.createDataFrame(rows, "page_id long, url string, html string")
+        for r in html.main_texts(df).collect():
+            i = r.page_id
+            assert r.text == (f"A short text of page number {i}, which is its own.\n\nAnother one is on page {i}, and it differs as well."
+                              "\n\nA passage that all share."), (foot, lead)
+            assert r.n_templates >= 1
+
+
+def test_pages_that_differ_in_a_date_keep_their_text(spark):
+    text = "<div id='c'><p>" + "The same article under several dates. " * 5 + "</p></div>"
+    rows = [(i, f"http://h.example/{i}", f"<html><body>{text}<span>day {i}</span></body></html>") for i in range(7)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert all("The same article" in r.text for r in html.main_texts(df).collect())
+
+
+def test_the_threshold_follows_the_host(spark):
+    """5 of 1,000 pages are no template; 20 are."""
+    rows = [(i, "http://h.example/x", f"<html><body><div id=c><p>Page number {i} has a sentence of its own here.</p></div>"
+             + ("<div class=q>few pages</div>" if i < 5 else "<div class=r>more pages</div>" if i < 25 else "") + "</body></html>")
+            for i in range(1000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html.main_texts(df).collect()}
+    assert all("few pages" in got[i] for i in range(5)) and not any("more pages" in got[i] for i in range(5, 25))
+
+
 def test_templates_need_different_pages(spark):
     shared = "A passage that many articles share stays where it is."
     rows = [(i, f"http://h.example/{i}", f"<html><body><div id='c'><p>Text {i} of its own</p><p>{shared}</p>"
