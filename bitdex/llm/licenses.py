@@ -174,18 +174,79 @@ def _blanks(text: Column) -> Column:
     return F.length(text) - F.length(F.translate(text, " ", ""))
 
 
+RUN = 128                    # elements whose results are gathered in one array at a time
+
+
+def _running(items: Column, state: Column, step, emit, kind: str) -> Column:
+    """``emit(state, x)`` of each element in turn, where ``step(state, x)`` is the next state. Results are
+    gathered by runs of elements, so the work grows with their number, not its square."""
+    def one(acc, x):
+        return F.struct(step(acc["s"], x).alias("s"), F.concat(acc["v"], F.array(emit(acc["s"], x))).alias("v"))
+
+    def run(acc, b):
+        part = F.aggregate(F.slice(items, b * RUN + 1, F.lit(RUN)),
+                           F.struct(acc["s"].alias("s"), F.array().cast(f"array<{kind}>").alias("v")), one)
+        return F.element_at(F.transform(F.array(part), lambda r: F.struct(      # once
+            r["s"].alias("s"), F.concat(acc["v"], F.array(r["v"])).alias("v"))), 1)
+
+    runs = F.sequence(F.lit(0), ((F.size(items) - 1) / RUN).cast("int"))
+    start = F.struct(state.alias("s"), F.array().cast(f"array<array<{kind}>>").alias("v"))
+    return F.when(F.size(items) > 0, F.aggregate(runs, start, run, lambda acc: F.flatten(acc["v"]))).otherwise(
+        F.array().cast(f"array<{kind}>"))
+
+
 def _matches(words: Column, rule: Column) -> Column:
     """Intervals [start, end) of words, one for each match of ``rule`` in ``words``
     (each word with a blank before it, and one at the end)."""
     found = F.regexp_extract_all(words, rule["pattern"], F.lit(0))
     gaps = F.slice(F.split(words, rule["pattern"], F.lit(-1)), F.lit(1), F.size(found))
     lengths = F.zip_with(gaps, found, lambda g, f: F.struct(_blanks(g).alias("g"), _blanks(f).alias("f")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int>>").alias("all"))
-    return F.aggregate(lengths, start, lambda acc, x: F.struct(
-        (acc["at"] + x["g"] + x["f"]).alias("at"),
-        F.concat(acc["all"], F.array(F.struct((acc["at"] + x["g"]).alias("s"),
-                                              (acc["at"] + x["g"] + x["f"]).alias("e")))).alias("all")),
-        lambda acc: acc["all"])
+    return F.element_at(F.transform(F.array(lengths), lambda all_: _running(
+        all_, F.lit(0), lambda at, x: at + x["g"] + x["f"],
+        lambda at, x: F.struct((at + x["g"]).alias("s"), (at + x["g"] + x["f"]).alias("e")), "struct<s:int,e:int>")), 1)
+
+
+MATCH = "s:int,e:int,label:string,priority:int,base:boolean"
+
+
+def _suppressed(found: Column, rules: Sequence[Rule]) -> Column:
+    """Matches with ``kept``: false where one of higher priority, or a longer one of the same, contains the
+    match. One sweep from left to right, longer ones first: the state is the furthest end so far
+    for each priority, of matches that start before this one (``far``) and with it (``here``)."""
+    levels = sorted({r.priority for r in rules})
+    level = F.array(*[F.lit(p) for p in levels])
+    order = F.array_sort(F.transform(found, lambda d: F.struct(
+        d["s"].alias("s"), (-d["e"]).alias("_e"), (-d["priority"]).alias("_p"), d.alias("d"))))
+    none = F.array_repeat(F.lit(0), len(levels))
+    start = F.struct(F.lit(-1).alias("s"), none.alias("far"), none.alias("here"))
+
+    def moved(state, d):
+        """The state as the match finds it."""
+        new = state["s"] != d["s"]
+        return F.struct(d["s"].alias("s"),
+                        F.when(new, F.zip_with(state["far"], state["here"], lambda a, b: F.greatest(a, b))).otherwise(state["far"]).alias("far"),
+                        F.when(new, none).otherwise(state["here"]).alias("here"))
+
+    def step(state, x):
+        d = x["d"]
+        return F.element_at(F.transform(F.array(moved(state, d)), lambda m: F.struct(
+            m["s"].alias("s"), m["far"].alias("far"),
+            F.zip_with(m["here"], level, lambda h, p: F.when(p == d["priority"], F.greatest(h, d["e"])).otherwise(h)).alias("here"))), 1)
+
+    def emit(state, x):
+        d = x["d"]
+
+        def inside(m):
+            reach = F.zip_with(level, F.zip_with(m["far"], m["here"], lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
+                               lambda p, r: ((p > d["priority"]) & (F.greatest(r["a"], r["b"]) >= d["e"]))
+                               | ((p == d["priority"]) & ((r["a"] >= d["e"]) | (r["b"] > d["e"]))))
+            return F.exists(reach, lambda r: r)
+        covered = F.element_at(F.transform(F.array(moved(state, d)), inside), 1)
+        return F.struct(d["s"].alias("s"), d["e"].alias("e"), d["label"].alias("label"),
+                        d["priority"].alias("priority"), d["base"].alias("base"), (~covered).alias("kept"))
+
+    return F.element_at(F.transform(F.array(order), lambda all_: _running(
+        all_, start, step, emit, f"struct<{MATCH},kept:boolean>")), 1)
 
 
 def scan(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -212,14 +273,10 @@ def scan(docs: DataFrame, text: str = "text", rules: Sequence[Rule] = RULES) ->
         lambda r: F.transform(_matches(F.col("_norm"), r), lambda x: F.struct(
             x["s"].alias("s"), x["e"].alias("e"), r["label"].alias("label"),
             r["priority"].alias("priority"), r["base"].alias("base")))))
-    none = F.array().cast("array<struct<s:int,e:int,label:string,priority:int,base:boolean>>")
+    none = F.array().cast(f"array<struct<{MATCH}>>")
     out = out.withColumn("_all", F.when(F.size("_gates") > 0, found).otherwise(none))
-    kept = F.transform("_all", lambda d: F.struct(
-        d["s"].alias("s"), d["e"].alias("e"), d["label"].alias("label"),
-        d["priority"].alias("priority"), d["base"].alias("base"),
-        (~F.exists("_all", lambda o: (o["s"] <= d["s"]) & (o["e"] >= d["e"]) & (
-            (o["priority"] > d["priority"])
-            | ((o["priority"] == d["priority"]) & (o["e"] - o["s"] > d["e"] - d["s"]))))).alias("kept")))
+    nothing = F.array().cast(f"array<struct<{MATCH},kept:boolean>>")
+    kept = F.when(F.size("_all") > 0, _suppressed(F.col("_all"), rules)).otherwise(nothing)
     return out.withColumn("_found", kept).drop("_norm", "_words", "_gates", "_all")
 
 
