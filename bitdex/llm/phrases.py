@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import cut_by, map_batches, table
+from .common import BROADCAST_KEYS, cut_by, map_batches, table
 from .words import MULT, _LOWER, _hash_words, mix
 
 THRESHOLD = 10               # occurrences from which a phrase counts
@@ -315,6 +315,9 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", thresh
     w = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"))
     last = (scored.select("lang", "score", "a").withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= top)
             .groupBy("lang").agg(F.min(F.struct("score", "a")).alias("_last")))
+    last = cut_lineage(last, "last")
+    if last.count() <= BROADCAST_KEYS:        # one row for each language; else both sides are dealt by it
+        last = F.broadcast(last)
     named = scored.join(last, "lang").filter(F.struct("score", "a") >= F.col("_last"))
     for i, k in enumerate(keys[1:], 2):
         named = named.join(words.select(F.col("k1").alias(k), F.col("word").alias(f"w{i}")), k, "left")
