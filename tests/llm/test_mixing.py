@@ -41,9 +41,15 @@ def test_nulls_ties_and_empty(spark):
     assert mixing.mixed(spark.createDataFrame([], schema)).collect() == []
 
 
-def test_targets_share_the_excess_again():
-    got = mixing.source_targets({"a": 10, "b": 1000, "c": 100}, {"a": 3, "b": 1, "c": 2}, 1665, 2)
+def test_targets_share_the_excess_again(spark):
+    rows = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 100)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.source_targets(rows, 1665, (3.0, 1.0, 2.0), 2).collect()}
     assert got["a"] == 20 and got["c"] == 200 and got["b"] == pytest.approx(1445)
+    rows = spark.createDataFrame([(None, 10), ("\U0001F600", 5), ("\uFFFD", 7)], "source string, source_size long")
+    got = {r.source: r.target for r in mixing.source_targets(rows, 1e9, (3.0, 1.0, 2.0), 2).collect()}
+    assert got == {"\uFFFD": 14, "\U0001F600": 10, None: 20}                 # all full
+    got = {r.source: r.target for r in mixing.source_targets(rows, 6, (3.0, 1.0, 2.0), 2).collect()}
+    assert got == {"\uFFFD": 3, "\U0001F600": 1, None: 2}                     # by code point, null last
 
 
 def test_flow_takes_unrepeated_words_first():
@@ -55,17 +61,58 @@ def test_flow_takes_unrepeated_words_first():
                                               {("a",): 30, ("a", "b"): 30, ("b",): 10}.items())
 
 
+def brute_cost(patterns, targets, repeats):
+    """(most words, least cost) over all flows, by trying each pattern's amounts."""
+    import itertools
+    names = list(patterns)
+    best = (0, 0)
+    for amounts in itertools.product(*[range(repeats * patterns[p] + 1) for p in names]):
+        # can the amounts be sent to the sources? (Hall's condition over sets of sources)
+        ends = sorted(targets)
+        if any(sum(a for a, p in zip(amounts, names) if set(p) <= set(group)) > sum(targets[s] for s in group)
+               for k in range(1, len(ends) + 1) for group in itertools.combinations(ends, k)):
+            continue
+        cost = sum(max(0, a - e * patterns[p]) for a, p in zip(amounts, names) for e in range(1, repeats))
+        best = min(best, (-sum(amounts), cost))
+    return best
+
+
+def test_flow_against_brute_force():
+    import random
+    rnd = random.Random(8)
+    for _ in range(60):
+        sources = ["a", "b", "c"][:rnd.randrange(1, 4)]
+        patterns = {tuple(sorted(rnd.sample(sources, rnd.randrange(1, len(sources) + 1)))): rnd.randrange(1, 4)
+                    for _ in range(rnd.randrange(1, 4))}
+        targets = {s: rnd.randrange(0, 7) for s in sources}
+        given = mixing.route(patterns, {s: targets[s] for s in targets}, 2)
+        cost = sum(max(0, given[p] - patterns[p]) for p in patterns)
+        assert (-sum(given.values()), cost) == brute_cost(patterns, targets, 2)
+
+
 def test_overlapping_sources(spark):
     rows = [(i, ["a"] if i % 3 else ["a", "b"], 10) for i in range(300)] + [(1000, [], 5)]
     df = spark.createDataFrame(rows, "doc_id long, s array<string>, size long")
-    out, sizes, targets = mixing.mix(df, "s", "size", share=0.5)
+    out, targets = mixing.mix(df, "s", "size", share=0.5)
     taken = {r.doc_id: r.taken for r in out.collect()}
-    assert sizes == {"a": 3000, "b": 1000}
-    assert sum(taken.values()) == pytest.approx(sum(targets.values()), abs=4)
+    targets = {r.source: r for r in targets.collect()}
+    assert {s: r.source_size for s, r in targets.items()} == {"a": 3000, "b": 1000}
+    assert sum(taken.values()) == pytest.approx(sum(r.target for r in targets.values()), abs=4)
     assert taken[1000] == 0 and max(taken.values()) <= 10
 
 
-def test_too_many_patterns(spark):
-    df = spark.createDataFrame([(i, [str(i)], 1) for i in range(5)], "doc_id long, s array<string>, size long")
-    with pytest.raises(ValueError):
-        mixing.mix(df, "s", "size", max_patterns=3)
+def test_many_sources_and_connected_patterns(spark):
+    """Every document a source of its own; and chains of overlapping sources, each a network."""
+    rows = [(i, [f"h{i:05d}"], 3 + i % 5) for i in range(3000)]
+    rows += [(10_000 + 3 * i + j, s, 10) for i in range(40)
+             for j, s in enumerate(([f"x{i}"], [f"x{i}", f"y{i}"], [f"y{i}", None] if i == 0 else [f"y{i}"]))]
+    df = spark.createDataFrame(rows, "doc_id long, s array<string>, size long")
+    out, targets = mixing.mix(df, "s", "size")
+    want = {r.source: r for r in targets.collect()}
+    assert len(want) == 3081
+    taken = {r.doc_id: r.taken for r in out.collect()}
+    for i, (h,), n in rows[:3000]:
+        assert abs(taken[i] - min(want[h].target, 2 * n)) < 1
+    for i in range(1, 40):
+        sent = sum(taken[10_000 + 3 * i + j] for j in range(3))
+        assert abs(sent - min(60, want[f"x{i}"].target + want[f"y{i}"].target)) <= 3
