@@ -186,29 +186,31 @@ def knn_indexed(index: DataFrame, buckets: Buckets, qkeys: DataFrame, top: int =
     n = int(array[0].sum())
     sizes = spark.sparkContext.broadcast(array)
     active = numbered.select("q", *kx.word_cols(k))
-    best = spark.createDataFrame([], "q long, row long, ord long, dist int")
+    best = spark.createDataFrame([], "q long, row long, ord long, dist int, rank int")
     done, scanned, report = [], [], []
     for level in range(BITS + 1):
         priced = cut_lineage(_priced(active, k, sizes, level), "priced")
-        far = priced.filter(F.col("meets") > share * n)
-        scanned.append(far.select("q"))
-        asking = priced.filter(F.col("meets") <= share * n)
-        size = asking.agg(F.count("*").alias("n"), F.sum("probes").alias("p"), F.sum("meets").alias("meets")).first()
+        near = F.col("meets") <= share * n
+        size = priced.agg(F.count_if(near).alias("n"), F.sum(F.when(near, F.col("probes"))).alias("p"),
+                          F.sum(F.when(near, F.col("meets"))).alias("meets")).first()
+        scanned.append(priced.filter(~near).select("q"))
         if not size.n:
             break
-        groups = max(1, math.ceil(2 * (size.p or 0) / probes)) if (size.p or 0) > probes else 1
+        asking = priced.filter(near)
+        groups = max(1, math.ceil(2 * size.p / probes)) if (size.p or 0) > probes else 1
         part = F.pmod(F.xxhash64("q"), F.lit(groups))
-        found = [cut_lineage(_best(_met(buckets, _lookups(asking.filter(part == g), k, sizes, level), level), top)
-                             .select("q", "row", "ord", "dist"), "met") for g in range(groups)]
-        best = cut_lineage(_best(functools.reduce(DataFrame.unionByName, [best, *found]), top), "best")
-        settled = best.filter((F.col("rank") == top) & (F.col("dist") <= m * (level + 1) - 1)).select("q")
-        settled = cut_lineage(settled.join(asking.select("q"), "q", "left_semi"), "settled")
-        report.append((level, size.n, size.meets or 0, settled.count()))
-        done.append(best.join(settled, "q", "left_semi"))
-        active = cut_lineage(asking.select("q", *kx.word_cols(k)).join(settled, "q", "left_anti"), "active")
+        found = [_best(_met(buckets, _lookups(asking.filter(part == g) if groups > 1 else asking, k, sizes, level), level),
+                       top).select("q", "row", "ord", "dist") for g in range(groups)]
+        if groups > 1:
+            found = [cut_lineage(f, "met") for f in found]
+        found = functools.reduce(DataFrame.unionByName, found)
+        best = cut_lineage(_best(best.drop("rank").unionByName(found).join(asking.select("q"), "q", "left_semi"), top), "best")
+        full = best.filter((F.col("rank") == top) & (F.col("dist") <= m * (level + 1) - 1)).select("q")
+        report.append((level, size.n, size.meets or 0, full.count()))
+        done.append(best.join(full, "q", "left_semi"))
+        active = asking.select("q", *kx.word_cols(k)).join(full, "q", "left_anti")
         if level == BITS:                                  # all keys were met: there are less than ``top``
             done.append(best.join(active.select("q"), "q", "left_semi"))
-        best = best.drop("rank")
     rest = functools.reduce(DataFrame.unionByName, scanned)
     rest = cut_lineage(numbered.join(rest, "q", "left_semi"), "rest")
     left = rest.count()

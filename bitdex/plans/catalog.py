@@ -24,6 +24,7 @@ from ..operators import multi_index as mi
 from ..operators import ordinals as od
 from ..operators import pca as pc
 from ..operators import search as sr
+from ..operators import subspace as ss
 from ..operators import tokens as tk
 from ..operators import units as un
 from ..operators import wordpiece as wp
@@ -418,6 +419,14 @@ def pca_variance(spark, sf):
                     F.round("cumulative", 6).alias("cumulative"))
 
 
+def pca_subspace(spark, sf):
+    """``pca_variance`` by the block method for wide vectors (A3, A4)."""
+    params = ss.pca_subspace(_emb(spark, sf), PK, "embedding")
+    v = pc.explained_variance_table(spark, params)
+    return v.select("component", F.round("explained_variance", 6).alias("explained_variance"),
+                    F.round("cumulative", 6).alias("cumulative"))
+
+
 def pca_search(spark, sf):
     index, params = _pca_index(spark, sf)
     hits = sr.knn(index, _label_queries(spark, sf, params), PK, TOP)
@@ -531,6 +540,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pca_checks": pca_checks,
     "pca_keys": pca_keys,
     "pca_variance": pca_variance,
+    "pca_subspace": pca_subspace,
     "pca_search": pca_search,
     "pca_stats": pca_stats,
     "dim_mean": dim_mean,
@@ -581,6 +591,7 @@ ORACLE: dict[str, str] = {
     "pca_checks": oq.pca_checks_sql(),
     "pca_keys": oq.pca_keys_sql(),
     "pca_variance": oq.pca_variance_sql(),
+    "pca_subspace": oq.pca_variance_sql(),
     "pca_search": oq.pca_search_sql(),
     "pca_stats": oq.pca_stats_sql(),
     "doc_means": oq.doc_means_sql(),

@@ -4,7 +4,8 @@ Layout under an index directory ``root``:
 
 * loose tables: ``root/index`` (row, ord, id, title, w0..) and ``root/params``
   (one row: dim, k, n_fit, mean, components, explained_variance);
-* packed bundles: ``root/bundle/v=<n>/{_claim,index,params,_manifest}``;
+* packed bundles: ``root/bundle/v=<n>/{_claim,index,params,_manifest}``, the index in
+  folders by ranges of rows;
 * the block index of a bundle (``multi_index``), if asked for:
   ``root/bundle/v=<n>/blocks/{buckets,bucket_sizes,_manifest}``.
 
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys as kx
 from ..operators import multi_index as mi
+from ..operators import search as sr
 from ..operators.pca import PcaParams
 
 
@@ -112,7 +114,11 @@ def _write_bundle(index: DataFrame, params: PcaParams, root: str) -> int:
         raise ValueError(f"index lacks key columns {missing}")
     v = _claim(spark, root)
     base = f"{root}/bundle/v={v}"
-    index.write.parquet(f"{base}/index")
+    if "row" in index.columns:              # searches read all folders, hits only those of their rows
+        index = index.drop(sr.RANGE).withColumn(sr.RANGE, sr.range_of("row"))
+        index.write.partitionBy(sr.RANGE).parquet(f"{base}/index")
+    else:
+        index.write.parquet(f"{base}/index")
     params.to_df(spark).coalesce(1).write.parquet(f"{base}/params")
     n_keys, index_sum = _sums(spark.read.parquet(f"{base}/index"))
     _, params_sum = _sums(spark.read.parquet(f"{base}/params"))
