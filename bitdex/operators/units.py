@@ -157,6 +157,16 @@ def budget_units(ranked: DataFrame, cap: int = tx.DEFAULT_CAP,
             .drop("running"))
 
 
+def chosen_units(scored: DataFrame, cap: int = tx.DEFAULT_CAP, unit: str = "unit") -> DataFrame:
+    """The units of ``scored`` that W1 and W2 choose, for articles of any number of units. A unit costs 2
+    at least (one character and one more), so none past rank ``cap // 2 + 1`` fits: each task sends only its
+    best that many of an article (a group limit below the shuffle, up to ranks of
+    ``spark.sql.optimizer.windowGroupLimitThreshold``), and the running sum stops there."""
+    cost = F.length(unit) >= 1
+    ranked = rank_units(scored.filter(cost)).filter(F.col("rank") <= cap // 2 + 1)
+    return budget_units(ranked, cap, unit)
+
+
 def restore_order(chosen: DataFrame, cap: int = tx.DEFAULT_CAP,
                   unit: str = "unit") -> DataFrame:
     """(id, body): chosen units in document order joined by a space, then

@@ -188,8 +188,9 @@ def unit_scores(spark, sf):
 
 
 def extracted_bodies(spark, sf):
-    """W2 + T2 table forms over the scored units of long articles."""
-    chosen = un.budget_units(_ranked(spark, sf), tx.DEFAULT_CAP)
+    """W1 + W2 + T2 table forms over the scored units of long articles."""
+    vecs = un.worklist_vectors(_corpus(spark, sf), _encoder())
+    chosen = un.chosen_units(un.score_units(vecs), tx.DEFAULT_CAP)
     return un.restore_order(chosen, tx.DEFAULT_CAP)
 
 

@@ -81,3 +81,21 @@ def test_worklist_and_window_forms(spark):
     corpus = spark.createDataFrame([(1, None, "Aa one. Bb two. Cc three. Dd four."), (2, "t", "short")], SCHEMA)
     got = sorted(map(tuple, un.extraction_worklist(corpus, long=20).collect()))
     assert got == [(1, -1, "article"), (1, 0, "Aa one."), (1, 1, "Bb two."), (1, 2, "Cc three."), (1, 3, "Dd four.")]
+
+
+def test_one_huge_article(spark):
+    """100,000 units of one article over 20 partitions: each task sends its best few, and the choice is that of the
+    whole ranking."""
+    scored = spark.range(100_000, numPartitions=20).select(
+        F.lit(1).alias("id"), F.col("id").cast("int").alias("pos"),
+        F.concat(F.lit("unit "), F.col("id").cast("string")).alias("unit"),
+        (F.pmod(F.xxhash64("id"), F.lit(5000)) / 5000.0).alias("score"))
+    few = spark.createDataFrame([(2, 0, "a" * 2000, 0.1), (2, 1, "bb", 0.05), (3, 0, "c", 0.9), (3, 1, "", 0.8)],
+                                "id int, pos int, unit string, score double")
+    scored = scored.unionByName(few)
+    got = un.chosen_units(scored, 1200)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+    want = un.budget_units(un.rank_units(scored.filter("unit <> ''")), 1200)
+    key = lambda df: sorted((r.id, r.pos, r["rank"]) for r in df.collect())          # noqa: E731
+    assert key(got) == key(want)
+    assert [r for r in key(got) if r[0] > 1] == [(2, 0, 1), (3, 0, 1)]
