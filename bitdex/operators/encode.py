@@ -264,6 +264,57 @@ def embed(df: DataFrame, text_col: str, out_col: str = "vec", encoder=None,
     return df.withColumn(out_col, encode_col(text_col, encoder, mode))
 
 
+class SumsEncoder:
+    """The token sums of a hash-pool encoder, before they are normalised, as an encoder."""
+
+    def __init__(self, encoder: HashPoolEncoder):
+        self.encoder, self.dim = encoder, encoder.dim
+
+    def encode_batch(self, texts: list[str]) -> np.ndarray:
+        return self.encoder.sums_batch(texts)
+
+
+BATCH_TOKENS = 32_768        # of a batch, each text counted as long as the longest
+WITHIN = 0.1                 # by how much the longest text of a batch may exceed the shortest
+
+
+def even_batches(tokens: np.ndarray, batch_tokens: int = BATCH_TOKENS, within: float = WITHIN) -> list[slice]:
+    """Cuts of rising token counts into batches of like texts, of at most ``batch_tokens`` when padded
+    (or one text)."""
+    out, first = [], 0
+    for i in range(1, len(tokens) + 1):
+        if i == len(tokens) or tokens[i] > max(1, tokens[first]) * (1 + within) or \
+                (i - first + 1) * tokens[i] > batch_tokens:
+            out.append(slice(first, i))
+            first = i
+    return out
+
+
+def embed_even(df: DataFrame, text_col: str, out_col: str = "vec", encoder=None,
+               batch_tokens: int = BATCH_TOKENS, within: float = WITHIN, n_ctx: int | None = None) -> DataFrame:
+    """``embed`` for a model whose batches cost rows x longest text (C2): each task takes its rows in order of
+    their token counts (at most ``n_ctx`` where the model cuts texts there) and encodes batches of like texts.
+    Counts are JVM expressions, the sort is inside a partition, and a row keeps its columns, so nothing has
+    to be put back in order. Null texts count and encode as empty ones."""
+    encoder = encoder or HashPoolEncoder()
+    count = F.coalesce(F.regexp_count(tx.fold_text(text_col), F.lit(tx.TOKEN_PATTERN)), F.lit(0))
+    count = count if n_ctx is None else F.least(count, F.lit(n_ctx))
+    rows = df.withColumn("_n", count).sortWithinPartitions("_n")
+    names = [c for c in df.columns if c != out_col]
+    schema = T.StructType([*df.select(*names).schema.fields, T.StructField(out_col, T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        m = loaded(encoder)
+        for pdf in batches:
+            texts = pdf[text_col].fillna("").tolist()
+            found = [m.encode_batch(texts[b]) for b in even_batches(pdf["_n"].to_numpy(), batch_tokens, within)]
+            out = pdf[names].copy()
+            out[out_col] = [row for mat in found for row in np.asarray(mat, np.float64)]
+            yield out
+
+    return rows.select(*names, "_n").mapInPandas(run, schema)
+
+
 def mean_pool(token_vecs: DataFrame, id_col: str, vec_col: str,
               out_col: str = "vec") -> DataFrame:
     """Average of each document's token vectors, then L2-normalised (A5).

@@ -172,6 +172,13 @@ def doc_token_sums(spark, sf):
         .select("id", "dim", F.col("s").cast("long").alias("s"))
 
 
+def even_token_sums(spark, sf):
+    """``doc_token_sums`` by batches of like length."""
+    b = enc.spread(_bodies(spark, sf), MIN_PARTITIONS).select("id", "body")
+    s = enc.embed_even(b, "body", "s", enc.SumsEncoder(_encoder()), n_ctx=N_CTX)
+    return s.select("id", F.posexplode("s").alias("dim", "s")).select("id", "dim", F.col("s").cast("long").alias("s"))
+
+
 def _ranked(spark, sf):
     vecs = un.worklist_vectors(_corpus(spark, sf), _encoder())
     return un.rank_units(un.score_units(vecs))
@@ -516,6 +523,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bodies": bodies,
     "records": records,
     "doc_token_sums": doc_token_sums,
+    "even_token_sums": even_token_sums,
     "unit_scores": unit_scores,
     "extracted_bodies": extracted_bodies,
     "doc_means": doc_means,
@@ -570,6 +578,7 @@ ORACLE: dict[str, str] = {
     "bodies": oq.bodies_sql(),
     "records": oq.records_sql(),
     "doc_token_sums": oq.doc_token_sums_sql(),
+    "even_token_sums": oq.doc_token_sums_sql(),
     "unit_scores": oq.unit_scores_sql(),
     "extracted_bodies": oq.extracted_bodies_sql(),
     "doc_keys": oq.doc_keys_sql(),

@@ -86,3 +86,26 @@ def test_encoder_source_is_loaded_once_in_a_worker(spark):
     assert {x[0] for x in got} == {1.0}                       # one entry, however many tasks
     plain = load()
     assert enc.loaded(plain) is plain
+
+
+def test_batches_of_like_texts():
+    rng = np.random.default_rng(0)
+    tokens = np.sort(rng.integers(0, 600, 4000))
+    cuts = enc.even_batches(tokens, 4096)
+    assert [i for c in cuts for i in range(c.start, c.stop)] == list(range(4000))
+    for c in cuts:
+        part = tokens[c]
+        assert part[-1] <= max(1, part[0]) * 1.1
+        assert len(part) == 1 or part[-1] * len(part) <= 4096
+    padded = sum(int(tokens[c][-1]) * (c.stop - c.start) for c in cuts)
+    assert padded < 1.1 * tokens.sum()
+    assert enc.even_batches(tokens[:0]) == [] and enc.even_batches(np.array([10**6])) == [slice(0, 1)]
+
+
+def test_even_embedding_equals_embed(spark):
+    rows = [(i, "word " * (i * 7 % 90), "x") for i in range(300)] + [(900, None, "y"), (901, "", "z"), (901, "", "z")]
+    df = spark.createDataFrame(rows, "id long, text string, other string").repartition(3)
+    e = enc.HashPoolEncoder(dim=128)
+    got = sorted((r.id, r.other, tuple(r.vec)) for r in enc.embed_even(df, "text", "vec", e, batch_tokens=200).collect())
+    want = sorted((r.id, r.other, tuple(r.vec)) for r in enc.embed(df.fillna("", ["text"]), "text", "vec", e, "python").collect())
+    assert got == want
