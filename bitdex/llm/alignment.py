@@ -675,13 +675,16 @@ def align(docs: DataFrame, id: str = "doc_id", text: str = "text", tokenizers: s
 
     sums = links.join(scored, "pair").groupBy("row").agg(
         F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("count")).alias("count_sum"))
-    digests = (parts.join(fine.select("row"), "row", "left_semi").select("row", "text", "at", "later")
+    # Dealt out anew from the written table: behind a join, which adaptive execution may split, a
+    # document's parts could stand in several tasks.
+    digests = (parts.select("row", "text", "at", "later")
                .repartition("row").sortWithinPartitions("row", "at", "later").select("row", "text")
                .transform(map_batches, _digests, "row long, sha string"))
     zero = F.lit(0).cast("long")
     long = (texts.select("row", "id").join(fine, "row", "left").join(sums, "row", "left").join(digests, "row", "left")
             .select("id", *[F.coalesce(c, zero).alias(c) for c in (
-                "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], F.coalesce("sha", F.lit("")).alias("sha")))
+                "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")],
+                F.when(F.col("ok"), F.col("sha")).otherwise("").alias("sha")))
     return short.unionByName(long).withColumnsRenamed({"id": id, "sha": "groups_sha256"})
 
 

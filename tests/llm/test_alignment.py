@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -149,3 +150,29 @@ def test_ranges_cover_the_text_once():
             assert window[lo:hi] == data[at:at + hi - lo]
             at += hi - lo
         assert at == len(data)
+
+
+def test_parts_of_a_document_stay_together_where_joins_are_split(spark, both):
+    """Adaptive execution may split a skewed join's partitions; each document still has one digest."""
+    rnd = random.Random(9)
+    words = [w for t in HARD if t and "▁" not in t for w in t.split(" ")]
+    rows = [(i, " ".join(rnd.choices(words, k=300))) for i in range(6)] + [(10 + i, "small text " * 20) for i in range(10)]
+    tight = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.files.maxPartitionBytes": "16k"}
+    before = {k: spark.conf.get(k, None) for k in tight}
+    try:
+        for k, v in tight.items():
+            spark.conf.set(k, v)
+        got = run(spark, rows, chunk=64)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == brute(both, rows)
+
+
+def test_digests_read_parts_that_were_dealt_out_by_document(spark):
+    df = spark.createDataFrame([(1, "a few words of a text " * 9)], "doc_id long, text string")
+    plan = alignment.align(df, chunk=32)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Exchange hashpartitioning\(row#\d+L, \d+\), REPARTITION_BY_COL", plan)
