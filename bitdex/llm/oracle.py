@@ -2,7 +2,8 @@
 
 The others are held to brute force in tests/llm: HTML trees (op1), the seeded mix (op2),
 look-ahead rules (op4), Viterbi and naive Bayes (op5), base-32 digests (op6), SimHash (op7),
-64-bit xxhash trees (op8) and the language model (op10) have no SQL form.
+64-bit xxhash trees (op8), the language model (op10) and tokenizers (op13) have no SQL form. What SQL can say of
+op2, op4, op5 and op8 stands in queries of its own.
 """
 
 from __future__ import annotations
@@ -61,3 +62,35 @@ top AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a
     array_to_string(ph, ' ') AS phrase, a, l, r, score FROM free),
 n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang)
 SELECT top.lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM top JOIN n ON n.lang = top.lang WHERE rank <= 2000"""
+
+
+MIX_TARGETS = f"""WITH d AS (SELECT doc_id, source, len({WORDS.format(text="coalesce(text, '')")}) AS size FROM documents),
+s AS (SELECT source, sum(size) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM d GROUP BY source),
+w AS (SELECT *, CASE (i - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END::DOUBLE AS w FROM s),
+r AS (SELECT *, 2 * n / w AS r, (SELECT 1.5 * sum(size) FROM d) AS t,
+    coalesce(sum(2 * n) OVER (ORDER BY 2 * n / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS full_,
+    sum(w) OVER (ORDER BY 2 * n / w, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM w),
+u AS (SELECT arg_min((t - full_) / free, (r, i)) AS u FROM r WHERE (t - full_) / free < r)
+SELECT doc_id, size, n::BIGINT AS source_size, round(least(coalesce(u * w, 2 * n), 2 * n)::DOUBLE, 3) AS target
+FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source, u"""
+
+LICENSE_PHRASES = f"""WITH w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+p(phrase, label) AS (VALUES (['gnu', 'general', 'public', 'license'], 'gpl'), (['apache', 'license'], 'apache'),
+    (['cc', 'by'], 'cc-by'), (['mit', 'license'], 'mit')),
+hit AS (SELECT doc_id, i - 1 AS place, label FROM w, range(1, len(ws) + 1) r(i), p WHERE ws[i] = phrase[1] AND ws[i:i + len(phrase) - 1] = phrase),
+per AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word,
+    array_to_string(list_sort(list(DISTINCT label)), ',') AS base_labels FROM hit GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels
+FROM w LEFT JOIN per ON w.doc_id = per.doc_id"""
+
+URL_RULES = """WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(h, p) AS (VALUES ('com', '/'), ('example.com', '/en/'), ('www.example.com', '/en/'), ('net', '/es/'), ('net', '/fr/')),
+fit AS (SELECT page_id, host, path, h || p AS rule FROM u JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)),
+best AS (SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule FROM fit GROUP BY ALL)
+SELECT u.page_id, u.host, u.path, best.rule FROM u LEFT JOIN best ON u.page_id = best.page_id"""
+
+EDITED_TEXTS = """WITH t AS (SELECT doc_id, coalesce(text, '') AS a, coalesce(lead(text) OVER (ORDER BY doc_id), CASE WHEN lead(doc_id) OVER
+        (ORDER BY doc_id) IS NULL THEN first_value(text) OVER (ORDER BY doc_id) END, '') AS b FROM documents)
+SELECT doc_id, length(a) AS n_chars, sha256(substr(a, 1, length(a) - length(a) // 2) || substr(b, 1, length(a) // 2)) AS edited_sha256 FROM t"""
