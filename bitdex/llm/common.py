@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -58,6 +59,13 @@ def cut_by(df: DataFrame, name: str, *columns: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)          # also where no row was written
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Ask the driver to collect its garbage now: Spark deletes the shuffle files of plans that nobody
+    holds any more only then, and the steps of a loop would pile theirs up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20            # of an Arrow batch between the JVM and a Python worker (or one row)
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import BROADCAST_KEYS, cut_by, map_batches, table
+from .common import BROADCAST_KEYS, cut_by, free_shuffles, map_batches, table
 from .words import MULT, _LOWER, _hash_words, mix
 
 THRESHOLD = 10               # occurrences from which a phrase counts
@@ -249,6 +249,7 @@ def count_phrases(docs: DataFrame, lang: str = "lang", text: str = "text", thres
                  .groupBy("m", *keys, "lang", "word").agg(F.sum("n").alias("n")))
         found = cut_by(found, f"counts-{step}", "m")
         shared.destroy()
+        free_shuffles(spark)
         for m in [m for m in sorted(last) if step <= last[m]]:
             parts[m].append(found.filter(F.col("m") == m))
             # A length's counts are added up after each step of its first cycle and at its end; between,
