@@ -31,9 +31,11 @@ BREAK = re.compile(r"<(?:/?(?:address|article|aside|blockquote|dd|div|dl|dt|fiel
                    r"header|hr|li|main|nav|ol|option|p|pre|section|table|tbody|thead|tr|ul)\b[^>]*|br\b[^>]*)>", re.I)
 ANY_TAG = re.compile(r"<[/!?a-zA-Z][^>]*>")
 TITLE = re.compile(r"<title[^>]*>([^<]*)", re.I)
-LINK = re.compile(r"<(a|link|img|script|iframe)\b[^>]*?\b(href|src)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", re.I)
+VALUE = r"(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"      # quoted or not
+LINK = re.compile(r"<(a|link|img|script|iframe)(?=[\s/])(?:[^>\"']|\"[^\"]*\"|'[^']*')*?(?<=[\s\"'/])(href|src)\s*=\s*" + VALUE,
+                  re.I)
 META = re.compile(r"<meta\b([^>]*)>", re.I)
-PAIR = re.compile(r"([a-zA-Z:_-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+PAIR = re.compile(r"([a-zA-Z:_-]+)\s*=\s*" + VALUE)
 
 FIELDS = ("record_id string, warc_type string, refers_to string, target_uri string, date string, "
           "content_type string, payload_digest string, block_digest string, content_length long, "
@@ -70,9 +72,9 @@ def derived_id(response: str, kind: str) -> str:
 def _metadata(response: str, uri: str | None, head: str, payload: bytes, page: str) -> str:
     status, headers = http_headers(head)
     title = TITLE.search(page)
-    links = [{"path": f"{m[1].upper()}@/{m[2].lower()}", "url": entities.unescape(m[3] if m[3] is not None else m[4])}
+    links = [{"path": f"{m[1].upper()}@/{m[2].lower()}", "url": entities.unescape(m[3] or m[4] or m[5] or "")}
              for m in LINK.finditer(page)]
-    metas = [{k.lower(): entities.unescape(a or b) for k, a, b in PAIR.findall(m[1])} for m in META.finditer(page)]
+    metas = [{k.lower(): entities.unescape(a or b or c) for k, a, b, c in PAIR.findall(m[1])} for m in META.finditer(page)]
     return json.dumps({"Envelope": {
         "WARC-Header-Metadata": {"WARC-Type": "response", "WARC-Record-ID": response, "WARC-Target-URI": uri},
         "Payload-Metadata": {

@@ -51,3 +51,16 @@ def test_nulls_long_repeated_and_empty(spark):
     assert len(got) == 8 and "X: y" in [r for r in got if r.refers_to == "r2"][0].header.split("\r\n")[2]
     assert {r.content_length for r in got if r.refers_to == "r1" and r.warc_type == "conversion"} == {0}
     assert warc.derivatives(df.limit(0)).collect() == []
+
+
+def test_links_and_metas_with_and_without_quotes():
+    import json
+    page = ("<title>T</title><meta name=robots content='a &amp; b'><a href=/x>1</a><a class=c href='/y?a=1&amp;b=2'>2</a>"
+            "<img alt=\"\" src=\"z.png\"><a href=\"\">3</a><script src=s.js></script><a name=n>no</a>")
+    text = warc._metadata("id", "http://h/", "", page.encode(), page)
+    found = json.dumps(json.loads(text))
+    for url in ("/x", "/y?a=1&b=2", "z.png", "s.js"):
+        assert json.dumps({"url": url})[1:-1] in found
+    assert warc.LINK.findall("<img alt=\"see src=no\" src=yes><a title='href=no'>x</a><abbr href=no>")[0][1:5:3] == ("src", "yes")
+    assert len(warc.LINK.findall("<img alt=\"see src=no\" src=yes><a title='href=no'>x</a><abbr href=no>")) == 1
+    assert found.count('"url"') >= 5 and "a & b" in found and '"robots"' in found
