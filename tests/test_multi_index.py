@@ -91,3 +91,15 @@ def test_block_values(spark):
     assert list(got) == [0x8000, 0, 0, 5, 0x1234, 0x5678, 0x90AB, 0xCDEF]
     assert mi.n_blocks(40) == 3 and kx.n_words(40) == 1
     assert [len(b) for b in mi.balls()[:4]] == [1, 16, 120, 560]
+
+
+def test_stored_keys_meet_only_their_equals(spark, tmp_path):
+    """All keys share three of four blocks: by blocks each query would meet every key."""
+    keys = np.array([[(7 << 16) | (i % 100)] for i in range(300)], np.int64)
+    ords = np.random.default_rng(3).permutation(300).astype(np.int64)
+    index = _index(spark, keys, ords)
+    buckets = mi.write_buckets(index, 64, str(tmp_path))
+    for top in (1, 3):
+        hits, report = mi.knn_indexed(index, buckets, _queries(spark, keys), top, share=1.0)
+        assert _got(hits, 300) == _want(keys, keys, ords, top)
+        assert [tuple(r) for r in report.filter("queries > 0").collect()] == [(mi.EQUAL, 300, 300 * top, 300)]
