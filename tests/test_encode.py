@@ -109,3 +109,32 @@ def test_even_embedding_equals_embed(spark):
     got = sorted((r.id, r.other, tuple(r.vec)) for r in enc.embed_even(df, "text", "vec", e, batch_tokens=200).collect())
     want = sorted((r.id, r.other, tuple(r.vec)) for r in enc.embed(df.fillna("", ["text"]), "text", "vec", e, "python").collect())
     assert got == want
+
+
+def test_workers_encode_a_bounded_number_of_rows_at_a_time(spark):
+    from bitdex.operators import pca as pc
+
+    class Narrow:
+        dim = 2
+
+        def encode_batch(self, texts):
+            if len(texts) > 2000:
+                raise ValueError(f"{len(texts)} rows at once")
+            return np.array([[len(t), -1.0] for t in texts]).reshape(len(texts), 2)
+
+    df = spark.range(5000).coalesce(1).select("id", F.repeat(F.lit("x"), (F.col("id") % 9).cast("int")).alias("t"))
+    got = enc.embed(df, "t", "v", Narrow()).collect()
+    assert all(list(r.v) == [r.id % 9, -1.0] for r in got) and len(got) == 5000
+    keys = pc.encode_project_keys(df, "t", Narrow(), pc.PcaParams.identity(np.array([4.0, 0.0]), 2), ["id"])
+    assert all(r.w0 == (-2**63 if r.id % 9 > 4 else 0) for r in keys.collect())
+
+
+def test_bits_are_counted_past_a_byte_and_past_the_table(monkeypatch):
+    bits = np.random.default_rng(0).integers(0, 2, (3000, 128)).astype(np.uint8)
+    bits[:700] = 1
+    starts = np.array([0, 700, 701, 2999])
+    assert (enc.count_bits(bits, starts) == np.add.reduceat(bits.astype(int), starts, axis=0)).all()
+    e, texts = enc.HashPoolEncoder(dim=128), [" ".join(f"w{i * j % 977}" for j in range(300)) for i in range(40)]
+    want = e.sums_batch(texts)
+    monkeypatch.setattr(enc, "TABLE_CHARS", 100)
+    assert (e.sums_batch(texts) == want).all()
