@@ -106,3 +106,18 @@ def test_limited_ids(spark):
             assert got[i][0] == _limited(vocab, t, n_ctx), (t, n_ctx)
             assert got[i][1] == (len(_limited(vocab, t, 10**6)) <= n_ctx)
         assert got[-1] == ([1, 2], True)
+
+
+def test_tokens_get_their_pieces_in_place_and_as_by_the_join(spark):
+    vocab = spark.createDataFrame([("▁a", 1), ("b", 2), ("▁b", 3), ("▁.", 4)], "token string, token_id long")
+    toks = spark.createDataFrame([(i, j, ("a", "abb", "zz", "b", None)[(i + j) % 5]) for i in range(9) for j in range(7)],
+                                 "id long, pos int, token string")
+    docs = spark.createDataFrame([(1, "a ab. zz, b"), (1, "a"), (2, None), (3, "")], "id long, text string")
+    ids = spark.range(10)
+    made = (lambda n: wp.token_ids(toks, vocab, trie_chars=n), lambda n: wp.piece_profile(toks, ids, vocab, trie_chars=n),
+            lambda n: wp.limited_ids(docs, vocab, 5, trie_chars=n))
+    for make in made:
+        here, joined = (sorted(map(str, make(n).collect())) for n in (wp.TRIE_CHARS, 0))
+        assert here == joined
+    plan = wp.token_ids(toks, vocab)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
