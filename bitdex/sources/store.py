@@ -114,8 +114,10 @@ def _write_bundle(index: DataFrame, params: PcaParams, root: str) -> int:
         raise ValueError(f"index lacks key columns {missing}")
     v = _claim(spark, root)
     base = f"{root}/bundle/v={v}"
-    if "row" in index.columns:              # searches read all folders, hits only those of their rows
-        index = index.drop(sr.RANGE).withColumn(sr.RANGE, sr.range_of("row"))
+    index = index.drop(sr.RANGE)
+    # searches read all folders, hits only those of their rows; one range needs no folder
+    if "row" in index.columns and (index.agg(F.max("row")).first()[0] or 0) >= sr.RANGE_ROWS:
+        index = index.withColumn(sr.RANGE, sr.range_of("row"))
         index.write.partitionBy(sr.RANGE).parquet(f"{base}/index")
     else:
         index.write.parquet(f"{base}/index")
