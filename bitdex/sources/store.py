@@ -73,15 +73,26 @@ def _claim(spark: SparkSession, root: str) -> int:
     fs = bundle.getFileSystem(conf)
     files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
     never_over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
-    own = path(bundle, f"_claim-{uuid.uuid4().hex}")
-    fs.create(path(own, "_claim"), False).close()          # not empty: a folder isn't renamed over it
+
+    def claim():
+        made = path(bundle, f"_claim-{uuid.uuid4().hex}")
+        fs.create(path(made, "_claim"), False).close()     # not empty: a folder isn't renamed over it
+        return made
+
+    own = claim()
     taken = [int(x.getPath().getName()[2:]) for x in fs.listStatus(bundle)
              if re.fullmatch(r"v=\d+", x.getPath().getName())]
     v = max([0, *taken]) + 1
     while True:
         try:
             files.rename(fs.makeQualified(own), fs.makeQualified(path(bundle, f"v={v}")), never_over)
-            return v
+            # a local file system that can't rename it, as another packer was first, copies it into that one's folder
+            lost = path(path(bundle, f"v={v}"), own.getName())
+            if not fs.exists(lost):
+                return v
+            fs.delete(lost, True)
+            own = claim()
+            v += 1
         except Py4JJavaError:
             if not fs.exists(path(bundle, f"v={v}")):
                 raise
