@@ -22,9 +22,11 @@ all links, and pivots divide the regions that are large:
    compared. While they are many and pivots take them away, more are drawn among them.
 5. *Windows.* An outer set is copied to the blocks of a cell whose distances to the
    cell's pivot lie within 0.25 of its own: elsewhere the triangle inequality rules out
-   a link. There it is compared exactly.
+   a link. Of these, only blocks that hold a set with one of its rare hashes (step 3) get a copy.
+   There it is compared exactly.
 6. Links become components by contraction.
 
+Sets travel once for each of these steps, and the shuffle files and tables of a step go when it ends.
 No step sends a region to one task: cells are cut into blocks of ``BLOCK`` sets, and
 what is compared with them is copied to the blocks. Nothing is capped or
 sampled: pivots only decide which comparisons are needless.
@@ -41,8 +43,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .common import by_key, map_batches, row_key, shuffle_partitions, table
+from ..session import cut_lineage, drop_cut
+from .common import BROADCAST_KEYS, by_key, free_shuffles, map_batches, row_key, shuffle_partitions, table
 from .components import components
 from .words import Powers, prefix_sums, span_hashes, window_hashes, word_hashes
 
@@ -96,6 +98,17 @@ def _describe(k: int):
 
 
 SLICE = 1_000_000       # hashes of the sets that are dealt out together
+HIGH = np.uint64(32)    # bits of a hash that don't travel
+
+
+def _short(h: np.ndarray, parts: int) -> np.ndarray:
+    """Hashes by the bits that count: those that name the part, and the upper half, which is all that travels.
+    Two hashes may agree in these: then both count as shared, and exact comparisons follow."""
+    return h >> HIGH << HIGH | h & np.uint64(parts - 1)
+
+
+def _sent(h: np.ndarray) -> bytes:
+    return (h >> HIGH).astype(np.uint32).tobytes()
 
 
 def _slices(batches: Iterator[pa.RecordBatch], powers: Powers, k: int) -> Iterator[dict[int, np.ndarray]]:
@@ -117,14 +130,15 @@ def _slices(batches: Iterator[pa.RecordBatch], powers: Powers, k: int) -> Iterat
 def _scatter(k: int, parts: int, share: float):
     """The first hashes of each set, dealt out to ``parts`` by value: rows
     (part, hashes, set ids, hashes of each). A hash that several sets of the batch
-    have is sent once, under set id 0, and credited to its sets here (part -1)."""
+    have is sent once, under set id 0, and credited to its sets here (part -1).
+    Hashes of one set that agree in what is sent are credited here as well, so what is sent of a set differs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for sets in _slices(batches, powers, k):
             ids = np.fromiter(sets, np.int64, len(sets))
             sizes = np.array([len(u) for u in sets.values()])
             seen = scanned(sizes, share)
-            h = np.concatenate([u[:n] for u, n in zip(sets.values(), seen)])
+            h = _short(np.concatenate([u[:n] for u, n in zip(sets.values(), seen)]), parts)
             own = np.repeat(np.arange(len(ids)), seen)
             order = np.argsort(h, kind="stable")
             h, own = h[order], own[order]
@@ -145,7 +159,7 @@ def _scatter(k: int, parts: int, share: float):
                 a, b = cuts[p], cuts[p + 1]
                 whose, n = np.unique(own[a:b], return_counts=True)
                 sid = np.where(whose < 0, 0, ids[whose])
-                out.append((int(p), h[a:b].tobytes(), sid.tobytes(), n.astype(np.int32).tobytes()))
+                out.append((int(p), _sent(h[a:b]), sid.tobytes(), n.astype(np.int32).tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))],
                 names=["part", "hashes", "sids", "ns"])
@@ -184,7 +198,7 @@ def _credit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if part < 0:
                 ready.append((s, n.astype(np.int64)))
             else:
-                parts.setdefault(part, []).append((np.frombuffer(h, np.uint64), np.repeat(s, n)))
+                parts.setdefault(part, []).append((np.frombuffer(h, np.uint32), np.repeat(s, n)))
         if ready:
             yield _counts(ready)
     for part in list(parts):
@@ -210,9 +224,9 @@ PACK = 512          # sets in a pack
 
 
 def _packs(k: int):
-    """Chosen texts as packs of sets: (pack, sids, ns, u), the sets one after another."""
+    """Chosen texts as packs of sets: (pack, sids, ns, u), the sets one after another; a task packs a set once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, made, ready = Powers(), 0, []
+        powers, made, ready, known = Powers(), 0, [], set()
         task = TaskContext.get().partitionId()
 
         def pack() -> pa.RecordBatch:
@@ -223,6 +237,9 @@ def _packs(k: int):
 
         for batch in batches:
             for u in shingle_sets(batch.column(1), powers, k):
+                if (key := set_id(u)) in known:
+                    continue
+                known.add(key)
                 ready.append(u)
                 if len(ready) == PACK:
                     yield pack()
@@ -254,12 +271,12 @@ def _dealt(u: np.ndarray, parts: int):
 
 
 def _ask(parts: int):
-    """(part, pack, hashes, counts): each pack's distinct hashes, with how often it has them."""
+    """(part, pack, hashes, counts): each pack's distinct hashes (their upper halves), with how often it has them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack, _, _, u in _open(batch):
                 h, n, cuts = _dealt(u, parts)
-                rows = [(p, pack, h[cuts[p]:cuts[p + 1]].tobytes(), n[cuts[p]:cuts[p + 1]].astype(np.int32).tobytes())
+                rows = [(p, pack, _sent(h[cuts[p]:cuts[p + 1]]), n[cuts[p]:cuts[p + 1]].astype(np.int32).tobytes())
                         for p in np.flatnonzero(np.diff(cuts)).tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(
                     zip(*rows), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "pack", "h", "n"])
@@ -267,11 +284,12 @@ def _ask(parts: int):
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pack, part, counts): how many sets of the corpus have each hash a pack asked about."""
+    """(pack, part, counts): how many sets of the corpus have each hash a pack asked about. Hashes that agree in
+    what was sent count together, the same for every set that has one of them, so one order of all hashes is left."""
     asked: dict[int, list] = {}
     for batch in batches:
         for part, pack, h, n in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            asked.setdefault(part, []).append((pack, np.frombuffer(h, np.uint64), np.frombuffer(n, np.int32)))
+            asked.setdefault(part, []).append((pack, np.frombuffer(h, np.uint32), np.frombuffer(n, np.int32)))
     for part in list(asked):
         packs, hs, ns = zip(*asked.pop(part))
         _, where = np.unique(np.concatenate(hs), return_inverse=True)
@@ -333,10 +351,11 @@ def jaccards(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
 
 
 def _whole_regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of whole regions, each an array of sets."""
+    """Links of whole regions, each an array of sets; a set may come from several tasks."""
     for batch in batches:
         a, b = [], []
         for members in batch.column("members").to_pylist():
+            members = list({x["sid"]: x for x in members}.values())
             sets = [np.frombuffer(x["u"], np.uint64) for x in members]
             sid = np.array([x["sid"] for x in members])
             n = np.array([len(u) for u in sets])
@@ -394,9 +413,32 @@ def _draw(rows: DataFrame, counts: DataFrame, wanted: int, seed: int) -> DataFra
             .filter(place * F.col("n_rows") < F.lit(float(wanted))).drop("n_rows"))
 
 
-def _large_regions(sets: DataFrame, regions: DataFrame, pivots: int, block: int, many_outer: int) -> DataFrame:
-    """Links that connect the sets of large regions. ``sets``: (region, sid, u);
-    ``regions``: (region, size)."""
+def _placed(sets: DataFrame, marks: DataFrame) -> DataFrame:
+    """The ``sets`` (sid, u) that have ``marks`` (sid, region, a written table), with their region. The marks are
+    counted before they are broadcast; more than that meet the sets by a shuffle."""
+    marks = marks.select("sid", "region")
+    return sets.join(F.broadcast(marks) if marks.count() <= BROADCAST_KEYS else marks, "sid")
+
+
+def _copies(outer: DataFrame, cells: DataFrame, far: DataFrame, heads: DataFrame) -> DataFrame:
+    """(region, block, sid): the blocks of ``cells`` (region, cell, block, dist, sid) that each ``outer`` set
+    (region, sid) is copied to. A linked pair shares one of the ``heads`` (sid, h) of both, so the block holds
+    a set with such a hash, and its distances to the cell's pivot allow a link to one ``far`` (region, sid,
+    cell, d) away."""
+    held = cells.select("region", "block", "sid").join(heads, "sid").select("region", "block", "h").distinct()
+    met = (outer.select("region", "sid").join(heads, "sid").join(held, ["region", "h"])
+           .select("region", "block", "sid").distinct())
+    span = cells.groupBy("region", "cell", "block").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"))
+    window = ((F.col("d").isNull()) | ((F.col("d") >= F.col("lo") - RADIUS - 1e-9)
+                                       & (F.col("d") <= F.col("hi") + RADIUS + 1e-9)))
+    return (met.join(span, ["region", "block"]).join(far, ["region", "sid", "cell"], "left").filter(window)
+            .select("region", "block", "sid").distinct())
+
+
+def _large_regions(sets: DataFrame, regions: DataFrame, heads: DataFrame, pivots: int, block: int,
+                   many_outer: int) -> DataFrame:
+    """Links that connect the sets of large regions, written. ``sets``: (region, sid, u);
+    ``regions``: (region, size); ``heads``: (sid, h)."""
     def spread(df):      # block numbers of a region, by hash
         return df.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
 
@@ -452,16 +494,12 @@ def _large_regions(sets: DataFrame, regions: DataFrame, pivots: int, block: int,
     cells = cells.join(sizes, ["region", "cell"]).withColumn(
         "block", F.xxhash64("cell", F.pmod(F.xxhash64(F.lit(2), "sid"), F.col("nb"))))
     cells = cut_lineage(cells.select("region", "cell", "block", "dist", "sid", "u"), "cells")
-    span = cells.groupBy("region", "cell", "block").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"))
     far = seen.select("region", "sid", F.col("probe").alias("cell"), "d")
-    outer = outer.join(sets.select("sid", "u"), "sid")
-    window = ((F.col("d").isNull()) | ((F.col("d") >= F.col("lo") - RADIUS - 1e-9)
-                                       & (F.col("d") <= F.col("hi") + RADIUS + 1e-9)))
-    copies = (outer.select("region", "sid").join(span, "region")
-              .join(far, ["region", "sid", "cell"], "left").filter(window)
-              .select("region", "block", "sid").join(outer.select("sid", "u"), "sid"))
+    copies = _copies(outer, cells, far, heads).join(sets.select("sid", "u"), "sid")
     found = _compare(cells, copies).filter("linked AND sid <> probe")
-    return links.unionByName(found.select(F.col("sid").alias("a"), F.col("probe").alias("b")))
+    links = cut_lineage(links.unionByName(found.select(F.col("sid").alias("a"), F.col("probe").alias("b"))), "links")
+    drop_cut(sets, cells, seen)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = SHINGLE,
@@ -494,29 +532,37 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", k:
     sizes = classes.select("n").distinct().transform(map_batches, _least_credits(share), "n int, enough long")
     chosen = cut_lineage(classes.join(credit, "sid").join(F.broadcast(sizes), "n").filter("credit >= enough")
                          .select("rk"), "chosen")
+    free_shuffles(spark)
     packs = cut_lineage(by_key(rows.select("rk", "text"), F.col("rk"), chosen, "left_semi").transform(map_batches,
         _packs(k), "pack long, sids binary, ns binary, u binary"), "packs")
-    sets = packs.transform(map_batches, _unpack, "sid long, u binary").dropDuplicates(["sid"])
+    sets = packs.transform(map_batches, _unpack, "sid long, u binary")
     answers = (packs.transform(map_batches, _ask(parts), "part int, pack long, h binary, n binary")
                .repartition(int(tasks), "part").transform(map_batches, _answer, "pack long, part int, counts binary")
                .groupBy("pack").agg(F.collect_list(F.struct("part", "counts")).alias("answers")))
     heads = cut_lineage(packs.join(answers, "pack").transform(map_batches, _prefixes(parts), "sid long, h long").distinct(),
                         "heads")
+    free_shuffles(spark)
     least = cut_lineage(heads.groupBy("h").agg(F.min("sid").alias("a"), F.max("sid").alias("_b"))
                         .filter("a <> _b").select("h", "a"), "least")
     near = heads.join(least, "h").filter("sid <> a").select("a", F.col("sid").alias("b")).distinct()
     region_of = components(near)
     sized = cut_lineage(region_of.groupBy(F.col("label").alias("region")).agg(F.count("*").alias("size")), "regions")
-    placed = sets.join(region_of.select(F.col("node").alias("sid"), F.col("label").alias("region")), "sid")
-    small = placed.join(sized.filter(F.col("size") <= region), "region")
+    marks = cut_lineage(region_of.select(F.col("node").alias("sid"), F.col("label").alias("region")).join(sized, "region"),
+                        "marks")
+    free_shuffles(spark)
+    small = _placed(sets, marks.filter(F.col("size") <= region))
     links = (small.groupBy("region").agg(F.collect_list(F.struct("sid", "u")).alias("members"))
              .select("members").transform(map_batches, _whole_regions, "a long, b long"))
     large = sized.filter(F.col("size") > region)
     if not large.isEmpty():
+        links = cut_lineage(links, "links")
+        free_shuffles(spark)
         links = links.unionByName(_large_regions(
-            placed.join(large.select("region"), "region", "left_semi").select("region", "sid", "u"),
-            large, pivots, block, outer))
+            _placed(sets, marks.filter(F.col("size") > region)).dropDuplicates(["sid"]).select("region", "sid", "u"),
+            large, heads, pivots, block, outer))
     label = components(links)
+    drop_cut(chosen, packs, heads, least, marks)             # what follows reads the written labels
+    free_shuffles(spark)
     classes = classes.join(label.withColumnRenamed("node", "sid"), "sid", "left").withColumn(
         "label", F.coalesce("label", "sid"))
     lowest = classes.groupBy("label").agg(F.min("least").alias("component"))

@@ -1,10 +1,13 @@
+import os
 import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from bitdex.llm import jaccard
 from bitdex.llm.components import components
+from bitdex.session import ensure_checkpoint_dir
 
 
 def sets(rows):
@@ -131,3 +134,49 @@ def test_least_credit_is_the_worst_case():
                         seen = [max(0, int(jaccard.scanned(np.int64(n), share)) - (n - common)) for n in (a, b)]
                         least.append(min(*seen, common))
             assert jaccard.least_credit(a, share) == min(least) >= 1
+
+
+def test_hashes_travel_by_half(monkeypatch):
+    """Four bytes a hash; of hashes that agree in those, no set loses its credit."""
+    parts = 4
+    a = [(5 << 32) | (x << 8) | 1 for x in range(3)] + [(7 << 32) | 2, (9 << 32) | 3]       # three agree
+    b = [(5 << 32) | 1, (8 << 32) | 2, (9 << 32) | 3]
+    def credits(slices):
+        monkeypatch.setattr(jaccard, "_slices", lambda *_: iter(slices))
+        rows = pa.Table.from_batches(list(jaccard._scatter(5, parts, 1.0)([])))
+        sent = [r for r in rows.to_pylist() if r["part"] >= 0]
+        assert all(len(r["hashes"]) == 4 * np.frombuffer(r["ns"], np.int32).sum() for r in sent)
+        got = Counter()
+        for batch in jaccard._credit(iter(rows.to_batches())):
+            for sid, n in zip(*(c.to_pylist() for c in batch.columns)):
+                got[sid] += n
+        return got
+    a, b = (np.array(sorted(x), np.uint64) for x in (a, b))
+    one, two = credits([{11: a, 12: b}]), credits([{11: a}, {12: b}])
+    for got in (one, two):                          # both have two hashes in common
+        assert got[11] >= 2 and got[12] >= 2
+    assert one[11] == two[11] == 4 and credits([{12: b}, {12: b}])[12] == 0
+
+
+def test_outer_sets_go_only_where_a_rare_hash_is(spark):
+    cells = spark.createDataFrame([(1, 5, 50, 0.1, 100), (1, 5, 51, 0.2, 101), (1, 6, 60, 0.0, 102), (1, 6, 61, 0.9, 103)],
+                                  "region long, cell long, block long, dist double, sid long")
+    outer = spark.createDataFrame([(1, 103), (1, 101)], "region long, sid long")
+    far = spark.createDataFrame([(1, 103, 5, 0.3), (1, 103, 6, 0.9), (1, 101, 5, 0.2)],
+                                "region long, sid long, cell long, d double")
+    heads = spark.createDataFrame([(100, 1), (103, 1), (102, 2), (103, 2), (101, 3), (102, 3)], "sid long, h long")
+    got = sorted(tuple(r) for r in jaccard._copies(outer, cells, far, heads).collect())
+    # block 51 has no hash of 103; block 60 is too far from 103; 101 has no distance to cell 6
+    assert got == [(1, 50, 103), (1, 51, 101), (1, 60, 101), (1, 61, 103)]
+
+
+def test_tables_of_steps_go(spark):
+    """Only what the result is read from stays, and a row that comes many times is packed and joined as one."""
+    base = ensure_checkpoint_dir(spark)
+    top = os.path.join(base, f"bitdex-{spark.sparkContext.applicationId}").removeprefix("file:")
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    w = [f"t{i}" for i in range(60)]
+    rows = [(i, " ".join(w[:58 + i])) for i in range(3)] + [(1, " ".join(w[:59]))] * 40 + [(9, "other words " * 4)]
+    assert run(spark, rows, region=2, block=2, pivots=1, outer=1) == brute(rows)
+    left = {x.rpartition("-")[0] for x in set(os.listdir(top)) - before}
+    assert {"sets", "classes"} <= left and not left & {"chosen", "packs", "heads", "least", "marks", "cells", "distances"}
