@@ -3,7 +3,7 @@ benchmark decontamination -> mix.
 
 Each stage takes (spark, docs, sf_dir), works on every row of ``docs`` and returns a
 DataFrame; ``run`` writes each stage's result as Parquet and rereads it as the next one's
-docs. All but the last return the columns of ``docs``.
+docs, whereupon the docs before it and the shuffle files of the stage go. All but the last return the columns of ``docs``.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitdex.llm import decontaminate, jaccard, langid, mixing, substrings
-from bitdex.llm.common import by_key, row_key, table
-from bitdex.session import cut_lineage
+from bitdex.llm.common import by_key, free_shuffles, row_key, table
+from bitdex.session import cut_lineage, drop_cut
 
 
 def _columns(docs: DataFrame) -> list:
@@ -37,6 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     first = found.groupBy("component_id").agg(F.min(order).alias("_f")).select(F.col("_f.rk").alias("rk"))
     gone = cut_lineage(found.select("rk").distinct().join(first.distinct(), "rk", "left_anti"), "copies")
     kept = by_key(docs, row_key("doc_id", "text"), gone, "left_anti")
+    free_shuffles(spark)
     again = found.groupBy("rk").count().filter("count > 1").join(gone, "rk", "left_anti")
     if again.isEmpty():
         return kept
@@ -77,9 +78,12 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = cut_lineage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop_cut(*written)
+        written = [docs]
+        free_shuffles(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 

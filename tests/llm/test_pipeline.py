@@ -1,8 +1,10 @@
+import os
 from collections import Counter
 
 import corpus_pipeline as cp
 from bitdex.llm import decontaminate, jaccard, langid, substrings
 from bitdex.llm.mixing import mixed
+from bitdex.session import ensure_checkpoint_dir
 
 
 def test_stages_take_effect(spark, sf001, tmp_path):
@@ -55,3 +57,13 @@ def test_every_stage_on_odd_rows(spark, sf001):
         if name == "substring_dedup":
             assert len(got) == 6
     assert len(cp.mix(spark, df, sf001).collect()) == 6 and cp.mix(spark, df.limit(0), sf001).collect() == []
+
+
+def test_docs_of_a_stage_go_when_the_next_are_written(spark, sf001, monkeypatch):
+    top = os.path.join(ensure_checkpoint_dir(spark), f"bitdex-{spark.sparkContext.applicationId}")
+
+    def named(name):
+        return sum(x.startswith(f"pipeline-{name}-") for x in os.listdir(top))
+    monkeypatch.setattr(cp, "STAGES", [(x, lambda s, docs, d: docs.limit(5)) for x in ("one", "two", "three", "last")])
+    assert cp.run(spark, sf001).count() == 5
+    assert (named("one"), named("two"), named("three")) == (0, 0, 1)
